@@ -57,3 +57,22 @@ def partitions(spark: SparkSession) -> int:
 def word_count(text: Column) -> Column:
     """Number of words of `text` as a long; 0 where it is null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Bits of the map that `maybe_wanted` broadcasts, 64 to a row: 131,072 rows of two longs at most.
+MAP_BITS = 1 << 23
+
+
+def maybe_wanted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose `key` may be in the first column of `wanted`; an exact join follows.
+
+    It drops most rows before that join shuffles them. The map has MAP_BITS bits, so what is broadcast
+    is bounded whatever the tables' sizes; a map that fills up lets more rows through, no more.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(MAP_BITS))
+    bits = wanted.select(spot(wanted.columns[0]).alias("spot")).groupBy(F.shiftright("spot", 6).alias("map_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("map_mask")
+    )
+    at = spot(key)
+    near = rows.join(F.broadcast(bits), F.shiftright(at, 6) == F.col("map_word"))
+    return near.where(F.getbit("map_mask", at.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("map_word", "map_mask")

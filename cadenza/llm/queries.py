@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.llm import mixing
+from cadenza.llm import exact, mixing
 
-QUERIES = {"op1_mix_sources": mixing.query}
-ORACLES = {"op1_mix_sources": mixing.SQL}
+QUERIES = {"op1_mix_sources": mixing.query, "op5_exact_dedup": exact.query}
+ORACLES = {"op1_mix_sources": mixing.SQL, "op5_exact_dedup": exact.SQL}
