@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from cadenza.llm import exact, mixing
+from cadenza.llm import exact, mixing, url_filter
 
-QUERIES = {"op1_mix_sources": mixing.query, "op5_exact_dedup": exact.query}
-ORACLES = {"op1_mix_sources": mixing.SQL, "op5_exact_dedup": exact.SQL}
+QUERIES = {
+    "op1_mix_sources": mixing.query,
+    "op2_url_filter": url_filter.query,
+    "op5_exact_dedup": exact.query,
+}
+ORACLES = {
+    "op1_mix_sources": mixing.SQL,
+    "op2_url_filter": url_filter.SQL,
+    "op5_exact_dedup": exact.SQL,
+}
