@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cadenza.llm import exact, mixing, url_filter
+from cadenza.llm import exact, mixing, packing, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_url_filter": url_filter.query,
     "op5_exact_dedup": exact.query,
+    "op7_best_fit_packing": packing.query,
 }
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
