@@ -54,30 +54,35 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
 
 
-def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about `size` bytes each; a longer text is a range of its own."""
+def pieces(offsets: np.ndarray, size: int = PIECE, most: int = 2000) -> Iterator[tuple[int, int]]:
+    """Ranges of up to `most` texts with about `size` bytes each; a longer text is a range of its own."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
-        yield first, min(last, n)
+        last = min(last, first + most, n)
+        yield first, last
         first = last
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of the texts, and the number of words of each text.
+def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word starts and stops, and the number of words of each text.
 
     `bounds` has the start of each text and the end of the last; a word never crosses them.
     """
-    hashes, starts_of = [], []
     n = len(data)
-    space = IS_SPACE[data]
-    inner = np.zeros(n + 1, bool)
-    inner[bounds[:-1]] = True
-    begins = ~space
-    begins[1:] &= space[:-1] | inner[1:n]
-    ends = ~space
-    ends[:-1] &= space[1:] | inner[1:n]
-    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    solid = ~IS_SPACE[data]
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    first, final = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1] | edge[1:n]
+    final[:-1] &= ~solid[1:] | edge[1:n]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(final) + 1
+    return starts, stops, np.diff(np.searchsorted(starts, bounds))
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    out = np.empty(len(starts), np.uint64)
     first = 0
     while first < len(starts):  # by pieces that end with a word
         last = max(first + 1, int(np.searchsorted(stops, starts[first] + PIECE, "right")))
@@ -87,11 +92,9 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         sums[0] = 0
         np.cumsum(byte[data[lo:hi]] * up[: hi - lo], out=sums[1:])
         a, b = starts[first:last] - lo, stops[first:last] - lo
-        hashes.append(mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
-        starts_of.append(starts[first:last])
+        out[first:last] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
         first = last
-    hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    return hashes, np.diff(np.searchsorted(starts, bounds))
+    return out
 
 
 def squeezed(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cadenza.llm import exact, mixing, packing, url_filter
+from cadenza.llm import exact, mixing, packing, quality, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_url_filter": url_filter.query,
     "op5_exact_dedup": exact.query,
     "op7_best_fit_packing": packing.query,
+    "op8_quality_classifier": quality.query,
 }
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
