@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cadenza.llm import exact, mixing, near, packing, quality, url_filter
+from cadenza.llm import exact, html_text, mixing, near, packing, quality, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_url_filter": url_filter.query,
     "op3_minhash_near_dedup": near.query,
+    "op4_html_extraction": html_text.query,
     "op5_exact_dedup": exact.query,
     "op7_best_fit_packing": packing.query,
     "op8_quality_classifier": quality.query,
