@@ -64,18 +64,25 @@ def pieces(offsets: np.ndarray, size: int = PIECE, most: int = 2000) -> Iterator
         first = last
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(
+    data: np.ndarray, bounds: np.ndarray, separates: np.ndarray = IS_SPACE, points: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each word starts and stops, and the number of words of each text.
 
-    `bounds` has the start of each text and the end of the last; a word never crosses them.
+    `bounds` has the start of each text and the end of the last; a word never crosses them. With
+    points (bytes, bytes before), such a byte that ends a word is a word of its own.
     """
     n = len(data)
-    solid = ~IS_SPACE[data]
+    solid = ~separates[data]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
     first, final = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1] | edge[1:n]
     final[:-1] &= ~solid[1:] | edge[1:n]
+    if points and n > 1:
+        apart = points[0][data[1:]] & points[1][data[:-1]] & final[1:] & ~first[1:]
+        first[1:] |= apart
+        final[:-1] |= apart
     starts, stops = np.flatnonzero(first), np.flatnonzero(final) + 1
     return starts, stops, np.diff(np.searchsorted(starts, bounds))
 

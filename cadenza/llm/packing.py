@@ -10,7 +10,8 @@ What bounding the groups costs is at most a few part-filled sequences in thousan
 
 Tokens: ids are made per word (text between spaces, tabs and line ends), each distinct word once,
 and laid end to end; the tokenizer splits at white space first, so this equals encoding the whole
-text. The words seen are kept between batches, up to WORDS of them; then they are forgotten.
+text. Words are told apart by a 64-bit hash. The words seen are kept between batches, up to WORDS of
+them; then they are forgotten.
 
 Defined results: null text is empty, and an empty document is its end id alone. Repeated rows are
 packed as separate documents. An empty table gives an empty result. Reruns put pieces into equal
@@ -20,22 +21,27 @@ sequences. Columns beside doc_id and text don't take part.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.llm import hashing
 from cadenza.llm.common import staged, table
 
 LENGTH = 2048
 OPEN = 4096
 GROUP = 8192
 END = 0
-WORDS = 400_000
+WORDS = 2_000_000
+JOINED = 200
+
+#: Words end at these bytes alone, and before a full stop or comma that follows a letter or digit and ends them.
+_SEPARATES = np.zeros(256, bool)
+_SEPARATES[[9, 10, 32]] = True
+_POINT = (np.isin(np.arange(256), list(b",.")), np.array([chr(i).isalnum() and i < 128 for i in range(256)]))
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -45,38 +51,65 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class _Words:
-    """Ids of texts by way of their words."""
+    """Ids of texts by way of their words, looked up by hash."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # A full stop or comma after a letter or digit is a token of its own; apart from its word, fewer words differ.
-        self.point = re.compile(r"(?<=[^\W_])[,.](?=[ \n])")
+        self.mark = next(t for t in self.tokenizer.get_added_tokens_decoder().values() if t.special).content
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.forget()
 
     def forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.pool, self.starts, self.lengths = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
+        self.hashes = np.zeros(0, np.uint64)  # ascending, with each word's code
+        self.codes = np.zeros(0, np.int64)
+        self.pool, self.starts, self.lengths = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words end to end, and how many each has. A special token between words tells them apart."""
+        runs = [self.mark.join([*words[i : i + JOINED], ""]) for i in range(0, len(words), JOINED)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False) for i in e.ids], "<u4")
+        marks = np.flatnonzero(ids == self.mark_id)
+        return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        odd = [i for i, w in enumerate(words) if self.mark in w]
+        ids, lengths = self._encode([w if self.mark not in w else "" for w in words])
+        if odd:
+            parts = np.split(ids, np.cumsum(lengths)[:-1])
+            for i in odd:
+                parts[i] = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, "<u4")
+            ids, lengths = np.concatenate(parts), np.array([len(p) for p in parts])
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.codes = np.insert(self.codes, at, np.arange(len(self.lengths), len(self.lengths) + len(words)))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint16, int(lengths.sum()))])
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.point.sub(r" \g<0>", t.lower() if t.isascii() else t).replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if new := set().union(*split).difference(self.codes):
-            if len(self.codes) + len(new) > WORDS:
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes
+
+    def ids(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text that lies in `data` from one bound to the next."""
+        size = np.diff(bounds)
+        wide = np.diff(np.concatenate([[0], np.cumsum(data >= 128)])[bounds])
+        data = np.where(np.repeat(wide == 0, size), hashing.LOWER[data], data)  # lower case or not gives equal ids; fewer words differ
+        starts, stops, count = hashing.words(data, bounds, _SEPARATES, _POINT)
+        found, first, code = np.unique(hashing.hashes(data, starts, stops), return_index=True, return_inverse=True)
+        new = ~self._known(found)
+        if new.any():
+            if len(self.hashes) + int(new.sum()) > WORDS:
                 self.forget()
-                new = set().union(*split)
-            self._learn(list(new))
-        count = [len(s) for s in split]
-        code = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(split)), np.int64, sum(count))
+                new[:] = True
+            view = memoryview(data)
+            words = [str(view[a:b], "utf-8") for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)]
+            self._learn(found[new], words)
+        code = self.codes[np.searchsorted(self.hashes, found)][code]
         lengths = self.lengths[code]
         ends = np.cumsum(lengths)
         ids = self.pool[np.repeat(self.starts[code] - ends + lengths, lengths) + np.arange(int(lengths.sum()))]
@@ -100,18 +133,15 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fa
     def run(batches):
         encoder = _encoder(path)
         for batch in batches:
-            texts, out, first = [t or "" for t in batch["text"].to_pylist()], [], 0
-            while first < len(texts):
-                last, size = first, 0
-                while last < len(texts) and (last == first or size + len(texts[last]) < 1 << 20):
-                    size += len(texts[last])
-                    last += 1
-                for i, ids in enumerate(encoder.ids(texts[first:last]), first):
-                    ids = np.append(ids, np.uint16(END)).astype("<u4")
+            out = []
+            data, offsets = hashing.buffers(batch["text"])
+            for first, last in hashing.pieces(offsets):
+                part = encoder.ids(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                for i, ids in enumerate(part, first):
+                    ids = np.append(ids, np.array(END, "<u4"))
                     for k, at in enumerate(range(0, len(ids), length)):
-                        part = ids[at : at + length]
-                        out.append((i, k, at, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None))
-                first = last
+                        piece = ids[at : at + length]
+                        out.append((i, k, at, len(piece), zlib.crc32(piece.tobytes()), piece.astype(np.int32) if with_ids else None))
             rows, *columns, ids = zip(*out, strict=True) if out else [()] * 6
             arrays = [batch["doc_id"].take(pa.array(rows, pa.int64())), *(pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]

@@ -2,9 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from cadenza.llm import packing
+from cadenza.llm import hashing, packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,9 +79,11 @@ def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
 def test_forgetting_words_changes_nothing():
     words = packing._Words(packing.vocabulary())
     texts = ["one two three", "four five one", "six. two, seven"]
-    before = [list(x) for x in words.ids(texts)]
-    packing_words, packing.WORDS = packing.WORDS, 3
+    ids = lambda t: [list(x) for x in words.ids(*hashing.buffers(pa.array(t)))]
+    before = ids(texts)
+    assert before == [e[:-1] for e in encoded(texts)]
+    most, packing.WORDS = packing.WORDS, 3
     try:
-        assert [list(words.ids([t])[0]) for t in texts] == before
+        assert [ids([t])[0] for t in texts] == before
     finally:
-        packing.WORDS = packing_words
+        packing.WORDS = most
