@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.llm import exact, html_text, mixing, near, packing, quality, url_filter
+from cadenza.llm import exact, fingerprints, html_text, mixing, near, packing, quality, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_exact_dedup": exact.query,
     "op7_best_fit_packing": packing.query,
     "op8_quality_classifier": quality.query,
+    "op9_document_fingerprints": fingerprints.query,
 }
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
