@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.llm import exact, fingerprints, html_text, mixing, near, packing, quality, url_filter
+from cadenza.llm import exact, fingerprints, html_text, mixing, near, packing, private, quality, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_minhash_near_dedup": near.query,
     "op4_html_extraction": html_text.query,
     "op5_exact_dedup": exact.query,
+    "op6_pii_spans": private.query,
     "op7_best_fit_packing": packing.query,
     "op8_quality_classifier": quality.query,
     "op9_document_fingerprints": fingerprints.query,
