@@ -45,7 +45,7 @@ SIGMAS = 7
 SHORT = 16
 BLOCK = 512
 
-_FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(1, WORDS + 1)]
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, WORDS + 1)], np.uint64)
 _SET = ["n", "f1", "f2"]
 
 
@@ -69,8 +69,8 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
             if n >= WORDS:
                 yield np.unique(runs[at : at + n - WORDS + 1])
             elif n:
-                few = sum((hashes[at + i] * _FACTORS[i] for i in range(n)), np.uint64(n))
-                yield hashing.mixed(np.array([few], np.uint64)).view(np.int64)
+                few = np.add.reduce(np.append(hashes[at : at + n] * _FACTORS[:n], np.uint64(n)), keepdims=True)
+                yield hashing.mixed(few).view(np.int64)
             else:
                 yield np.zeros(0, np.int64)
             at += n

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.llm import exact, fingerprints, html_text, mixing, near, packing, private, quality, url_filter
+from cadenza.llm import chat, exact, fingerprints, html_text, mixing, near, packing, private, quality, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -14,9 +14,12 @@ QUERIES = {
     "op7_best_fit_packing": packing.query,
     "op8_quality_classifier": quality.query,
     "op9_document_fingerprints": fingerprints.query,
+    "op10_preference_format": chat.query,
 }
+#: DuckDB SQL where SQL can express the operator.
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
     "op2_url_filter": url_filter.SQL,
     "op5_exact_dedup": exact.SQL,
+    "op10_preference_format": chat.SQL,
 }
