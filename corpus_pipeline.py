@@ -1,8 +1,59 @@
-"""The corpus pipeline; its stages follow as their operators are built."""
+"""From raw documents to packed sequences: five stages, each written as Parquet and read again by the next.
 
-STAGES = []
+Each stage works on all rows its predecessor kept. The filtering stages drop rows; mixing repeats them;
+all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cadenza.llm import exact, mixing, near, packing, quality
+from cadenza.llm.common import staged, table
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: the documents that it rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Exact dedup: of equal texts the row with the smallest doc_id stays."""
+    return exact.deduplicate(docs)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: one document of each group stays."""
+    return near.deduplicate(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: each document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing: pieces placed in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", good),
+    ("exact dedup", unique),
+    ("near dedup", distinct),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+
+#: The classifier and the tokenizer are beyond SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of `sf_dir`."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = staged(docs)
+    return docs
