@@ -1,6 +1,242 @@
-"""The registered queries and their oracles."""
+"""The registered queries and their oracles, over the stand-in entities. Doubles are rounded on both sides."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cadenza.operators import calendar, stats
+from cadenza.operators.asof import next_after
+from cadenza.plans import metrics, standins
+
+DIGITS = 6
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(f.name, DIGITS).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema))
+
+
+def _add(name: str, query, sql: str) -> None:
+    """Registers `query` and `sql`, which may use the stand-in tables."""
+    QUERIES[name] = lambda spark, sf_dir: _rounded(query(spark, sf_dir))
+    ORACLES[name] = f"WITH {standins.SQL}{sql}"
+
+
+def _of(metric, *entities):
+    """A query of a metric over stand-in entities."""
+    return lambda spark, sf_dir: metric(*(e(spark, sf_dir) for e in entities))
+
+
+MON, TUE = "date_trunc('week', {0})::TIMESTAMP", "(date_trunc('week', {0} - INTERVAL 1 DAY) + INTERVAL 1 DAY)::TIMESTAMP"
+CREATED, MERGED, STARTED = (MON.format(c) for c in ("created_at_dt", "merged_at_dt", "run_started_dt"))
+CREATED_TUE, MERGED_TUE, STARTED_TUE = (TUE.format(c) for c in ("created_at_dt", "merged_at_dt", "run_started_dt"))
+
+_OVERHEAD = f""",
+overhead AS (
+  SELECT repo_full, {CREATED} AS wk, median(pr_cycle_hours) AS pr_cycle_med_h, median(review_latency_hours) AS review_latency_med_h,
+         median(review_duration_hours) AS review_duration_med_h, median(review_count) AS review_count_med, median(pr_churn) AS pr_churn_med,
+         count(*) FILTER (state = 'MERGED') AS merged_prs, count(pr_number) AS prs_total
+  FROM prs WHERE created_at_dt IS NOT NULL AND repo_full IS NOT NULL GROUP BY ALL)"""
+_CI = f""",
+ci AS (
+  SELECT repo_full, {STARTED} AS wk, median(ci_duration_min) AS ci_duration_med_min, avg(is_failure::INT) AS ci_failure_rate, count(run_id) AS ci_runs
+  FROM runs WHERE run_started_dt IS NOT NULL AND ci_duration_min IS NOT NULL GROUP BY ALL)"""
+_KEYS = f""",
+keyed AS (
+  SELECT repo_full, {STARTED_TUE} AS wk, count(*) AS r FROM runs WHERE event IS NOT NULL GROUP BY repo_full, wk, head_sha, workflow_name, event),
+retries AS (
+  SELECT repo_full, wk, avg((r > 1)::INT) AS share_with_retry, avg(r) AS avg_runs_per_key, quantile_cont(r, 0.95) AS p95_runs_per_key, count(r) AS n_keys FROM keyed GROUP BY ALL),
+shas AS (
+  SELECT repo_full, {STARTED_TUE} AS wk, count(*) AS r FROM runs GROUP BY repo_full, wk, head_sha),
+sha_retries AS (
+  SELECT repo_full, wk, avg((r > 1)::INT) AS share_shas_with_retry, avg(r) AS avg_runs_per_sha, quantile_cont(r, 0.95) AS p95_runs_per_sha, count(r) AS n_sha FROM shas GROUP BY ALL)"""
+
+
+def _trailing(aggregate: str, value: str, rows: int = 4, least: int = 2) -> str:
+    over = f"OVER (PARTITION BY repo_full ORDER BY wk ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
+    return f"round(CASE WHEN count({value}) {over} >= {least} THEN {aggregate}({value}) {over} END, {DIGITS})"
+
+
+def _box(table: str, value: str, where: str = "true") -> str:
+    return f""",
+vals AS (SELECT repo_full, CAST({value} AS DOUBLE) AS v FROM {table} WHERE {where} AND {value} IS NOT NULL AND repo_full IS NOT NULL),
+cuts AS (SELECT repo_full, quantile_cont(v, 0.25) AS q1, median(v) AS med, quantile_cont(v, 0.75) AS q3 FROM vals GROUP BY repo_full),
+marked AS (SELECT *, v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM vals JOIN cuts USING (repo_full))
+SELECT repo_full, round(q1, 6) AS q1, round(med, 6) AS med, round(q3, 6) AS q3, round(min(v) FILTER (inside), 6) AS whisker_low,
+       round(max(v) FILTER (inside), 6) AS whisker_high, count(*) FILTER (NOT inside) AS n_outliers, count(*) AS n
+FROM marked GROUP BY repo_full, q1, med, q3"""
+
+
+S = standins
+
+_add("merge_frequency_weekly", _of(metrics.merge_frequency, S.prs), f"""
+SELECT repo_full, {MERGED} AS week, count(pr_number) AS merge_frequency FROM prs WHERE state = 'MERGED' AND merged_at_dt IS NOT NULL GROUP BY ALL""")
+
+_add("review_overhead_weekly", _of(metrics.review_overhead, S.prs), _OVERHEAD + """
+SELECT repo_full, wk AS week, round(pr_cycle_med_h, 6) AS pr_cycle_med_h, round(review_latency_med_h, 6) AS review_latency_med_h,
+       round(review_duration_med_h, 6) AS review_duration_med_h, round(review_count_med, 6) AS review_count_med, round(pr_churn_med, 6) AS pr_churn_med, merged_prs, prs_total
+FROM overhead""")
+
+_add("review_overhead_short_weekly", _of(metrics.review_overhead_short, S.prs), _OVERHEAD + """
+SELECT repo_full, wk AS week, round(review_count_med, 6) AS review_count_med, round(review_latency_med_h, 6) AS review_latency_med_h,
+       round(review_duration_med_h, 6) AS review_duration_med_h, prs_total FROM overhead""")
+
+_add("ci_weekly", _of(metrics.ci_weekly, S.runs), _CI + """
+SELECT repo_full, wk AS week, round(ci_duration_med_min, 6) AS ci_duration_med_min, round(ci_failure_rate, 6) AS ci_failure_rate, ci_runs FROM ci""")
+
+_add("ci_capped_weekly", _of(metrics.ci_capped_weekly, S.runs), f"""
+SELECT repo_full, {STARTED_TUE} AS week, round(median(ci_duration_min), 6) AS ci_duration_med, round(avg(is_failure::INT), 6) AS failure_rate, count(*) AS n
+FROM runs WHERE ci_duration_min BETWEEN 0 AND 360 GROUP BY ALL""")
+
+_add("ci_capped_p99_weekly", _of(metrics.ci_capped_p99, S.runs), f"""
+SELECT repo_full, {STARTED_TUE} AS week, round(median(ci_duration_min), 6) AS ci_duration_med, round(avg(is_failure::INT), 6) AS failure_rate, count(*) AS n
+FROM runs WHERE ci_duration_min BETWEEN 0 AND (SELECT quantile_cont(ci_duration_min, 0.99) FROM runs) GROUP BY ALL""")
+
+_add("ci_flakiness_weekly", _of(metrics.runs_per_sha_weekly, S.runs), f""",
+per AS (SELECT repo_full, {STARTED} AS wk, count(*) AS r FROM runs GROUP BY repo_full, wk, head_sha)
+SELECT repo_full, wk AS week, round(avg(r), 6) AS avg_runs_per_sha, round(quantile_cont(r, 0.95), 6) AS p95_runs_per_sha FROM per GROUP BY ALL""")
+
+_add("ci_true_retry_weekly", _of(metrics.true_retry_weekly, S.runs), _KEYS + """
+SELECT repo_full, wk AS week, round(share_with_retry, 6) AS share_with_retry, round(avg_runs_per_key, 6) AS avg_runs_per_key,
+       round(p95_runs_per_key, 6) AS p95_runs_per_key, n_keys FROM retries""")
+
+_add("ci_sha_retry_weekly", _of(metrics.sha_retry_weekly, S.runs), _KEYS + """
+SELECT repo_full, wk AS week, round(share_shas_with_retry, 6) AS share_shas_with_retry, round(avg_runs_per_sha, 6) AS avg_runs_per_sha,
+       round(p95_runs_per_sha, 6) AS p95_runs_per_sha, n_sha FROM sha_retries""")
+
+_add("ci_failure_volatility", _of(metrics.failure_volatility, S.long_runs), f""",
+rates AS (SELECT repo_full, {STARTED} AS wk, avg(is_failure::INT) AS failure_rate, count(run_id) AS n FROM long_runs GROUP BY ALL)
+SELECT repo_full, wk AS week, round(failure_rate, 6) AS failure_rate, n, {_trailing("stddev_samp", "failure_rate", 8, 4)} AS failure_volatility_8w FROM rates""")
+
+_add("ci_weekly_volatility", _of(lambda r: metrics.weekly_volatility(metrics.ci_weekly(r)), S.runs), _CI + f"""
+SELECT repo_full, wk AS week, round(ci_failure_rate, 6) AS ci_failure_rate, {_trailing("stddev_samp", "ci_failure_rate", 8, 4)} AS ci_failure_volatility_8w FROM ci""")
+
+_add("release_frequency_monthly", _of(metrics.release_frequency, S.releases), """
+SELECT repo_full, date_trunc('month', release_time_dt)::TIMESTAMP AS month, count(release_id) AS release_frequency FROM releases WHERE repo_full IS NOT NULL GROUP BY ALL""")
+
+_CD = """round(avg(is_failure::INT), 6) AS cd_failure_rate, round(1 - avg(is_failure::INT), 6) AS cd_success_rate, round(median(ci_duration_min), 6) AS cd_duration_med_min"""
+_add("cd_workflow_weekly", _of(metrics.cd_weekly, S.runs), f"""
+SELECT repo_full, {STARTED} AS week, count(run_id) AS cd_runs, {_CD} FROM runs WHERE is_cd_workflow GROUP BY ALL""")
+
+
+def _cd_iso(spark, sf_dir):
+    found = metrics.cd_success_iso_weekly(standins.runs(spark, sf_dir), r"(?i)(\bpurchase\b|\bsign\b)")
+    return found.withColumn("week", F.concat(F.date_format("week", "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00")))
+
+
+_add("cd_success_iso_weekly", _cd_iso, rf"""
+SELECT repo_full, strftime(date_trunc('week', run_started_dt), '%Y-%m-%d %H:%M:%S+00:00') AS week, count(*) AS cd_runs, {_CD}
+FROM runs WHERE regexp_matches(workflow_name, '(?i)(\bpurchase\b|\bsign\b)') GROUP BY ALL""")
+
+_TTR = """,
+ttr AS (
+  SELECT p.repo_full, p.pr_number, p.merged_at_dt, r.release_time_dt AS release_time, (epoch_us(r.release_time_dt) - epoch_us(p.merged_at_dt)) / 8.64e10 AS d
+  FROM (SELECT * FROM prs WHERE state = 'MERGED') p ASOF JOIN (SELECT DISTINCT repo_full, release_time_dt FROM releases WHERE repo_full IS NOT NULL) r
+    ON p.repo_full = r.repo_full AND r.release_time_dt >= p.merged_at_dt)"""
+_add("time_to_release_monthly", _of(metrics.time_to_release_monthly, S.prs, S.releases), _TTR + """
+SELECT repo_full, date_trunc('month', merged_at_dt)::TIMESTAMP AS month, round(median(d), 6) AS time_to_release_med_days, count(d) AS n FROM ttr GROUP BY ALL""")
+
+_add("time_to_release_series", lambda s, d: metrics.time_to_release_series(QUERIES["time_to_release_monthly"](s, d)), _TTR + """
+SELECT repo_full, date_trunc('month', merged_at_dt)::TIMESTAMP AS month, round(median(d), 6) AS time_to_release_med_days, count(d) AS n FROM ttr GROUP BY ALL ORDER BY month, repo_full""")
+
+_add("time_to_release_level", lambda s, d: metrics.time_to_release(S.prs(s, d), S.releases(s, d)).select("repo_full", "pr_number", "merged_at_dt", "release_time", "time_to_release_days"), _TTR + """
+SELECT repo_full, pr_number, merged_at_dt, release_time, round(d, 6) AS time_to_release_days FROM ttr""")
+
+
+def _events_asof(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    clicks = events.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    return next_after(clicks, events.where("event_type = 'error'").select("user_id", "ts"), "user_id", "ts", "ts", "next_error", 7)
+
+
+_add("asof_next_event", _events_asof, """,
+e AS (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'error')
+SELECT c.event_id, c.user_id, c.ts, e.ts AS next_error FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF JOIN e ON c.user_id = e.user_id AND e.ts >= c.ts""")
+
+_add("churn_item_level", _of(metrics.churn_by_pr, S.prs), """
+SELECT repo_full, pr_number, additions, deletions, pr_churn FROM prs""")
+
+_add("review_duration_item_level", _of(metrics.review_duration_by_pr, S.prs), """
+SELECT repo_full, pr_number, created_at_dt, first_review_dt, done_at_dt, round(review_duration_hours, 6) AS review_duration_hours FROM prs""")
+
+_add("cycle_smoothed", _of(metrics.cycle_weekly, S.prs), f""",
+w AS (SELECT repo_full, {CREATED_TUE} AS wk, median(pr_cycle_hours) AS h FROM prs WHERE pr_cycle_hours IS NOT NULL GROUP BY ALL)
+SELECT repo_full, wk AS week, round(h, 6) AS pr_cycle_hours, {_trailing("median", "h")} AS pr_cycle_smooth FROM w""")
+
+_add("merge_smoothed", _of(metrics.merge_smoothed, S.prs), f""",
+w AS (SELECT repo_full, {MERGED_TUE} AS wk, count(pr_number) AS m FROM prs WHERE state = 'MERGED' AND merged_at_dt IS NOT NULL GROUP BY ALL)
+SELECT repo_full, wk AS week, m AS merge_count, {_trailing("avg", "m")} AS merge_smooth FROM w""")
+
+_add("flakiness_smoothed", _of(lambda r: metrics.flakiness_smoothed(metrics.true_retry_weekly(r)), S.runs), _KEYS + f"""
+SELECT repo_full, wk AS week, round(share_with_retry, 6) AS share_with_retry, n_keys, {_trailing("avg", "share_with_retry")} AS share_smooth
+FROM (SELECT * FROM retries WHERE n_keys >= 20)""")
+
+for _name, _metric, _column, _smooth in (
+    ("review_duration_smoothed", metrics.review_duration_smoothed, "review_duration_med_h", "review_duration_smooth"),
+    ("review_latency_smoothed", metrics.review_latency_smoothed, "review_latency_med_h", "review_latency_smooth"),
+):
+    _add(_name, _of(lambda p, m=_metric: m(metrics.review_overhead(p)), S.prs), _OVERHEAD + f"""
+SELECT repo_full, wk AS week, round({_column}, 6) AS {_column}, {_trailing("median", _column)} AS {_smooth} FROM (SELECT * FROM overhead WHERE {_column} IS NOT NULL)""")
+
+_add("latency_box", _of(metrics.latency_box, S.prs), _box("prs", "review_latency_hours"))
+_add("churn_box", _of(metrics.churn_box, S.prs), _box("prs", "pr_churn", "pr_churn > 0"))
+
+_add("retry_describe", _of(metrics.retry_describe, S.runs), _KEYS + """
+SELECT repo_full, count(r) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, CAST(min(r) AS DOUBLE) AS least, round(quantile_cont(r, 0.5), 6) AS p50,
+       round(quantile_cont(r, 0.9), 6) AS p90, round(quantile_cont(r, 0.95), 6) AS p95, round(quantile_cont(r, 0.99), 6) AS p99, CAST(max(r) AS DOUBLE) AS most
+FROM keyed GROUP BY repo_full""")
+
+_add("run_time_range", _of(lambda r: stats.time_range(r, "run_started_dt"), S.runs), """
+SELECT repo_full, min(run_started_dt) AS first_time, max(run_started_dt) AS last_time, round((epoch_us(max(run_started_dt)) - epoch_us(min(run_started_dt))) / 8.64e10, 6) AS range_days,
+       count(*) AS n FROM runs GROUP BY repo_full""")
+
+_add("entities", _of(stats.entities, S.runs), "SELECT DISTINCT repo_full FROM runs ORDER BY repo_full")
+
+_add("table_repo_comparison", lambda s, d: metrics.repo_comparison(_orders_ci(s, d), cycle_weekly=metrics.cycle_weekly(S.prs(s, d))), f""",
+oci AS (SELECT o_orderpriority AS repo_full, date_trunc('week', o_orderdate)::TIMESTAMP AS wk, median(o_totalprice) AS minutes, avg((o_orderstatus = 'F')::INT) AS failed FROM orders GROUP BY ALL),
+cyc AS (SELECT repo_full, {CREATED_TUE} AS wk, median(pr_cycle_hours) AS h FROM prs WHERE pr_cycle_hours IS NOT NULL GROUP BY ALL)
+SELECT a.repo_full, round(a.m, 6) AS median_ci_duration_min, round(a.f, 6) AS median_failure_rate, round(b.h, 6) AS median_pr_cycle_h
+FROM (SELECT repo_full, median(minutes) AS m, median(failed) AS f FROM oci GROUP BY repo_full) a LEFT JOIN (SELECT repo_full, median(h) AS h FROM cyc GROUP BY repo_full) b USING (repo_full)""")
+
+
+def _orders_ci(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    runs = orders.select(
+        F.col("o_orderpriority").alias("repo_full"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("run_started_dt"),
+        F.col("o_totalprice").alias("ci_duration_min"), (F.col("o_orderstatus") == "F").alias("is_failure"),
+    )
+    return metrics.ci_weekly(runs)
+
+
+def _debt(spark, sf_dir):
+    prs = S.prs(spark, sf_dir)
+    return metrics.debt_overview(prs, metrics.sha_retry_weekly(S.runs(spark, sf_dir)), metrics.review_overhead(prs), metrics.snapshots_tidy(S.snapshots(spark, sf_dir)))
+
+
+_add("table_debt_overview", _debt, _OVERHEAD + _KEYS + """,
+a AS (SELECT repo_full, median(pr_churn) AS pr_churn_med FROM prs GROUP BY repo_full),
+b AS (SELECT repo_full, avg(avg_runs_per_sha) AS ci_runs_per_sha FROM sha_retries GROUP BY repo_full),
+c AS (SELECT repo_full, median(review_latency_med_h) AS review_overhead_med_h FROM overhead GROUP BY repo_full),
+d AS (SELECT c_mktsegment AS repo_full, median(CASE WHEN c_custkey % 10 <> 0 THEN c_acctbal END) AS debt_ratio_med FROM customer GROUP BY c_mktsegment)
+SELECT repo_full, round(pr_churn_med, 6) AS pr_churn_med, round(ci_runs_per_sha, 6) AS ci_runs_per_sha, round(review_overhead_med_h, 6) AS review_overhead_med_h,
+       round(debt_ratio_med, 6) AS debt_ratio_med
+FROM a FULL JOIN b USING (repo_full) FULL JOIN c USING (repo_full) FULL JOIN d USING (repo_full)""")
+
+_add("snapshots_tidy", lambda s, d: metrics.snapshots_tidy(S.snapshots(s, d)).withColumn("snapshot_date", F.date_format("snapshot_date", "yyyy-MM-dd HH:mm:ss")), """
+SELECT c_mktsegment AS repo_full, '2024-02-01 00:00:00' AS snapshot_date, round(CASE WHEN c_custkey % 10 <> 0 THEN c_acctbal END, 6) AS sqale_debt_ratio FROM customer""")
+
+_add("snapshot_calendar", lambda s, d: calendar.snapshot_dates(s, "2024-01-15", "2026-01-01", "quarterly"), """
+SELECT CAST(d AS TIMESTAMP) AS snapshot_date FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2025-12-31', INTERVAL 3 MONTH) t(d)""")
+
+_add("capability_matrix", lambda s, d: metrics.capability_matrix(s), """
+SELECT metric, capability, CAST(list_contains(found, capability) AS INT) AS mapped
+FROM (VALUES ('PR Cycle Time', ['Fast Feedback']), ('Review Latency', ['Fast Feedback', 'Code Review']), ('Merge Frequency', ['Trunk-based Dev']),
+             ('CI Duration', ['Continuous Integration']), ('CI Failure Rate', ['Continuous Integration', 'Automated Testing'])) m(metric, found),
+     (VALUES ('Fast Feedback'), ('Code Review'), ('Trunk-based Dev'), ('Continuous Integration'), ('Automated Testing')) c(capability)""")
+
+_add("capability_observability", lambda s, d: metrics.observability(s), """
+SELECT * FROM (VALUES ('Continuous Integration', 5), ('Trunk-based Development', 4), ('Fast Feedback', 5), ('Automated Testing', 4), ('Observability', 2),
+                      ('Lean Management', 1), ('Culture', 0)) t(capability, score)""")
