@@ -4,35 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "boolean": T.BooleanType()}
 
-def _of(spec: str) -> T.StructType:
-    return T._parse_datatype_string(spec)
 
+def _of(**columns) -> T.StructType:
+    """A struct of column=type, each a type or the name of one."""
+    return T.StructType([T.StructField(n, _TYPES.get(t, t) if isinstance(t, str) else t) for n, t in columns.items()])
+
+
+S, N, B = "string", "bigint", "boolean"
 
 PRS = _of(
-    "owner string, repo string, repo_full string, pr_number bigint, created_at string, merged_at string, closed_at string, state string, is_draft boolean, "
-    "additions bigint, deletions bigint, changed_files bigint, commit_count bigint, author string, merge_sha string, first_review_at string, review_count bigint"
+    owner=S, repo=S, repo_full=S, pr_number=N, created_at=S, merged_at=S, closed_at=S, state=S, is_draft=B, additions=N, deletions=N, changed_files=N, commit_count=N,
+    author=S, merge_sha=S, first_review_at=S, review_count=N,
 )
 RUNS = _of(
-    "owner string, repo string, repo_full string, run_id bigint, workflow_name string, event string, status string, conclusion string, created_at string, "
-    "run_started_at string, updated_at string, head_sha string, pr_numbers array<bigint>"
-)
-RELEASES = _of(
-    "owner string, repo string, repo_full string, release_id bigint, tag_name string, name string, draft boolean, prerelease boolean, created_at string, published_at string"
+    owner=S, repo=S, repo_full=S, run_id=N, workflow_name=S, event=S, status=S, conclusion=S, created_at=S, run_started_at=S, updated_at=S, head_sha=S,
+    pr_numbers=T.ArrayType(T.LongType()),
 )
+RELEASES = _of(owner=S, repo=S, repo_full=S, release_id=N, tag_name=S, name=S, draft=B, prerelease=B, created_at=S, published_at=S)
 SNAPSHOTS = _of(
-    "repo_full string, snapshot_date string, commit string, code_smells string, sqale_debt_ratio string, complexity string, duplicated_lines_density string, "
-    "sqale_rating string, sqale_index string"
+    repo_full=S, snapshot_date=S, commit=S, code_smells=S, sqale_debt_ratio=S, complexity=S, duplicated_lines_density=S, sqale_rating=S, sqale_index=S
 )
 
 #: A change request as the query interface returns it; a run and a release as the paged interface does.
+_REVIEW = _of(createdAt=S, state=S, author=_of(login=S))
 PR_NODE = _of(
-    "number bigint, title string, createdAt string, mergedAt string, closedAt string, state string, isDraft boolean, additions bigint, deletions bigint, changedFiles bigint, "
-    "baseRefName string, headRefName string, commits struct<totalCount:bigint>, author struct<login:string>, mergeCommit struct<oid:string>, "
-    "reviews struct<nodes:array<struct<createdAt:string,state:string,author:struct<login:string>>>>"
+    number=N, title=S, createdAt=S, mergedAt=S, closedAt=S, state=S, isDraft=B, additions=N, deletions=N, changedFiles=N, baseRefName=S, headRefName=S,
+    commits=_of(totalCount=N), author=_of(login=S), mergeCommit=_of(oid=S), reviews=_of(nodes=T.ArrayType(_REVIEW)),
 )
 RUN_NODE = _of(
-    "id bigint, name string, event string, status string, conclusion string, created_at string, run_started_at string, updated_at string, head_sha string, "
-    "pull_requests array<struct<number:bigint>>"
+    id=N, name=S, event=S, status=S, conclusion=S, created_at=S, run_started_at=S, updated_at=S, head_sha=S, pull_requests=T.ArrayType(_of(number=N))
 )
-RELEASE_NODE = _of("id bigint, tag_name string, name string, draft boolean, prerelease boolean, created_at string, published_at string")
+RELEASE_NODE = _of(id=N, tag_name=S, name=S, draft=B, prerelease=B, created_at=S, published_at=S)

@@ -1,0 +1,36 @@
+import random
+from datetime import datetime, timedelta
+
+import pytest
+
+from cadenza.operators.asof import next_after
+
+START = datetime(2024, 1, 1)
+
+
+def brute(left, right):
+    out = []
+    for key, t, n in left:
+        later = [r for k, r in right if k == key and k is not None and r is not None and t is not None and r >= t]
+        if later:
+            out.append((key, t, n, min(later)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("slot", [1, 7, 400])
+def test_against_brute_force(spark, slot):
+    rng = random.Random(slot)
+    at = lambda: START + timedelta(hours=rng.randrange(0, 24 * 60, 6))  # noqa: E731  many ties
+    left = [(rng.choice("abcd"), at(), i) for i in range(300)] + [(None, at(), 900), ("a", None, 901)]
+    right = [(rng.choice("abce"), at()) for _ in range(60)] + [(None, at()), ("a", None)]
+    a = spark.createDataFrame(left, "k string, t timestamp_ntz, row int")
+    b = spark.createDataFrame(right, "k string, r timestamp_ntz")
+    got = sorted(tuple(r) for r in next_after(a, b, "k", "t", "r", "found", slot).collect())
+    assert got == brute(left, right)
+
+
+def test_empty_sides(spark):
+    a = spark.createDataFrame([("a", START, 1)], "k string, t timestamp_ntz, n int")
+    b = spark.createDataFrame([], "k string, r timestamp_ntz")
+    assert next_after(a, b, "k", "t", "r", "found").collect() == []
+    assert next_after(a.limit(0), b, "k", "t", "r", "found").collect() == []
