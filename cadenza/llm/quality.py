@@ -12,7 +12,7 @@ modulo FOLDS is not 0. This sample is the only bounded input; features and score
 
 Defined results: null text counts as empty; empty texts get the score of their zero features. Labels
 that are null don't count; of several labels of a doc_id the largest does. Without labelled rows of
-both kinds every score is the share of label 1, or 0.5. An empty table gives an empty result. Repeated
+both kinds every score is the share of label 1 (0.001 to 0.999), or 0.5. An empty table gives an empty result. Repeated
 rows are scored alike. Columns beside text pass through `score` whatever their names.
 """
 
@@ -156,8 +156,9 @@ def _cross(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 60, rate: float = 0.15, most_pairs: int = 8) -> Additive:
     """Fits the tables; `y` is 0 or 1."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
-        return Additive(float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    if not len(y) or not 0 < share < 1:
+        share = min(max(share, 1e-3), 1 - 1e-3)
+        return Additive(float(np.log(share / (1 - share))))
     model = Additive(float(np.log(share / (1 - share))))
     quantiles = lambda j, n: np.unique(np.quantile(x[:, j], np.linspace(0, 1, n + 1)[1:-1]))
     model.edges = [quantiles(j, 64) for j in range(x.shape[1])]
