@@ -35,7 +35,7 @@ LENGTH = 2048
 OPEN = 4096
 GROUP = 8192
 END = 0
-WORDS = 2_000_000
+WORDS = 1_000_000
 JOINED = 200
 
 #: Words end at these bytes alone, and before a full stop or comma that follows a letter or digit and ends them.
@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fa
         for batch in batches:
             out = []
             data, offsets = hashing.buffers(batch["text"])
-            for first, last in hashing.pieces(offsets):
+            for first, last in hashing.pieces(offsets, 1 << 19):
                 part = encoder.ids(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 for i, ids in enumerate(part, first):
                     ids = np.append(ids, np.array(END, "<u4"))
