@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +49,10 @@ def first_available(spark: SparkSession, options: Sequence[tuple[str, Callable[[
         if exists(spark, path):
             return reader(path)
     raise FileNotFoundError(f"{what}: none of {[p for p, _ in options]} exists")
+
+
+def combined(tables: Sequence[DataFrame]) -> DataFrame:
+    """All rows of per-repository tables, matched by column name; columns that one lacks are null there."""
+    if not tables:
+        raise ValueError("there is no table to combine")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

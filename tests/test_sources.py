@@ -30,6 +30,13 @@ def test_first_available(spark):
         files.first_available(spark, [(f"{FIXTURES}/none.csv", read)])
 
 
+def test_combined(spark):
+    a, b = spark.createDataFrame([(1, "x")], "n int, s string"), spark.createDataFrame([("y", True)], "s string, flag boolean")
+    assert sorted(map(tuple, files.combined([a, b]).collect()), key=str) == [(1, "x", None), (None, "y", True)]
+    with pytest.raises(ValueError):
+        files.combined([])
+
+
 def node(n, created, reviews=None):
     return {"number": n, "createdAt": created, "state": "OPEN", "author": None, "commits": {"totalCount": 2}, "mergeCommit": None, "reviews": {"nodes": reviews} if reviews is not None else None}
 
