@@ -31,6 +31,9 @@ CELLS = 12
 GROWTH = 4
 ATTEMPTS = 7
 ROUNDS = 20
+SPAN = 64
+#: Ranges of doc_id for each shuffle partition, so that partitions get about equally much.
+RANGES = 4
 
 
 def _long(x) -> Column:
@@ -59,15 +62,30 @@ def _cell(n: Column, k: Column, c: Column) -> Column:
     return F.struct(n.cast("long").alias("n"), k.alias("k"), c.alias("c"))
 
 
-def cells(digests: Column, width: Column) -> Column:
-    """The sketch of `digests` with three parts of `width` cells."""
-    entries = F.transform(digests, lambda d: F.struct(d.alias("k"), _check(d).alias("c"), *(_place(d, p, width).alias(f"p{p}") for p in range(3))))
+def _entries(digests: Column, n: Column) -> Column:
+    return F.transform(digests, lambda d: F.struct(n.alias("n"), d.alias("k")))
+
+
+def _built(entries: Column, width: Column) -> Column:
+    """The sketch of signed digests (n, k) with three parts of `width` cells.
+
+    Each part is built by spans of SPAN cells, so the work is entries times (spans + SPAN), not entries times cells.
+    """
+    full = F.transform(entries, lambda e: F.struct(e.n.alias("n"), e.k.alias("k"), _check(e.k).alias("c"), *(_place(e.k, p, width).alias(f"p{p}") for p in range(3))))
 
     def part(found: Column, p: int) -> Column:
-        add = lambda at: lambda a, e: F.when(e[f"p{p}"] == at, _cell(a.n + 1, a.k.bitwiseXOR(e.k), a.c.bitwiseXOR(e.c))).otherwise(a)
-        return F.transform(F.sequence(_long(0), width - 1), lambda at: F.aggregate(found, _cell(_long(0), _long(0), _long(0)), add(at)))
+        add = lambda at: lambda a, e: F.when(e[f"p{p}"] == at, _cell(a.n + e.n, a.k.bitwiseXOR(e.k), a.c.bitwiseXOR(e.c))).otherwise(a)
+        one = lambda near: lambda at: F.aggregate(near, _cell(_long(0), _long(0), _long(0)), add(at))
+        within = lambda g: F.sequence(g * SPAN, F.least((g + 1) * SPAN, width) - 1)
+        span = lambda g: _let(F.filter(found, lambda e: F.shiftright(e[f"p{p}"], SPAN.bit_length() - 1) == g), lambda near: F.transform(within(g), one(near)))
+        return F.flatten(F.transform(F.sequence(_long(0), F.shiftright(width - 1, SPAN.bit_length() - 1)), span))
 
-    return _let(entries, lambda found: F.concat(*(part(found, p) for p in range(3))))
+    return _let(full, lambda found: F.concat(*(part(found, p) for p in range(3))))
+
+
+def cells(digests: Column, width: Column) -> Column:
+    """The sketch of `digests` with three parts of `width` cells."""
+    return _built(_entries(digests, _long(1)), width)
 
 
 def _minus(a: Column, b: Column) -> Column:
@@ -78,23 +96,15 @@ def peeled(difference: Column, width: Column) -> Column:
     """(left, only_a, only_b) of a difference of sketches: what stays stuck, and the digests of either side."""
 
     def without(state: Column, pure: Column) -> Column:
-        def one(cell: Column, i: Column) -> Column:
-            at = i.cast("long") % width
-            take = lambda a, e: F.when(
-                F.when(i < width, e.p0).when(i < width * 2, e.p1).otherwise(e.p2) == at,
-                _cell(a.n - e.n, a.k.bitwiseXOR(e.k), a.c.bitwiseXOR(_check(e.k))),
-            ).otherwise(a)
-            return F.aggregate(pure, cell, take)
-
         side = lambda sign: F.transform(F.filter(pure, lambda e: e.n == sign), lambda e: e.k)
         return F.struct(
-            F.transform(state.left, one).alias("left"),
+            _minus(state.left, _built(pure, width)).alias("left"),
             F.concat(state.only_a, side(1)).alias("only_a"), F.concat(state.only_b, side(-1)).alias("only_b"),
         )
 
     def once(state: Column, _: Column) -> Column:
         single = F.filter(state.left, lambda c: (F.abs(c.n) == 1) & (_check(c.k) == c.c))
-        pure = F.array_distinct(F.transform(single, lambda c: F.struct(c.n.alias("n"), c.k.alias("k"), *(_place(c.k, p, width).alias(f"p{p}") for p in range(3)))))
+        pure = F.array_distinct(F.transform(single, lambda c: F.struct(c.n.alias("n"), c.k.alias("k"))))
         return _let(pure, lambda found: F.when(F.size(found) == 0, state).otherwise(without(state, found)))
 
     none = F.array().cast("array<bigint>")
@@ -137,7 +147,7 @@ def fingerprint(digests: Column) -> Column:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, digests, next_text, next_digests): each document and the next in descending doc_id, the first after the last."""
-    ranges = partitions(docs.sparkSession)
+    ranges = partitions(docs.sparkSession) * RANGES
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     shares = [i / ranges for i in range(1, ranges)]
     bounds = (docs.agg(F.percentile_approx("doc_id", shares, 100 * ranges)).first()[0] if shares else None) or []

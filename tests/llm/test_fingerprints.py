@@ -57,6 +57,11 @@ def test_edge_rows(spark, tmp_path):
     assert run(query_over(spark, [(*r, "x", 1) for r in rows], tmp_path)) == brute(rows)
 
 
+def test_very_long_texts(spark, tmp_path):
+    rows = [(2, "\n".join(f"line {i}" for i in range(12000))), (1, "\n".join(f"line {i}" for i in range(6000, 15000)))]
+    assert run(query_over(spark, [(*r, "x", 1) for r in rows], tmp_path)) == brute(rows)
+
+
 def test_single_and_empty_tables(spark, tmp_path):
     assert run(query_over(spark, [(1, "a\nbc", "x", 1)], tmp_path / "one")) == brute([(1, "a\nbc")])
     assert query_over(spark, [], tmp_path / "none").collect() == []
