@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,16 +64,34 @@ def word_count(text: Column) -> Column:
 MAP_BITS = 1 << 23
 
 
+def _spot(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(MAP_BITS))
+
+
+def _marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """`rows` with `map_hit`: whether `key` may be in the first column of `wanted`; False is certain."""
+    bits = wanted.select(_spot(wanted.columns[0]).alias("spot")).groupBy(F.shiftright("spot", 6).alias("map_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("map_mask")
+    )
+    near = rows.join(F.broadcast(bits), F.shiftright(_spot(key), 6) == F.col("map_word"), "left")
+    hit = F.getbit("map_mask", _spot(key).bitwiseAND(F.lit(63)).cast("int")) == 1
+    return near.withColumn("map_hit", F.coalesce(hit, F.lit(False))).drop("map_word", "map_mask")
+
+
 def maybe_wanted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows whose `key` may be in the first column of `wanted`; an exact join follows.
 
     It drops most rows before that join shuffles them. The map has MAP_BITS bits, so what is broadcast
     is bounded whatever the tables' sizes; a map that fills up lets more rows through, no more.
     """
-    spot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(MAP_BITS))
-    bits = wanted.select(spot(wanted.columns[0]).alias("spot")).groupBy(F.shiftright("spot", 6).alias("map_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("map_mask")
-    )
-    at = spot(key)
-    near = rows.join(F.broadcast(bits), F.shiftright(at, 6) == F.col("map_word"))
-    return near.where(F.getbit("map_mask", at.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("map_word", "map_mask")
+    return _marked(rows, key, wanted).where("map_hit").drop("map_hit")
+
+
+def sifted(rows: DataFrame, key: str, some: DataFrame, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`rows`, with `rule` applied to those whose `key` may be in the first column of `some`.
+
+    The others pass as they are, so a rule that shuffles its rows moves few of them. `rule` must
+    return unchanged the rows whose key isn't in `some`.
+    """
+    marked = _marked(rows, key, some)
+    return marked.where("NOT map_hit").drop("map_hit").unionByName(rule(marked.where("map_hit").drop("map_hit")))

@@ -6,13 +6,14 @@ UTF-8. It is cut into chunks of CHUNK bytes; each has a polynomial hash modulo a
     h(c) = c[0] + c[1] B + c[2] B^2 + ...      h(ab) = h(a) + B^|a| h(b)
 
 Chunks are hashed apart, and Spark folds a text's chunk hashes by the length-shifted sum above.
-Rows with equal (length, fingerprint) form a group. Within each group the text of every row is
-compared with the keeper's, chunk against chunk with equal index, so no task ever holds a group or
-two whole texts side by side. Rows that differ from their keeper, which a collision alone can
-cause, form classes of their own by SHA-256; so the result never rests on the fingerprint.
+Rows with equal (length, fingerprint) form a group. The texts of a group are compared chunk by chunk:
+for each index the least and the greatest version are kept while chunks stream by, on both sides of the
+shuffle, so copies meet before they are sent and no task holds a group or a whole text of one. A group
+with two versions of a chunk, which a collision alone can cause, is told apart by SHA-256 as well; so
+the result never rests on the fingerprint.
 
 Only rows of groups of two or more are read again for the comparison; a fixed-size bitmap of their
-ids drops the others before the shuffle.
+ids drops the others.
 
 Defined results: the row with the smallest doc_id stays, a null doc_id counting as the largest. Of
 repeated rows with one doc_id and equal text one stays. Empty, null and blank texts: null and empty
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm import hashing
-from cadenza.llm.common import maybe_wanted, staged, table
+from cadenza.llm.common import SPACE, maybe_wanted, sifted, staged, table
 
 CHUNK = 1 << 16
 PRIME = (1 << 31) - 1
@@ -122,62 +123,72 @@ def fingerprints(docs: DataFrame, bases: tuple[int, int] = BASES, chunk: int = C
 _KEY = ["n_bytes", "h1", "h2"]
 
 
-def _compared(docs: DataFrame, members: DataFrame, chunk: int) -> DataFrame:
-    """(n_bytes, h1, h2, sha) of the rows of groups whose text differs from their keeper's."""
-    wanted = maybe_wanted(docs.select("doc_id", "text"), "doc_id", members)
-    texts = wanted.join(members, F.col("doc_id").eqNullSafe(F.col("member_id"))).select("text", *_KEY, "sha", "keeper_sha", "is_keeper")
+def _folded(chunks: list[dict]) -> tuple[int, int]:
+    """The same fold for one text."""
+    h1 = h2 = 0
+    s1 = s2 = 1
+    for c in chunks:
+        h1, h2 = (h1 + s1 * c["h1"]) % PRIME, (h2 + s2 * c["h2"]) % PRIME
+        s1, s2 = s1 * c["s1"] % PRIME, s2 * c["s2"] % PRIME
+    return h1, h2
+
+
+def _broken(docs: DataFrame, members: DataFrame, bases: tuple[int, int], chunk: int) -> DataFrame:
+    """The keys of groups whose texts are not all equal: some chunk has a least and a greatest version that differ."""
 
     def run(batches):
+        hashed = _hasher(bases, chunk)
         for batch in batches:
-            picked, nth, parts = [], [], []
-            shas = batch["sha"].to_pylist()
-            for first, _, data, bounds in _normalised(batch["text"]):
+            rows = []
+            for _, _, data, bounds in _normalised(batch["text"]):
                 view = memoryview(data)
-                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), first):
-                    if hashlib.sha256(view[a:b]).hexdigest() != shas[i]:
-                        continue  # another row with the same doc_id
-                    for k, at in enumerate(range(a, b, chunk)):
-                        picked.append(i)
-                        nth.append(k)
-                        parts.append(bytes(view[at : min(at + chunk, b)]))
-            rows = batch.select([*_KEY, "sha", "is_keeper"]).take(pa.array(picked, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(nth, pa.int64()), pa.array(parts, pa.binary())], names=[*rows.schema.names, "nth", "part"])
-
-    schema = "n_bytes bigint, h1 bigint, h2 bigint, sha string, is_keeper boolean, nth bigint, part binary"
-    chunks = texts.select("text", *_KEY, "sha", "is_keeper").mapInArrow(run, schema)
-    kept = chunks.where("is_keeper").select(*_KEY, "nth", F.col("part").alias("keeper_part")).dropDuplicates([*_KEY, "nth"])
-    return chunks.where("NOT is_keeper").join(kept, [*_KEY, "nth"]).where("part <> keeper_part").select(*_KEY, "sha").distinct()
+                for found, a, b in zip(hashed(data, bounds), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    h1, h2 = _folded(found)
+                    rows += [(b - a, h1, h2, k, bytes(view[at : min(at + chunk, b)])) for k, at in enumerate(range(a, b, chunk))]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=[*_KEY, "nth", "part"])
+
+    wanted = maybe_wanted(docs.select("doc_id", "text"), "doc_id", members)
+    chunks = wanted.select("text").mapInArrow(run, "n_bytes bigint, h1 bigint, h2 bigint, nth bigint, part binary")
+    versions = chunks.groupBy(*_KEY, "nth").agg(F.min("part").alias("a"), F.max("part").alias("b"))
+    return versions.where("a <> b").select(*_KEY).distinct()
 
 
 def classes(docs: DataFrame, bases: tuple[int, int] = BASES, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256): a row for each row of `docs`."""
     rows = staged(fingerprints(docs, bases, chunk))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha"))
-    groups = rows.groupBy(*_KEY).agg(F.count("*").alias("n"), first.alias("keeper")).where("n > 1")
-    # Rows of one text in one group need one comparison for each doc_id; the keeper's is marked.
-    members = rows.join(groups, _KEY).where("n_bytes > 0").select(
-        F.col("doc_id").alias("member_id"), *_KEY, "sha", F.col("keeper.sha").alias("keeper_sha"),
-        (F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("sha") == F.col("keeper.sha"))).alias("is_keeper"),
-    ).distinct()
-    odd = staged(_compared(docs, staged(members), chunk)).withColumn("odd", F.col("sha"))
-    rows = rows.join(odd, [*_KEY, "sha"], "left").withColumn("odd", F.coalesce("odd", F.lit("")))
-    whole = rows.groupBy(*_KEY, "odd").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id"))
-    # Keys are never null. Numbering repeated rows of a doc_id needs no more than those rows together.
-    same = Window.partitionBy(*_KEY, "odd", "doc_id").orderBy("sha")
-    return rows.withColumn("copy", F.row_number().over(same)).join(whole, [*_KEY, "odd"]).select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"),
+    groups = staged(rows.groupBy(*_KEY).agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id")).where("group_size > 1"))
+    broken = staged(_broken(docs, rows.join(groups, _KEY).select("doc_id"), bases, chunk))
+    # Numbering repeated rows of a doc_id needs no more than those rows together; done first, it is dealt by all its keys.
+    copy = F.row_number().over(Window.partitionBy(*_KEY, "sha", "doc_id").orderBy("sha"))
+    rows = rows.withColumn("copy", copy)
+    keys = _KEY
+    if not broken.isEmpty():  # only a collision makes these; their rows are told apart by SHA-256 as well
+        rows = rows.join(broken.withColumn("is_broken", F.lit(True)), _KEY, "left").withColumn("part", F.when(F.col("is_broken"), F.col("sha")).otherwise(""))
+        keys = [*_KEY, "part"]
+        groups = staged(rows.groupBy(*keys).agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id")).where("group_size > 1"))
+    found = rows.join(groups, keys, "left")  # a text without a second row is in no group
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return found.select(
+        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (F.col("doc_id").eqNullSafe(keep) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"),
     )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    kept = classes(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    squeezed = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.sha2(squeezed.cast("binary"), 256).alias("sha"))
-    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
-    one = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "sha").orderBy("sha")))
-    return one.where("copy = 1").select("row.*")
+    """The rows of `docs` that stay, with all their columns. Only rows of texts with copies are shuffled."""
+    copies = classes(docs).where("group_size > 1").groupBy(F.col("doc_id").alias("copy_id"), F.col("text_sha256").alias("copy_sha"))
+    copies = staged(copies.agg(F.max("kept").alias("stays")))
+
+    def rule(rows: DataFrame) -> DataFrame:
+        text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")
+        rows = rows.withColumn("sha", F.sha2(text.cast("binary"), 256))
+        rows = rows.join(copies, F.col("id").eqNullSafe(F.col("copy_id")) & (F.col("sha") == F.col("copy_sha")), "left")
+        first = F.row_number().over(Window.partitionBy("id", "sha").orderBy("sha")) == 1
+        return rows.withColumn("first", first).where("stays IS NULL OR (stays AND first)").select("row", "id", "text")
+
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), "text")
+    return sifted(rows, "id", copies, rule).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
