@@ -132,7 +132,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(rule_of, pa.string()), pa.array(verdict_of, pa.string())], names=["row", "host", "path", "rule", "verdict"])
 
     schema = urls.select("row", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("").alias("verdict")).schema
-    ordered = events.repartition(ranges, "at").sortWithinPartitions("at", "key", F.col("rule_host").isNull())
+    ordered = events.repartitionById(ranges, "at").sortWithinPartitions("at", "key", F.col("rule_host").isNull())
     return ordered.mapInArrow(sweep, schema)
 
 
