@@ -11,13 +11,13 @@ from cadenza.llm.common import staged
 def _large_star(edges: DataFrame) -> DataFrame:
     """Joins every larger neighbour of a vertex to the least of the vertex and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Joins a vertex and its smaller neighbours to the least of these."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = staged(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(vertex, component): for each vertex of `edges` (a, b) but the least of each component, that least vertex.
 
     Each round of two star steps is written out; rounds grow with the logarithm of the longest path.
-    Loops and repeated edges are harmless. Nothing but counts reaches the driver.
+    Loops and repeated edges are harmless. Nothing but counts reaches the driver. The least neighbours are
+    written out before they are joined, so the join of a vertex with very many edges can be split.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()

@@ -20,7 +20,7 @@ words, of the whole sequence. Documents are linked when the Jaccard similarity o
    more than BLOCK sets of a side, however many documents share a list. Nothing is capped or dropped.
 6. Components by alternating stars (graph.py).
 
-Defined results: null, empty and blank texts have empty sets and are linked with nothing. Rows with a
+Defined results: doc_id is an integer. Null, empty and blank texts have empty sets and are linked with nothing. Rows with a
 null doc_id are linked with nothing, have a null component_id and are kept. Repeated rows fall into
 one component; of rows with one doc_id all share `kept`. A doc_id that stands for several
 different texts joins their groups. An empty table gives an empty result.
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import graph, hashing
-from cadenza.llm.common import maybe_wanted, staged, table
+from cadenza.llm.common import maybe_wanted, sifted, staged, table
 
 WORDS = 5
 K = 64
@@ -133,30 +133,18 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "rep bigint, values array<bigint>")
 
 
-def _similar(a: np.ndarray, b: np.ndarray, k: int) -> bool:
-    """The union-sketch estimate, then the exact test."""
-    if len(a) > k or len(b) > k:
-        low = np.union1d(a[:k], b[:k])[:k]
-        both = np.intersect1d(a[:k], b[:k], assume_unique=True)
-        if np.searchsorted(both, low[-1], "right") < 0.75 * len(low) - _margin(k):
-            return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 4 * common >= 3 * (len(a) + len(b) - common)
-
-
 def _links(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) that are links."""
+    """The pairs (a, b) that are links: by the union-sketch estimate, then on the full sets. A sketch is the start of a set."""
     left, right = sets.select(F.col("rep").alias("a"), F.col("values").alias("av")), sets.select(F.col("rep").alias("b"), F.col("values").alias("bv"))
-
-    def run(batches):
-        for batch in batches:
-            found = [
-                len(a) > 0 and len(b) > 0 and _similar(a, b, k)
-                for a, b in ((batch["av"][i].values.to_numpy(zero_copy_only=False), batch["bv"][i].values.to_numpy(zero_copy_only=False)) for i in range(len(batch)))
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "av", "bv").mapInArrow(run, "a bigint, b bigint")
+    sketched = lambda c: F.slice(c, 1, k)
+    low = F.slice(F.array_sort(F.array_union(sketched("av"), sketched("bv"))), 1, k)
+    shared = F.size(F.array_intersect(F.array_intersect(sketched("av"), sketched("bv")), low))
+    whole = (F.size("av") <= k) & (F.size("bv") <= k)
+    likely = whole | (shared >= F.lit(0.75) * F.size(low) - F.lit(_margin(k)))
+    common = F.size(F.array_intersect("av", "bv"))
+    linked = 4 * common >= 3 * (F.size("av") + F.size("bv") - common)
+    # A conditional, so the sets of unlikely pairs are not intersected.
+    return pairs.join(left, "a").join(right, "b").where(F.when(likely, linked).otherwise(F.lit(False))).select("a", "b")
 
 
 def _close_sizes(a: str, b: str):
@@ -248,10 +236,10 @@ def groups(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, one document of each group, with all their columns."""
-    kept = groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+    """The rows of `docs` that stay, one document of each group, with all their columns. Only rows that may go are shuffled."""
+    gone = staged(groups(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct())
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
+    return sifted(rows, "id", gone, lambda some: some.join(gone, F.col("id") == F.col("gone_id"), "left_anti")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
