@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def values(column: pa.Array, step: int = 500) -> Iterator:
+    """The values of an Arrow column, of which `step` at a time are Python objects."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
 def word_count(text: Column) -> Column:
     """Number of words of `text` as a long; 0 where it is null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

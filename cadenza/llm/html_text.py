@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import staged, table
+from cadenza.llm.common import staged, table, values
 from cadenza.llm.url_filter import host_of
 
 SHARE = 0.6
@@ -191,7 +191,7 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> Dat
 
     def run(batches):
         for batch in batches:
-            found = [sorted({*Page(h or "").subtrees()} - {0}) for h in batch["html"].to_pylist()]
+            found = [sorted({*Page(h or "").subtrees()} - {0}) for h in values(batch["html"])]
             yield pa.RecordBatch.from_arrays([batch["host"], pa.array(found, pa.list_(pa.int64()))], names=["host", "hashes"])
 
     hosts = pages.select(host_of(F.col("url")).alias("host"), "html")
@@ -213,7 +213,7 @@ def extract(pages: DataFrame, columns: list[str] | None = None, share: float = S
 
     def run(batches):
         for batch in batches:
-            texts = [Page(h or "").text(frozenset(t or ())) for h, t in zip(batch["html"].to_pylist(), batch["hashes"].to_pylist(), strict=True)]
+            texts = [Page(h or "").text(frozenset(t or ())) for h, t in zip(values(batch["html"]), values(batch["hashes"]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string())], names=["row", "text"])
 
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import hashing
-from cadenza.llm.common import maybe_wanted, staged, table
+from cadenza.llm.common import maybe_wanted, staged, table, values
 
 WINDOW = 10
 SUPPORT = 3
@@ -134,7 +134,7 @@ def base(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches):
         for batch in batches:
             keys, counts, written, contexts = [], {k: [] for k in KINDS}, [], []
-            for text in batch["text"].to_pylist():
+            for text in values(batch["text"]):
                 spans = base_spans(text) if text else []
                 for kind in KINDS:
                     counts[kind].append(sum(s[0] == kind for s in spans))
@@ -214,8 +214,8 @@ def sanitised(docs: DataFrame, **parameters) -> DataFrame:
 
     def keys(batches):
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            yield batch.append_column("key", pa.array([_key(t) if t and base_spans(t) else None for t in texts], pa.int64()))
+            found = [_key(t) if t and base_spans(t) else None for t in values(batch["text"])]
+            yield batch.append_column("key", pa.array(found, pa.int64()))
 
     schema = keyed.withColumn("key", F.lit(None).cast("long")).schema
     joined = keyed.mapInArrow(keys, schema).join(
@@ -225,7 +225,7 @@ def sanitised(docs: DataFrame, **parameters) -> DataFrame:
     def replace(batches):
         for batch in batches:
             texts = []
-            for text, marks in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+            for text, marks in zip(values(batch["text"]), values(batch["spans"]), strict=True):
                 parts, at = [], 0
                 for a, b, kind in sorted((int(a), int(b), k) for k, a, b in (m.split(":") for m in (marks or "").split(",") if m)):
                     if a >= at:
