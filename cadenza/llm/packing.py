@@ -10,8 +10,8 @@ What bounding the groups costs is at most a few part-filled sequences in thousan
 
 Tokens: ids are made per word (text between spaces, tabs and line ends), each distinct word once,
 and laid end to end; the tokenizer splits at white space first, so this equals encoding the whole
-text. Words are told apart by a 64-bit hash. The words seen are kept between batches, up to WORDS of
-them; then they are forgotten.
+text. Words are told apart by a 64-bit hash. The words seen are kept between a task's batches, up to
+WORDS of them; then they are forgotten.
 
 Defined results: null text is empty, and an empty document is its end id alone. Repeated rows are
 packed as separate documents. An empty table gives an empty result. Reruns put pieces into equal
@@ -35,7 +35,7 @@ LENGTH = 2048
 OPEN = 4096
 GROUP = 8192
 END = 0
-WORDS = 1_000_000
+WORDS = 500_000
 JOINED = 200
 
 #: Words end at these bytes alone, and before a full stop or comma that follows a letter or digit and ends them.
@@ -149,6 +149,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fa
                 arrays.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        encoder.forget()  # an idle worker holds no words
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
