@@ -3,29 +3,30 @@
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, leftmost and
 non-overlapping for each kind; matches that fail their check (range, digits, checksum) are dropped.
 
-Information-theoretic sanitisation: a protected entity is a base value. Its contexts are the WINDOW
-terms on each side of its occurrences. Over the corpus, with N documents, n(e) that hold entity e, n(t)
-that hold term t and n(t, e) that hold t in a context of e,
+Information-theoretic sanitisation: a protected entity is a base value. Over the corpus, with N documents,
+n(e) that hold entity e, n(t) that hold term t and n(t, e) that hold both, anywhere in the text,
 
     disclosure(t, e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e))
 
 is the share of e's information that t reveals: the pointwise mutual information over the entity's
-own. It is 1 for a term that never occurs without e. A term whose disclosure reaches THRESHOLD, with at
-least SUPPORT different contexts (copies of a text count once), is a span of kind "term" where it occurs
-in a context of e. Texts without base spans are left alone. `sanitised` generalises each span to a
-placeholder.
+own. It is 1 for a term that never occurs without e. A term whose disclosure of any entity reaches THRESHOLD,
+with at least SUPPORT different contexts (the WINDOW terms on each side of e; copies count once), is a span of
+kind "term" wherever it occurs, in documents with and without base spans. `sanitised` generalises each span to
+a placeholder.
 
-All counts cover all documents. The corpus is read twice: for spans and contexts, and for n(t), where
-each task sends one count per term and only of terms that may be candidates (a bitmap of fixed size).
+All counts cover all documents. The corpus is read three times: for base spans and the distinct terms of
+documents that have any; for n(t), where each task sends one count per term; and for the places of disclosing
+terms. The last two send only terms that may be wanted (a bitmap of fixed size).
 
 Defined results: null text is empty. Terms are runs of ASCII letters and non-ASCII characters, with A-Z
-lower-cased, of at least SHORTEST bytes. Repeated rows are separate documents with equal spans. An empty
+lower-cased, of at least SHORTEST bytes; base spans lie between terms. Repeated rows are separate documents with equal spans. An empty
 table gives an empty result. Columns beside doc_id and text pass through `sanitised` whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import hashing
-from cadenza.llm.common import maybe_wanted, staged, table, values
+from cadenza.llm.common import MAP_BITS, staged, table, values
 
 WINDOW = 10
 SUPPORT = 3
@@ -101,68 +102,99 @@ def _key(value: str) -> int:
     return found - (1 << 64) if found >> 63 else found
 
 
-def _contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> list[tuple[int, int, int, int, int]]:
-    """(entity, term, context, start, end) for the terms around each span."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    starts, stops, _ = hashing.words(data, np.array([0, len(data)]), _BETWEEN)
-    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    terms = hashing.hashes(hashing.LOWER[data], starts, stops).view(np.int64)
-    long, starts, stops = stops - starts >= SHORTEST, before[starts], before[stops]
-    taken = np.zeros(len(starts), bool)
-    for _, a, b in spans:
-        taken |= (starts < b) & (stops > a)
-    free = np.flatnonzero(long & ~taken)
-    starts, stops, terms = starts[free], stops[free], terms[free]
-    out = []
+def _terms(texts: pa.Array, spans: list[list[tuple[str, int, int]]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, term, start, stop) of all terms in order, by pieces; terms end where a base span starts."""
+    data, offsets = hashing.buffers(texts)
+    data = data.copy()
+    for i, text in enumerate(values(texts)):
+        at, last = int(offsets[i]), 0
+        for _, a, b in sorted(spans[i], key=lambda s: s[1]) if spans[i] else ():
+            at, last = at + len(text[last:a].encode("utf-8")), a
+            data[at : at + b - a] = 32  # base spans are ASCII
+    for first, last in hashing.pieces(offsets):
+        part = hashing.LOWER[data[offsets[first] : offsets[last]]]
+        bounds = offsets[first : last + 1] - offsets[first]
+        starts, stops, words = hashing.words(part, bounds, _BETWEEN)
+        owner = np.repeat(np.arange(first, last), words)
+        points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+        origin = points[bounds[owner - first]]
+        long = stops - starts >= SHORTEST
+        yield owner[long], hashing.hashes(part, starts, stops)[long], (points[starts] - origin)[long], (points[stops] - origin)[long]
+
+
+def _spans_of(texts: pa.Array) -> list[list[tuple[str, int, int]]]:
+    return [base_spans(t) if t else [] for t in values(texts)]
+
+
+def _entities(text: str, spans: list[tuple[str, int, int]], terms: np.ndarray, starts: np.ndarray, window: int) -> list[dict]:
+    """The entities of a text, each with a hash of the terms around it, by which copies are told."""
+    found: dict[int, int] = {}
     for kind, a, b in spans:
         left, right = np.searchsorted(starts, a), np.searchsorted(starts, b)
-        near = slice(max(0, left - window), right + window)
-        entity = _key(f"{kind}:{text[a:b]}")
-        context = int(np.bitwise_xor.reduce(hashing.mixed(terms[near].view(np.uint64)))) if terms[near].size else 0
+        near = terms[max(0, left - window) : right + window]
+        context = int(np.bitwise_xor.reduce(hashing.mixed(near))) if near.size else 0
         context -= (1 << 64) if context >> 63 else 0
-        out += [(entity, t, context, s, e) for t, s, e in zip(terms[near].tolist(), starts[near].tolist(), stops[near].tolist(), strict=True)]
-    return out
+        entity = _key(f"{kind}:{text[a:b]}")
+        found[entity] = min(found.get(entity, context), context)
+    return [{"entity": e, "context": c} for e, c in found.items()]
 
 
-_ONE = "struct<entity:bigint,term:bigint,context:bigint,start:bigint,stop:bigint>"
-_ONE_ARROW = pa.struct([(n, pa.int64()) for n in ("entity", "term", "context", "start", "stop")])
+_ONE = "struct<entity:bigint,context:bigint>"
+_ONE_ARROW = pa.struct([(n, pa.int64()) for n in ("entity", "context")])
 
 
 def base(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, n_email, n_ip, n_card, n_phone, base, contexts): a row for each row of `docs`."""
+    """(doc_id, text_key, n_email, n_ip, n_card, n_phone, base, entities, held): a row for each row of `docs`.
+
+    `held` has the distinct terms of a text with base spans.
+    """
 
     def run(batches):
         for batch in batches:
-            keys, counts, written, contexts = [], {k: [] for k in KINDS}, [], []
-            for text in values(batch["text"]):
-                spans = base_spans(text) if text else []
-                for kind in KINDS:
-                    counts[kind].append(sum(s[0] == kind for s in spans))
-                keys.append(_key(text or "") if spans else 0)
-                written.append(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
-                found = _contexts(text, spans, window) if spans else []
-                contexts.append([dict(zip(("entity", "term", "context", "start", "stop"), c, strict=True)) for c in found])
-            arrays = [batch["doc_id"], pa.array(keys, pa.int64()), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(written, pa.string()), pa.array(contexts, pa.list_(_ONE_ARROW))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base", "contexts"])
+            texts, spans = batch["text"], _spans_of(batch["text"])
+            counts = {k: [sum(s[0] == k for s in found) for found in spans] for k in KINDS}
+            written = [",".join(f"{k}:{a}:{b}" for k, a, b in found) for found in spans]
+            entities, held = [[] for _ in spans], [None] * len(spans)
+            rows = np.flatnonzero([bool(found) for found in spans])
+            for owner, terms, starts, _ in _terms(texts.take(pa.array(rows)), [spans[i] for i in rows]):
+                for i in np.unique(owner).tolist():
+                    own = slice(*np.searchsorted(owner, [i, i + 1]))
+                    held[rows[i]] = np.unique(terms[own]).view(np.int64)
+                    entities[rows[i]] = _entities(texts[int(rows[i])].as_py(), spans[rows[i]], terms[own], starts[own], window)
+            keys = [_key(t or "") for t in values(texts)]
+            arrays = [batch["doc_id"], pa.array(keys, pa.int64()), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(written, pa.string())]
+            arrays += [pa.array(entities, pa.list_(_ONE_ARROW)), pa.array(held, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base", "entities", "held"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_key bigint, {counts}, base string, contexts array<{_ONE}>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_key bigint, {counts}, base string, entities array<{_ONE}>, held array<bigint>")
+
+
+def _map(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of MAP_BITS bits of the terms in `wanted`; it lets some others through."""
+    spot = F.pmod("term", F.lit(MAP_BITS))
+    words = wanted.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("mask")).toArrow()
+    bits = np.zeros(MAP_BITS >> 6, np.int64)
+    bits[words["word"].to_numpy()] = words["mask"].to_numpy()
+    return bits.view(np.uint64)
+
+
+def _in_map(bits: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    spot = terms & np.uint64(MAP_BITS - 1)
+    return (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def _term_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(term, n_t): the number of documents that hold each wanted term."""
+    bits = _map(wanted)
 
     def run(batches):
         for batch in batches:
-            data, offsets = hashing.buffers(batch["text"])
             seen = []
-            for first, last in hashing.pieces(offsets):
-                part = hashing.LOWER[data[offsets[first] : offsets[last]]]
-                starts, stops, words = hashing.words(part, offsets[first : last + 1] - offsets[first], _BETWEEN)
-                long = stops - starts >= SHORTEST
-                terms = hashing.hashes(part, starts, stops)[long]
-                owner = np.repeat(np.arange(last - first), words)[long]
+            for owner, terms, _, _ in _terms(batch["text"], _spans_of(batch["text"])):
+                hit = _in_map(bits, terms)
+                terms, owner = terms[hit], owner[hit]
                 order = np.lexsort((owner, terms))
                 terms, owner = terms[order], owner[order]
                 new = np.ones(len(terms), bool)
@@ -171,18 +203,19 @@ def _term_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             terms, n = np.unique(np.concatenate([*seen, np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
 
-    counted = maybe_wanted(docs.select("text").mapInArrow(run, "term bigint, n bigint"), "term", wanted)
+    counted = docs.select("text").mapInArrow(run, "term bigint, n bigint")
     return counted.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """(entity, term, disclosure) of the terms that disclose an entity; `found` comes from `base`."""
     n_docs = found.count()
-    each = found.select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.*")
-    by_doc = each.groupBy("entity", "term", "doc_id", "text_key").agg(F.min("context").alias("context"))
+    each = found.select("held", F.explode("entities").alias("e")).select("held", "e.*")
+    holders = each.groupBy("entity", "context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("kinds"))
+    holders = staged(holders.where(F.col("kinds") >= support).drop("kinds"))
+    by_doc = each.join(holders, "entity", "left_semi").select("entity", "context", F.explode("held").alias("term"))
     pairs = by_doc.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("kinds"))
     pairs = staged(pairs.where(F.col("kinds") >= support))
-    holders = found.select(F.explode(F.array_distinct(F.col("contexts.entity"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     terms = staged(_term_documents(docs, staged(pairs.select("term").distinct()))) if not pairs.isEmpty() else pairs.selectExpr("term", "n_te AS n_t")
     known = pairs.join(terms, "term").join(holders, "entity")
     own = F.log(F.lit(float(n_docs)) / F.col("n_e"))
@@ -190,15 +223,35 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, thresh
     return known.withColumn("disclosure", F.when(own > 0, shared / own)).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
+def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text_key, terms): where wanted terms stand, in documents that hold any."""
+    bits = _map(wanted)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch["text"]
+            for owner, terms, starts, stops in _terms(texts, _spans_of(texts)):
+                hit = np.flatnonzero(_in_map(bits, terms))
+                rows, where = np.unique(owner[hit], return_inverse=True)
+                keys = np.array([_key(texts[i].as_py()) for i in rows.tolist()], np.int64)[where]
+                arrays = [batch["doc_id"].take(pa.array(owner[hit])), *(pa.array(x, pa.int64()) for x in (keys, terms[hit].view(np.int64), starts[hit], stops[hit]))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "term", "start", "stop"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    seen = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_key bigint, term bigint, start bigint, stop bigint")
+    return seen.join(wanted, "term", "left_semi").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("terms"))
+
+
 def spans(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """`base` with added spans: its columns but contexts, and terms, an array of (start, stop) in order."""
+    """`base` with added spans: its columns but entities and held, and terms, an array of (start, stop) in order."""
     found = staged(base(docs, window))
-    bad = staged(disclosing(docs, found, support, threshold))
-    each = found.select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.*")
-    added = each.join(bad, ["entity", "term"], "left_semi").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("terms"))
-    added = added.select(F.col("doc_id").alias("added_id"), F.col("text_key").alias("added_key"), "terms")
-    out = found.drop("contexts").join(added, F.col("doc_id").eqNullSafe(F.col("added_id")) & (F.col("text_key") == F.col("added_key")), "left")
-    return out.drop("added_id", "added_key").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
+    bad = staged(disclosing(docs, found, support, threshold).select("term").distinct())
+    out, none = found.drop("entities", "held"), F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    if bad.isEmpty():
+        return out.withColumn("terms", none)
+    added = _places(docs, bad).select(F.col("doc_id").alias("added_id"), F.col("text_key").alias("added_key"), "terms")
+    out = out.join(added, F.col("doc_id").eqNullSafe(F.col("added_id")) & (F.col("text_key") == F.col("added_key")), "left")
+    return out.drop("added_id", "added_key").withColumn("terms", F.coalesce("terms", none))
 
 
 def written() -> Column:
@@ -214,7 +267,7 @@ def sanitised(docs: DataFrame, **parameters) -> DataFrame:
 
     def keys(batches):
         for batch in batches:
-            found = [_key(t) if t and base_spans(t) else None for t in values(batch["text"])]
+            found = [_key(t) if t else None for t in values(batch["text"])]
             yield batch.append_column("key", pa.array(found, pa.int64()))
 
     schema = keyed.withColumn("key", F.lit(None).cast("long")).schema

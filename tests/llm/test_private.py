@@ -69,3 +69,16 @@ def test_disclosing_terms(spark):
     assert clean[10].text == rows[5][1] and clean[61].text == "copyonly [EMAIL]" and clean[64].text is None
     assert clean[0].base == 1 and private.sanitised(docs).count() == len(rows)
     assert private.sanitised(docs.limit(0)).collect() == []
+
+
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    far = " ".join(f"filler{i}q" for i in "abcdefghijklmnopqrstuvwxyz")
+    rows = [(i, f"{w}x wrote {who} {w} {far} Lighthouse, é Lighthouse") for i, (w, who) in enumerate((w, "jo@ex.org") for w in ("alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel"))]
+    rows += [(200 + i, f"wrote é about {far} today") for i in range(140)] + [(90, "the lighthouse alone"), (None, "a LIGHTHOUSE"), (91, "lighthouse@ab.cd stays")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.stop) for s in r.terms] for r in private.spans(docs).collect()}
+    for i, text in rows:
+        expected = [m.span() for m in re.finditer("lighthouse(?!@)", text, re.I)]
+        assert found[i] == expected, text
+    clean = {r.doc_id: r.text for r in private.sanitised(docs).collect()}
+    assert clean[90] == "the [TERM] alone" and clean[None] == "a [TERM]" and clean[91] == "[EMAIL] stays"
