@@ -3,23 +3,28 @@
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, leftmost and
 non-overlapping for each kind; matches that fail their check (range, digits, checksum) are dropped.
 
-Information-theoretic sanitisation: a protected entity is a base value. Over the corpus, with N documents,
-n(e) that hold entity e, n(t) that hold term t and n(t, e) that hold both, anywhere in the text,
-
-    disclosure(t, e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e))
-
-is the share of e's information that t reveals: the pointwise mutual information over the entity's
-own. It is 1 for a term that never occurs without e. A term whose disclosure of any entity reaches THRESHOLD,
-with at least SUPPORT different contexts (the WINDOW terms on each side of e; copies count once), is a span of
-kind "term" wherever it occurs, in documents with and without base spans. `sanitised` generalises each span to
-a placeholder.
+Information-theoretic sanitisation: a protected entity is a base value, however written, or the part that
+it shares with others (mail name, mail domain, network, card issuer, phone exchange), so values that occur once
+take part by what they have in common. Over the corpus, with N documents, n(e) that hold entity e, n(t) that
+hold term t and n(t, e) that hold both, anywhere in the text,
+
+    p(e) = n(e) / N,  p(e | t) = (n(t, e) - 1 + p(e)) / n(t),  disclosure(t, e) = log(p(e | t) / p(e)) / -log(p(e))
+
+is the share of e's information that t reveals: the pointwise mutual information over the entity's own, where
+p(e | t) is what the other documents with t tell about any one of them, smoothed by one document at p(e). It
+comes near 1 for a term that never occurs without e, sooner the rarer e is: for e in 1 of 5,000 documents two
+are enough; and where a text is the only one to hold t and e, nothing else links them and it is not above 0.
+Rows that hold e among equal terms (WINDOW on each side) are copies and count once in n(e), n(t) and n(t, e);
+near copies that differ there count as different. A term whose disclosure of any entity reaches THRESHOLD is
+a span of kind "term" wherever it occurs, in documents with and without base spans. `sanitised` generalises
+each span to a placeholder.
 
 All counts cover all documents. The corpus is read three times: for base spans and the distinct terms of
 documents that have any; for n(t), where each task sends one count per term; and for the places of disclosing
 terms. The last two send only terms that may be wanted (a bitmap of fixed size).
 
 Defined results: null text is empty. Terms are runs of ASCII letters and non-ASCII characters, with A-Z
-lower-cased, of at least SHORTEST bytes; base spans lie between terms. Repeated rows are separate documents with equal spans. An empty
+lower-cased, of any length; base spans lie between terms. Repeated rows are separate documents with equal spans. An empty
 table gives an empty result. Columns beside doc_id and text pass through `sanitised` whatever their names.
 """
 
@@ -38,9 +43,7 @@ from cadenza.llm import hashing
 from cadenza.llm.common import MAP_BITS, staged, table, values
 
 WINDOW = 10
-SUPPORT = 3
 THRESHOLD = 0.8
-SHORTEST = 4
 KINDS = ("email", "ip", "card", "phone")
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
@@ -118,14 +121,27 @@ def _terms(texts: pa.Array, spans: list[list[tuple[str, int, int]]]) -> Iterator
         owner = np.repeat(np.arange(first, last), words)
         points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
         origin = points[bounds[owner - first]]
-        long = stops - starts >= SHORTEST
-        yield owner[long], hashing.hashes(part, starts, stops)[long], (points[starts] - origin)[long], (points[stops] - origin)[long]
+        yield owner, hashing.hashes(part, starts, stops), points[starts] - origin, points[stops] - origin
 
 
 def _spans_of(texts: pa.Array) -> list[list[tuple[str, int, int]]]:
     return [base_spans(t) if t else [] for t in values(texts)]
 
 
+def _protected(kind: str, value: str) -> list[str]:
+    """The entities of a base value: itself, however written, and the part it shares with others."""
+    if kind == "email":
+        name, domain = value.lower().rsplit("@", 1)
+        parts = [f"{name}@{domain}", f"{name}@", f"@{domain}"]
+    elif kind == "ip":
+        numbers = [n.lstrip("0") or "0" for n in value.split(".")]
+        parts = [".".join(numbers), ".".join(numbers[:3])]
+    else:
+        digits = _OTHER.sub("", value)
+        parts = [digits, f"{digits[:6]}-" if kind == "card" else f"{digits[:-4]}-"]
+    return [f"{kind}:{part}" for part in parts]
+
+
 def _entities(text: str, spans: list[tuple[str, int, int]], terms: np.ndarray, starts: np.ndarray, window: int) -> list[dict]:
     """The entities of a text, each with a hash of the terms around it, by which copies are told."""
     found: dict[int, int] = {}
@@ -134,8 +150,8 @@ def _entities(text: str, spans: list[tuple[str, int, int]], terms: np.ndarray, s
         near = terms[max(0, left - window) : right + window]
         context = int(np.bitwise_xor.reduce(hashing.mixed(near))) if near.size else 0
         context -= (1 << 64) if context >> 63 else 0
-        entity = _key(f"{kind}:{text[a:b]}")
-        found[entity] = min(found.get(entity, context), context)
+        for entity in map(_key, _protected(kind, text[a:b])):
+            found[entity] = min(found.get(entity, context), context)
     return [{"entity": e, "context": c} for e, c in found.items()]
 
 
@@ -207,20 +223,27 @@ def _term_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return counted.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """(entity, term, disclosure) of the terms that disclose an entity; `found` comes from `base`."""
+def disclosing(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(entity, term, disclosure) of the terms that disclose an entity; `found` comes from `base`.
+
+    A pair in a single context discloses nothing (see above), so only pairs with more are counted on.
+    """
     n_docs = found.count()
     each = found.select("held", F.explode("entities").alias("e")).select("held", "e.*")
-    holders = each.groupBy("entity", "context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("kinds"))
-    holders = staged(holders.where(F.col("kinds") >= support).drop("kinds"))
+    holders = staged(each.groupBy("entity").agg(F.count_distinct("context").alias("n_e")).where("n_e > 1"))
     by_doc = each.join(holders, "entity", "left_semi").select("entity", "context", F.explode("held").alias("term"))
-    pairs = by_doc.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("kinds"))
-    pairs = staged(pairs.where(F.col("kinds") >= support))
-    terms = staged(_term_documents(docs, staged(pairs.select("term").distinct()))) if not pairs.isEmpty() else pairs.selectExpr("term", "n_te AS n_t")
-    known = pairs.join(terms, "term").join(holders, "entity")
-    own = F.log(F.lit(float(n_docs)) / F.col("n_e"))
-    shared = F.log(F.lit(float(n_docs)) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
-    return known.withColumn("disclosure", F.when(own > 0, shared / own)).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+    pairs = by_doc.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("rows"), F.count("*").alias("n_te"))
+    least = found.select(F.explode("held").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    before = F.col("n_e") / F.lit(float(n_docs))
+    after = (F.col("n_te") - 1 + before) / (F.col("n_t") - F.col("rows") + F.col("n_te"))
+    score = F.when(before < 1, F.log(after / before) / -F.log(before))
+    # Disclosure falls with n(t), so pairs that fail with the documents that have base spans fail with all.
+    pairs = pairs.where("n_te > 1").join(least, "term").join(holders, "entity")
+    pairs = staged(pairs.where(score >= threshold).drop("n_t"))
+    if pairs.isEmpty():
+        return pairs.select("entity", "term", F.lit(None).cast("double").alias("disclosure"))
+    known = pairs.join(_term_documents(docs, staged(pairs.select("term").distinct())), "term")
+    return known.withColumn("disclosure", score).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
 def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -242,10 +265,10 @@ def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return seen.join(wanted, "term", "left_semi").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("terms"))
 
 
-def spans(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def spans(docs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
     """`base` with added spans: its columns but entities and held, and terms, an array of (start, stop) in order."""
     found = staged(base(docs, window))
-    bad = staged(disclosing(docs, found, support, threshold).select("term").distinct())
+    bad = staged(disclosing(docs, found, threshold).select("term").distinct())
     out, none = found.drop("entities", "held"), F.array().cast("array<struct<start:bigint,stop:bigint>>")
     if bad.isEmpty():
         return out.withColumn("terms", none)

@@ -82,3 +82,14 @@ def test_disclosing_terms_go_wherever_they_stand(spark):
         assert found[i] == expected, text
     clean = {r.doc_id: r.text for r in private.sanitised(docs).collect()}
     assert clean[90] == "the [TERM] alone" and clean[None] == "a [TERM]" and clean[91] == "[EMAIL] stays"
+
+
+def test_entities_in_one_or_two_documents(spark):
+    rows = [(i, f"{w}a of Ac {w}b wrote {w}@acme.co today {w}c") for i, w in enumerate(("ann", "bob", "cy"))]
+    rows += [(10, "one yo left +1 (988) 555-2485 today"), (11, "two right yo +19885552485 of"), (12, "lonely once@only.net words")]
+    rows += [(20 + i, f"plain{i}p of wrote today") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.stop) for s in r.terms] for r in private.spans(docs).collect()}
+    for i, text in rows:
+        expected = [m.span() for m in re.finditer(r"\b(?:Ac|yo)\b", text)]
+        assert found[i] == expected, text
