@@ -3,7 +3,9 @@
 A page is tokenised into tags and text and held as a tree of elements, with the usual repairs (void
 elements, implied ends, stray end tags). Its content is what its <article> elements hold, else its
 <main>, else its body, less elements that are boilerplate by tag, role, class or id (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments). Block elements cut
+footers, sidebars, notices, adverts, forms, scripts, styles, comments). An <article> or <main> that is itself
+in boilerplate by tag or role doesn't count as one. Class and id don't make boilerplate of the elements that hold
+the longest such element, or on pages without one of those that hold more than half of the text. Block elements cut
 the content into blocks; a block's character references are decoded and its white space becomes single
 spaces; blocks are joined by one line end in page order.
 
@@ -37,7 +39,7 @@ LEAST = 20
 
 # Element names and the words that mark boilerplate in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title select xmp noembed noframes".split())
+RAW = frozenset("script style template iframe svg textarea title select xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -59,41 +61,61 @@ _MARKED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
+def _boilerplate(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by itself (tag, role, hidden), and whether its class or id has a word of MARKS."""
+    sure, marked = tag in DROPPED, False
     if attributes and tag not in ("html", "body", "main"):
         for name, a, b, c in _MARKED.findall(attributes):
             words = re.split(r"[^a-z0-9]+", (a or b or c).lower())
-            if not (ROLES if name.lower() == "role" else MARKS).isdisjoint(words):
-                return True
-        return "hidden" in attributes.split() or 'aria-hidden="true"' in attributes
-    return False
+            if name.lower() == "role":
+                sure = sure or not ROLES.isdisjoint(words)
+            else:
+                marked = marked or not MARKS.isdisjoint(words)
+        sure = sure or "hidden" in attributes.split() or 'aria-hidden="true"' in attributes
+    return sure, marked
 
 
 class Page:
     """The content blocks of a page and the subtrees that hold them."""
 
     def __init__(self, html: str):
+        for self.root in ("article", "main", ""):
+            if not self.root or re.search(f"<{self.root}", html, re.I):
+                if self._read(html):
+                    self._read(html, self._holders(html))
+                if self.found:
+                    break
+
+    def _holders(self, html: str) -> frozenset[int]:
+        """Where the marked elements start that hold the root element with most text, or without a root most of the text."""
+        self._read(html, None)
+        if self.root:
+            return frozenset(max(self.sizes, key=self.sizes.get)[1:]) if self.sizes else frozenset()
+        total = sum(self.sizes.values())
+        return frozenset(m for m in {*sum(self.sizes, ())} if 2 * sum(n for k, n in self.sizes.items() if m in k) > total)
+
+    def _read(self, html: str, holders: frozenset[int] | None = frozenset()) -> bool:
+        """Read the page; true where marked elements may hold its content.
+
+        Marks don't count on `holders`. With None they count nowhere outside the root, and `sizes` has the length
+        of the text by (start of the root element, starts of the marked elements that hold it).
+        """
         self.parents: list[int] = []
         self.tags: list[str] = []
         self.parts: list[list] = []  # of each element: its texts and elements, in order
         self.blocks: list[tuple[str, int]] = []
-        lower = html.lower() if "<ARTICLE" in html or "<MAIN" in html else html
-        self.root = "article" if "<article" in lower else "main" if "<main" in lower else ""
-        self._read(html)
-
-    def _read(self, html: str) -> None:
-        stack: list[tuple[str, int, bool, bool]] = []  # (tag, element or -1, inside content, dropped)
+        self.found, self.sizes, doubt = not self.root, {}, False
+        # (tag, element or -1, inside content, dropped, dropped for sure, key of sizes)
+        stack: list[tuple[str, int, bool, bool, bool, tuple[int, ...]]] = []
         buffer: list[str] = []
-        state = (not self.root, False)
+        state = (not self.root, False, False, ())
 
         def flush() -> None:
             if buffer:
                 text = " ".join(references.unescape("".join(buffer)).split())
                 buffer.clear()
                 if text:
-                    at = next((e for _, e, _, _ in reversed(stack) if e >= 0), -1)
+                    at = next((s[1] for s in reversed(stack) if s[1] >= 0), -1)
                     if at >= 0:
                         self.parts[at].append(len(self.blocks))
                     self.blocks.append((text, at))
@@ -105,10 +127,12 @@ class Page:
         at, size = 0, len(html)
         while at < size:
             token = _TOKEN.search(html, at)
-            inside, dropped = stack[-1][2:] if stack else state
+            inside, dropped, sure, key = stack[-1][2:] if stack else state
             upto = token.start() if token else size
             if upto > at and inside and not dropped:
                 buffer.append(html[at:upto])
+                if holders is None:
+                    self.sizes[key] = self.sizes.get(key, 0) + len(html[at:upto].strip())
             if not token:
                 break
             at = token.end()
@@ -149,22 +173,36 @@ class Page:
                         break
                     if stack[i][0] in limit or (stack[i][0] in SCOPE and not limit) or (stack[i][0] in SCOPE and stack[i][0] in ("ol", "ul", "table", "dl")):
                         break
-                inside, dropped = stack[-1][2:] if stack else state
+                inside, dropped, sure, key = stack[-1][2:] if stack else state
             if attributes.endswith("/") and tag not in BLOCK:
                 continue
-            dropped = dropped or _boilerplate(tag, attributes)
-            inside = inside or tag == self.root
+            hard, marked = _boilerplate(tag, attributes)
+            opens = tag == self.root and not inside
+            sure = sure or hard
+            if marked and (not inside or not self.root) and holders is None:
+                key, marked = (*key, token.start()), False
+            elif holders and token.start() in holders:
+                marked = False
+            dropped = dropped or sure or marked
+            if opens:
+                self.found = self.found or not sure
+                key = (token.start(), *key)
+                doubt = doubt or (dropped and not sure)
+            elif not self.root:
+                doubt = doubt or marked
+            inside = inside or opens
             element = -1
             if inside and not dropped and tag in BLOCK:
                 element = len(self.tags)
-                above = next((e for _, e, _, _ in reversed(stack) if e >= 0), -1)
+                above = next((s[1] for s in reversed(stack) if s[1] >= 0), -1)
                 self.tags.append(tag)
                 self.parents.append(above)
                 self.parts.append([])
                 if above >= 0:
                     self.parts[above].append((element,))
-            stack.append((tag, element, inside, dropped))
+            stack.append((tag, element, inside, dropped, sure, key))
         flush()
+        return doubt and not holders
 
     def subtrees(self) -> list[int]:
         """The hash of each element's subtree; 0 where it holds no text. Children follow their parents."""

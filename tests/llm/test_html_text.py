@@ -50,3 +50,24 @@ def test_templates_of_a_host_go(spark):
     expected = [(i, "x", f"text {i}\nshared {i % 3}") for i in range(30)] + [(100 + i, "x", "all alike") for i in range(25)]
     assert got == sorted([*expected, (200, "x", ""), (201, "x", "Join us"), (201, "x", "Join us")])
     assert html_text.extract(pages.limit(0)).collect() == []
+
+
+def test_marked_layouts_keep_their_content():
+    assert Page('<div class="layout has-sidebar"><article><p>Story</p><div class="share">x</div></article><div class="sidebar">y</div></div>').text() == "Story"
+    assert Page('<article class="post share"><p>Story</p></article>').text() == "Story"
+    comments = '<div class="comments"><article>nice</article><article>good</article></div>'
+    assert Page(f"<article>A long story</article>{comments}").text() == "A long story"
+    assert Page(f'<div class="has-sidebar">{comments}<article>A long story</article></div>').text() == "A long story"
+    assert Page('<div id="page-header"><main><p>Story</p></main></div><p>out</p>').text() == "Story"
+    assert Page('<p>Hi</p><div class="no-sidebar"><p>The whole story</p><div class="ads">Buy</div></div>').text() == "Hi\nThe whole story"
+
+
+def test_root_comes_from_elements():
+    for no in ("<!-- <article> -->", '<script>w("<article>x</article>")</script>', "<aside><article>card</article></aside>", "<articles>", "<ARTICLE-x></ARTICLE-x>"):
+        assert Page(f"{no}<p>Story</p>").text() == "Story", no
+        assert Page(f"{no}<p>out</p><main>Story</main>").text() == "Story", no
+    assert Page("<p>out</p><article></article>").text() == ""
+
+
+def test_only_listed_elements_go():
+    assert Page("<p>a <math><mi>x</mi></math> <object>b</object> <noscript>c</noscript></p>").text() == "a x b c"
