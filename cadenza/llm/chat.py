@@ -5,13 +5,14 @@ text) is rendered once as the prompt, and what follows on either side as a compl
 carries its loss mask as spans of code points: the text and end mark of assistant turns, and nothing
 else, count towards the loss.
 
-Turns are collected once for each pair, in one shuffle; the rest is per row. A pair is one row of the
-result, so one conversation's turns must fit a row, as its rendered text must.
+Turns are collected once for each pair; the rest is per row. A pair is one row of the
+result, so one conversation's turns must fit a row, as its rendered text must. `swapped` makes preference
+pairs from plain conversations, by one join on conv_id.
 
 Defined results: rows without conv_id belong to no pair and are left out. Turns are ordered by turn
 (null last), role, text; a null role is "user", a null text empty; repeated rows are repeated turns. A
 pair with one side only has an empty prompt, an empty other completion and paired = false. Equal
-conversations are all prompt. "<|" inside a text is rendered "< |", so texts can't pose as marks. An
+conversations are all prompt. Turns of any length are kept whole. "<|" inside a text is rendered "< |", so texts can't pose as marks. An
 empty table gives an empty result. Other columns don't take part.
 """
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import table
 
+#: One conversation in so many is rejected from its first answer on.
+CUT = 5
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 TRAINED = "assistant"
 
@@ -69,19 +72,62 @@ def preferences(turns: DataFrame) -> DataFrame:
     )
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
-    turns = table(spark, sf_dir, "conversations").select(
-        F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text"
+def swapped(turns: DataFrame, cut: int = CUT) -> DataFrame:
+    """Preference turns (pair_id, side, turn, role, text) from conversations (conv_id, turn, role, text).
+
+    The conversation itself is chosen. Rejected is the same one with its last assistant turn's text taken from the
+    last assistant turn of conversation conv_id XOR 1 (an empty text where that has none), so the pair shares all turns before. Where conv_id is
+    divisible by `cut`, the first assistant turn is replaced instead and the rejected side ends there. A
+    conversation without assistant turns is rejected unchanged.
+    """
+    key = F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "text")
+    rows = turns.where("conv_id IS NOT NULL").select(
+        "conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    ).withColumn("key", key)
+    answers = rows.where(F.col("role") == TRAINED).groupBy("conv_id").agg(F.min("key").alias("first"), F.max("key").alias("final"))
+    other = answers.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("final.text").alias("other"))
+    short = F.col("conv_id") % cut == 0
+    places = answers.join(other, "conv_id", "left").select(
+        "conv_id", F.when(short, F.col("first")).otherwise(F.col("final")).alias("at"), F.coalesce("other", F.lit("")).alias("other")
     )
-    return preferences(turns)
+    rows = rows.join(places, "conv_id", "left")
+    kept = F.col("at").isNull() | ~short | (F.col("key") <= F.col("at"))
+    replaced = F.when(F.col("key") == F.col("at"), F.col("other")).otherwise(F.col("text"))
+    side = lambda name, text: F.struct(F.lit(name).alias("side"), text.alias("text"))
+    sides = F.when(kept, F.array(side("chosen", F.col("text")), side("rejected", replaced))).otherwise(F.array(side("chosen", F.col("text"))))
+    return rows.select("conv_id", "turn", "role", F.explode(sides).alias("s")).select(F.col("conv_id").alias("pair_id"), "s.side", "turn", "role", "s.text")
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with an answer of another (see `swapped`)."""
+    return preferences(swapped(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
 
 SQL = r"""
-WITH turns AS (
-  SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn, coalesce(role, 'user') AS role,
-         replace(coalesce(text, ''), '<|', '< |') AS text
+WITH clean AS (
+  SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'user'), coalesce(text, '')) AS nth
   FROM conversations WHERE conv_id IS NOT NULL),
+ends AS (
+  SELECT conv_id, min(nth) AS first_nth, max(nth) AS final_nth FROM clean WHERE role = 'assistant' GROUP BY conv_id),
+answers AS (
+  SELECT e.conv_id, f.turn AS first_turn, f.text AS first_text, l.turn AS final_turn, l.text AS final_text
+  FROM ends e JOIN clean f ON f.conv_id = e.conv_id AND f.nth = e.first_nth JOIN clean l ON l.conv_id = e.conv_id AND l.nth = e.final_nth),
+places AS (
+  SELECT a.conv_id, coalesce(b.final_text, '') AS other, a.conv_id % 5 = 0 AS short,
+    CASE WHEN a.conv_id % 5 = 0 THEN a.first_turn ELSE a.final_turn END AS at_turn, CASE WHEN a.conv_id % 5 = 0 THEN a.first_text ELSE a.final_text END AS at_text
+  FROM answers a LEFT JOIN answers b ON b.conv_id = xor(a.conv_id, 1)),
+rejects AS (
+  SELECT c.conv_id, c.turn, c.role, c.nth, c.text, p.other, p.short,
+    p.conv_id IS NOT NULL AND c.role = 'assistant' AND c.turn IS NOT DISTINCT FROM p.at_turn AND c.text = p.at_text AS hit
+  FROM clean c LEFT JOIN places p ON p.conv_id = c.conv_id),
+limits AS (
+  SELECT conv_id, max(nth) FILTER (hit) AS stop FROM rejects GROUP BY conv_id),
+turns AS (
+  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, replace(text, '<|', '< |') AS text FROM clean
+  UNION ALL
+  SELECT r.conv_id, 'rejected', r.turn, r.role, replace(CASE WHEN r.hit THEN r.other ELSE r.text END, '<|', '< |')
+  FROM rejects r JOIN limits l ON l.conv_id = r.conv_id WHERE NOT coalesce(r.short, false) OR r.nth <= l.stop),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS LAST, role, text) AS place FROM turns),
 sizes AS (
