@@ -2,11 +2,15 @@
 
 A document is its tokenizer ids followed by an end id. Only documents longer than a sequence are cut,
 into pieces of the full length with a shorter last one. Pieces are dealt by hash into groups of about
-GROUP pieces; each group is packed apart, by bounded-space online best fit over its pieces in order
-of falling length: at most OPEN bins are open, kept in a bitset by free space (bit f is set while some
-open bin has f free), so the tightest bin that takes a piece is the lowest bit from its length up.
-A bin that is full closes; when another must open and OPEN are open, the fullest closes first.
-What bounding the groups costs is at most a few part-filled sequences in thousands.
+GROUP pieces; each group is packed apart, by bounded-space online best fit: pieces are taken as they
+come (in the order of a hash), each placed for good before the next is seen. At most OPEN bins are open, kept
+in a bitset by free space (bit f is set while some open bin has f free), so the tightest bin that takes a
+piece is the lowest bit from its length up. A bin that is full closes; when another must open and OPEN
+are open, the fullest closes first. What is lost is the free space of the bins closed early and, at
+the end of a group, of those still open.
+
+Repeated rows go to groups by their number within a batch as well, so a row that makes up a third of a
+table is spread over all groups.
 
 Tokens: ids are made per word (text between spaces, tabs and line ends), each distinct word once,
 and laid end to end; the tokenizer splits at white space first, so this equals encoding the whole
@@ -24,6 +28,7 @@ import os
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +37,8 @@ from cadenza.llm import hashing
 from cadenza.llm.common import staged, table
 
 LENGTH = 2048
-OPEN = 4096
-GROUP = 8192
+OPEN = 128
+GROUP = 16384
 END = 0
 WORDS = 500_000
 JOINED = 200
@@ -60,6 +65,10 @@ class _Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = next(t for t in self.tokenizer.get_added_tokens_decoder().values() if t.special).content
         self.mark_id = self.tokenizer.token_to_id(self.mark)
+        normalizer = self.tokenizer.normalizer
+        self.folds = normalizer is not None and normalizer.normalize_str("AZ") == "az"
+        self.opening = np.zeros(256, bool)  # first bytes of added tokens, which are matched in the text as it stands
+        self.opening[[t.content.encode()[0] for t in self.tokenizer.get_added_tokens_decoder().values()]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -97,8 +106,9 @@ class _Words:
     def ids(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         """The ids of each text that lies in `data` from one bound to the next."""
         size = np.diff(bounds)
-        wide = np.diff(np.concatenate([[0], np.cumsum(data >= 128)])[bounds])
-        data = np.where(np.repeat(wide == 0, size), hashing.LOWER[data], data)  # lower case or not gives equal ids; fewer words differ
+        if self.folds:  # lower case or not gives equal ids, but for added tokens; fewer words differ
+            odd = np.diff(np.concatenate([[0], np.cumsum((data >= 128) | self.opening[data])])[bounds])
+            data = np.where(np.repeat(odd == 0, size), hashing.LOWER[data], data)
         starts, stops, count = hashing.words(data, bounds, _SEPARATES, _POINT)
         found, first, code = np.unique(hashing.hashes(data, starts, stops), return_index=True, return_inverse=True)
         new = ~self._known(found)
@@ -128,7 +138,11 @@ def _encoder(path: str) -> _Words:
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): a row for each piece of each document."""
+    """(doc_id, piece, start, length, ids_crc32, nth[, ids]): a row for each piece; nth numbers a batch's equal pieces of equal documents."""
+
+    def numbered(doc_ids: pa.Array, piece: tuple, crc: tuple) -> pa.Array:
+        rows = pd.DataFrame({"d": doc_ids.to_pandas(), "p": piece, "c": crc})
+        return pa.array(rows.groupby(["d", "p", "c"], dropna=False).cumcount().to_numpy(), pa.int64())
 
     def run(batches):
         encoder = _encoder(path)
@@ -144,7 +158,8 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fa
                         out.append((i, k, at, len(piece), zlib.crc32(piece.tobytes()), piece.astype(np.int32) if with_ids else None))
             rows, *columns, ids = zip(*out, strict=True) if out else [()] * 6
             arrays = [batch["doc_id"].take(pa.array(rows, pa.int64())), *(pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            arrays.append(numbered(arrays[0], columns[0], columns[3]) if out else pa.array([], pa.int64()))
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth"]
             if with_ids:
                 arrays.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
@@ -152,14 +167,14 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fa
         encoder.forget()  # an idle worker holds no words
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
+    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, nth bigint" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def best_fit(lengths: list[int], capacity: int, most_open: int) -> tuple[list[int], list[int]]:
-    """The bin and the place in it of each piece, taken in the order given."""
+def best_fit(lengths: list[int], capacity: int, most_open: int) -> tuple[list[int], list[int], int]:
+    """The bin and the place in it of each piece, taken in the order given, and how many bins closed before they were full."""
     by_free: dict[int, list[int]] = {}
-    bits = n_open = n_bins = 0
+    bits = n_open = n_bins = early = 0
     bins, places = [], []
     for size in lengths:
         if fitting := bits >> size:
@@ -174,6 +189,7 @@ def best_fit(lengths: list[int], capacity: int, most_open: int) -> tuple[list[in
                 if not by_free[fullest]:
                     bits ^= 1 << fullest
                 n_open -= 1
+                early += 1
             into, free = n_bins, capacity
             n_bins += 1
             n_open += 1
@@ -184,23 +200,24 @@ def best_fit(lengths: list[int], capacity: int, most_open: int) -> tuple[list[in
             bits |= 1 << left
         else:
             n_open -= 1
-    return bins, places
+    return bins, places, early
 
 
 def pack(rows: DataFrame, length: int = LENGTH, most_open: int = OPEN, group: int = GROUP) -> DataFrame:
     """`rows` of pieces with sequence_id and offset. They are written once, as their number sets the groups."""
     rows = staged(rows)
     groups = max(1, -(-rows.count() // group))
-    keyed = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(groups)))
+    dealt = F.xxhash64("doc_id", "piece", "ids_crc32", "length", "nth")
+    keyed = rows.select("*", F.pmod(dealt, F.lit(groups)).alias("grp"), dealt.alias("place")).drop("nth")
 
     def run(one: pa.Table) -> pa.Table:
-        one = one.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        bins, places = best_fit(one["length"].to_pylist(), length, most_open)
+        one = one.sort_by([(c, "ascending") for c in ("place", "doc_id", "piece", "ids_crc32")])
+        bins, places, _ = best_fit(one["length"].to_pylist(), length, most_open)
         base = (one["grp"][0].as_py() << 32) if len(one) else 0
         ids = pa.array(np.asarray(bins, np.int64) + base, pa.int64())
-        return one.drop_columns(["grp"]).append_column("sequence_id", ids).append_column("offset", pa.array(places, pa.int64()))
+        return one.drop_columns(["grp", "place"]).append_column("sequence_id", ids).append_column("offset", pa.array(places, pa.int64()))
 
-    schema = rows.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    schema = rows.drop("nth").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
     return keyed.groupBy("grp").applyInArrow(run, schema)
 
 
