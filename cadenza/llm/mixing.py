@@ -5,20 +5,22 @@ expected copies of a source's documents form a line; one offset per source shift
 is emitted once for each integer boundary that its stretch crosses. As all stretches of a source are
 equally long, a document's place on the line follows from its rank.
 
-The order along the line is (size class, hash of doc_id, size, doc_id). Size classes are eighths of
+The order along the line is (size class, hash of doc_id, size, doc_id, hash of the text). Size classes are eighths of
 powers of two, so the words taken follow the target closely whatever the order inside a class. The
 rank is the sum of three counts, each taken where the data are small or already split:
 
   documents in lower size classes of the source        one row per class
-  documents in lower hash slots of the class            one row per slot, 256 at most
+  documents in lower hash slots of the class            one row per slot, 65,536 at most
   documents before this one in the slot                 row_number inside (source, class, slot)
 
 so that a source with a third of all rows is spread over its (class, slot) cells; no window holds a
-whole source's documents.
+whole source's documents. With 65,536 slots a cell holds a few hundred documents of 10^11. Sources alone are
+ranked in one task: a row of numbers each, so millions of sources are still small.
 
 Defined results: null text has size 0. A null source is a source of its own, after all others. A
 source without words has target 0 and copies 0. Repeated rows are separate documents. An empty table
-gives an empty mix. Columns beside doc_id, text and source pass through whatever their names.
+gives an empty mix. Texts of any length count whole. Rows that share doc_id, size and text are
+interchangeable. Columns beside doc_id, text and source pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float =
         F.struct("*").alias("row"),
         F.coalesce(F.concat(F.lit("a"), F.col("source")), F.lit("z")).alias("sk"),
         size.alias("size"),
-        F.coalesce(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2), F.lit("")).alias("slot"),
+        F.coalesce(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 4), F.lit("")).alias("slot"),
     ).withColumn("bits", F.length(F.bin("size"))).withColumn(
         "class", F.expr("if(size < 8, size, bits * 8 + (shiftright(size, bits - 4) & 7))")
     ).drop("bits")
@@ -81,7 +83,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float =
         .join(_targets(cells, weights, budget, most, seed), "sk")
         .select("sk", "class", "slot", (F.col("in_class") + F.col("in_source")).alias("before"), "source_size", "target", "u")
     )
-    here = Window.partitionBy("sk", "class", "slot").orderBy("size", "row.doc_id")
+    here = Window.partitionBy("sk", "class", "slot").orderBy("size", "row.doc_id", F.xxhash64("row.text"))
     ranked = docs.withColumn("rn", F.row_number().over(here)).join(places, ["sk", "class", "slot"])
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     ends = F.floor((F.col("before") + F.col("rn")) * share + F.col("u"))
@@ -103,7 +105,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH docs AS (
   SELECT doc_id, coalesce('a' || source, 'z') AS sk, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         coalesce(substr(md5(CAST(doc_id AS VARCHAR)), 1, 2), '') AS slot
+         coalesce(substr(md5(CAST(doc_id AS VARCHAR)), 1, 4), '') AS slot
   FROM documents),
 classed AS (
   SELECT *, CASE WHEN size < 8 THEN size ELSE length(bin(size)) * 8 + ((size >> CAST(length(bin(size)) - 4 AS INTEGER)) & 7) END AS class FROM docs),

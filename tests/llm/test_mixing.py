@@ -54,6 +54,18 @@ def test_a_hot_source_comes_near_its_target(spark):
         assert abs(taken[k] - target) < 0.02 * target
 
 
+def test_ties_of_size_and_id_keep_their_order(spark):
+    rows = [(i // 3, f"w{i % 3} " * (i % 5), "s") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted(tuple(r) for r in mixing.mix(docs.repartition(n)).collect()) for n in (1, 5)]
+    assert runs[0] == runs[1]
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000, "a"), (2, "x " * 10, "a")], "doc_id long, text string, source string")
+    assert {r.row.doc_id: r.size for r in mixing.plan_mix(docs).collect()} == {1: 400_000, 2: 10}
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "x y", None), (3, "x y", None), (4, "q", "B"), (5, "z " * 50, "b"), (None, "n n", "b"), (6, "only blank sources", ""), (7, "  ", "zero")]
     docs = spark.createDataFrame([(*r, 1, "c", 2.0) for r in rows], "doc_id long, text string, source string, size int, copies string, target double")
