@@ -11,7 +11,7 @@ labelled rows, those with the smallest hash of doc_id among labelled rows whose
 modulo FOLDS is not 0. This sample is the only bounded input; features and scores cover all rows.
 
 Defined results: null text counts as empty; empty texts get the score of their zero features. Labels
-that are null don't count; of several labels of a doc_id the largest does. Without labelled rows of
+that are null don't count; of several labels of a doc_id the largest does, and of its texts the least. Without labelled rows of
 both kinds every score is the share of label 1 (0.001 to 0.999), or 0.5. An empty table gives an empty result. Repeated
 rows are scored alike. Columns beside text pass through `score` whatever their names.
 """
@@ -197,10 +197,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Additive:
-    """The model of `label`, from at most `sample` labelled rows outside the held-out fold."""
+    """The model of `label`, from at most `sample` labelled rows outside the held-out fold, one for each doc_id."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y")
 
     def run(batches):
         for batch in batches:
@@ -214,26 +215,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     return train(x[order], y[order])
 
 
-def score(docs: DataFrame, model: Additive, name: str = "score") -> DataFrame:
-    """`docs` with a score from 0 to 1 in column `name`, which must be new."""
+def score(docs: DataFrame, model: Additive, columns: list[str] | None = None) -> DataFrame:
+    """(row, score): `row` holds the columns of `docs`, or those named, whatever their names; the score is from 0 to 1."""
 
     def run(batches):
         for batch in batches:
             found = model.score(features(batch["text"]))
-            yield batch.append_column(name, pa.array(found, pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(found, pa.float64())], names=["row", "score"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    rows = docs.select(F.struct(*(columns or docs.columns)).alias("row"), "text")
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that the classifier does not reject, with their columns."""
     model = fit(docs, labels)
-    wrapped = docs.select(F.struct("*").alias("row"), "text")
-    return score(wrapped, model).where(F.col("score") >= threshold).select("row.*")
+    return score(docs, model).where(F.col("score") >= threshold).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    scored = score(docs, model, ["doc_id"])
+    return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -28,13 +28,14 @@ def test_held_out_accuracy(spark):
 
 
 def test_scores_use_the_text_alone_and_all_rows(spark):
-    docs = spark.createDataFrame([(1, None, "x", 9), (2, "", "y", 8), (3, "Some words here.", "x", 7), (3, "Some words here.", "z", 6), (None, "w " * 5000, None, None)], "doc_id long, text string, y string, known int")
+    docs = spark.createDataFrame([(1, None, "x", 9), (2, "", "y", 8), (3, "Some words here.", "x", 7), (3, "Some words here.", "z", 6), (None, "w " * 5000, None, None)], "doc_id long, text string, score string, row int")
     labels = spark.createDataFrame([(i, i % 2) for i in range(4)] + [(None, 1), (5, None)], "doc_id long, quality int")
     scored = quality.score(docs, quality.fit(docs, labels)).collect()
-    assert len(scored) == 5 and len({r.score for r in scored if r.text == "Some words here."}) == 1
+    assert len(scored) == 5 and len({r.score for r in scored if r.row.text == "Some words here."}) == 1
     assert scored[0].score == scored[1].score
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns
+    assert kept.count() == sum(r.score >= quality.THRESHOLD for r in scored)
     assert quality.keep_good(docs.limit(0), labels).collect() == []
     assert quality.score(docs, quality.fit(docs, labels.limit(0))).select("score").distinct().count() == 1
 
