@@ -23,10 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """This application's folder in the shared checkpoint folder; a local one only where none is set, as in tests."""
-    app = spark.sparkContext.applicationId
+    """This application's folder in the shared checkpoint folder; a local one only on a local master where none is set, as in tests."""
+    sc = spark.sparkContext
+    app = sc.applicationId
     if app not in _folders:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-cadenza-")
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not shared:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="spark-cadenza-")
         _folders[app] = f"{shared.rstrip('/')}/cadenza-{app}"
         atexit.register(_drop, spark, _folders[app])
     return _folders[app]
@@ -49,7 +54,14 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a `staged` table that nothing will read again."""
+    _drop(df.sparkSession, df._staged_path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -23,6 +23,12 @@ def test_staged_tables_keep_types_and_follow_the_setting(spark, tmp_path):
     assert common.staged(df.limit(0)).collect() == []
 
 
+def test_discarded_tables_are_gone(spark):
+    df = common.staged(spark.range(3))
+    common.discard(df)
+    assert not __import__("os").path.exists(df._staged_path)
+
+
 def test_word_counts(spark):
     df = spark.createDataFrame([(None,), ("",), (" \t\n\x0b\x0c\r",), ("a b c  d",), ("\x1ca",)], "t string")
     assert [r.n for r in df.select(common.word_count(F.col("t")).alias("n")).collect()] == [0, 0, 0, 3, 1]
