@@ -1,9 +1,14 @@
-"""Personal data: base patterns, and terms that disclose what the patterns found.
+"""Personal data: base patterns, values that carry too much information, and terms that disclose either.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, leftmost and
 non-overlapping for each kind; matches that fail their check (range, digits, checksum) are dropped.
 
-Information-theoretic sanitisation: a protected entity is a base value, however written, or the part that
+Secrets: a run of letters, digits, _ and - is a span of kind "secret" where its self-information is BITS or more, both
+by the corpus (each symbol given the one before, counted over all texts) and by the run itself (the entropy of its
+symbols). Each different pair of neighbours in the run counts once. Words stay far below: they are predictable from
+the corpus, and what repeats itself is predictable from the run. Random keys are neither.
+
+Information-theoretic sanitisation: a protected entity is a base value or secret, however written, or the part that
 it shares with others (mail name, mail domain, network, card issuer, phone exchange), so values that occur once
 take part by what they have in common. Over the corpus, with N documents, n(e) that hold entity e, n(t) that
 hold term t and n(t, e) that hold both, anywhere in the text,
@@ -14,16 +19,26 @@ is the share of e's information that t reveals: the pointwise mutual information
 p(e | t) is what the other documents with t tell about any one of them, smoothed by one document at p(e). It
 comes near 1 for a term that never occurs without e, sooner the rarer e is: for e in 1 of 5,000 documents two
 are enough; and where a text is the only one to hold t and e, nothing else links them and it is not above 0.
+In a text that holds e the term counts itself as evidence: for terms that stand beside e (WINDOW terms on each
+side), in n'(t, e) texts,
+
+    p'(e | t) = (n'(t, e) + p(e)) / (n(t) + 1)
+
+so a rare name beside a mail address is removed there even where both occur once.
+
 Rows that hold e among equal terms (WINDOW on each side) are copies and count once in n(e), n(t) and n(t, e);
-near copies that differ there count as different. A term whose disclosure of any entity reaches THRESHOLD is
-a span of kind "term" wherever it occurs, in documents with and without base spans. `sanitised` generalises
-each span to a placeholder.
+near copies that differ there count as different. A term whose disclosure by p of any entity reaches THRESHOLD is
+a span of kind "term" wherever it occurs, in documents with and without base spans; one that reaches it by p' alone
+is a span wherever it occurs in the documents where it stands beside that entity. `sanitised` generalises each
+span to a placeholder.
 
-All counts cover all documents. The corpus is read three times: for base spans and the distinct terms of
+All counts cover all documents. The corpus is read four times: for the symbols' counts (a table of 65 by 65);
+for base spans, secrets, and the distinct terms of
 documents that have any; for n(t), where each task sends one count per term; and for the places of disclosing
 terms. The last two send only terms that may be wanted (a bitmap of fixed size).
 
-Defined results: null text is empty. Terms are runs of ASCII letters and non-ASCII characters, with A-Z
+Defined results: null text is empty. Texts of any length are read whole, by pieces. Ties don't arise: a span's kind and
+place are unique. A secret that overlaps a base span isn't one. Terms are runs of ASCII letters and non-ASCII characters, with A-Z
 lower-cased, of any length; base spans lie between terms. Repeated rows are separate documents with equal spans. An empty
 table gives an empty result. Columns beside doc_id and text pass through `sanitised` whatever their names.
 """
@@ -44,8 +59,9 @@ from cadenza.llm.common import MAP_BITS, staged, table, values
 
 WINDOW = 10
 THRESHOLD = 0.8
+BITS = 100.0
 KINDS = ("email", "ip", "card", "phone")
-PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "term": "[TERM]"}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -59,6 +75,10 @@ _OTHER = re.compile(r"[^0-9]+")
 #: Terms end at ASCII characters other than letters.
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: The symbols of secrets, each with its number; any other byte has the number OTHER.
+OTHER = 64
+SYMBOLS = np.full(256, OTHER, np.int64)
+SYMBOLS[[*range(65, 91), *range(97, 123), *range(48, 58), 95, 45]] = np.arange(OTHER)
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -100,6 +120,59 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def information(docs: DataFrame) -> np.ndarray:
+    """Bits of each symbol (column) after another (row), over all texts; the whole of it is 65 by 65 numbers."""
+    size = OTHER + 1
+
+    def run(batches):
+        counts = np.zeros(size * size, np.int64)
+        for batch in batches:
+            data, offsets = hashing.buffers(batch["text"])
+            for first, last in hashing.pieces(offsets):
+                low, high = int(offsets[first]), int(offsets[last])
+                ends = np.unique(offsets[first + 1 : last])
+                for at in range(low, high, hashing.PIECE):  # a long text by parts that overlap in one byte
+                    symbols = SYMBOLS[data[at : min(at + hashing.PIECE + 1, high)]]
+                    pairs = symbols[:-1] * size + symbols[1:]
+                    pairs = np.delete(pairs, ends[(ends > at) & (ends <= at + len(pairs))] - at - 1)  # not across texts
+                    counts += np.bincount(pairs, minlength=size * size)
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["pair", "n"])
+
+    found = docs.select("text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(size * size)
+    counts[found["pair"].to_numpy()] = found["n"].to_numpy()
+    counts = counts.reshape(size, size)
+    return -np.log2((counts + 1) / (counts.sum(1, keepdims=True) + size))
+
+
+def is_secret(value: bytes, bits: np.ndarray, least: float) -> bool:
+    symbols = SYMBOLS[np.frombuffer(value, np.uint8)]
+    n = np.bincount(symbols)
+    n = n[n > 0]
+    pairs = np.unique(np.append(OTHER, symbols[:-1]) * (OTHER + 1) + symbols)
+    if len(pairs) * (n * np.log2(len(symbols) / n)).sum() / len(symbols) < least:
+        return False
+    return bits.ravel()[pairs].sum() >= least
+
+
+def _secrets(texts: pa.Array, bits: np.ndarray, least: float) -> list[list[tuple[str, int, int]]]:
+    """The secrets of each text. A run of n symbols carries n log2(n) bits at most, which short ones can't reach."""
+    shortest = next(n for n in range(1, 1 << 20) if n * np.log2(min(n, OTHER)) >= least)
+    data, offsets = hashing.buffers(texts)
+    found: list[list[tuple[str, int, int]]] = [[] for _ in range(len(texts))]
+    for first, last in hashing.pieces(offsets):
+        part, bounds = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        starts, stops, words = hashing.words(part, bounds, SYMBOLS == OTHER)
+        for i in np.flatnonzero(stops - starts >= shortest).tolist():
+            a, b = int(starts[i]), int(stops[i])
+            if is_secret(part[a:b].tobytes(), bits, least):
+                owner = int(np.searchsorted(bounds, a, "right")) - 1
+                at = int(((part[bounds[owner] : a] & 0xC0) != 0x80).sum())
+                found[first + owner].append(("secret", at, at + b - a))
+    return found
+
+
 def _key(value: str) -> int:
     found = xxhash.xxh3_64_intdigest(value)
     return found - (1 << 64) if found >> 63 else found
@@ -124,8 +197,12 @@ def _terms(texts: pa.Array, spans: list[list[tuple[str, int, int]]]) -> Iterator
         yield owner, hashing.hashes(part, starts, stops), points[starts] - origin, points[stops] - origin
 
 
-def _spans_of(texts: pa.Array) -> list[list[tuple[str, int, int]]]:
-    return [base_spans(t) if t else [] for t in values(texts)]
+def _spans_of(texts: pa.Array, bits: np.ndarray, least: float) -> list[list[tuple[str, int, int]]]:
+    """Base spans and secrets of each text."""
+    found = [base_spans(t) if t else [] for t in values(texts)]
+    for spans, more in zip(found, _secrets(texts, bits, least), strict=True):
+        spans += [s for s in more if not any(a < s[2] and s[1] < b for _, a, b in spans)]
+    return found
 
 
 def _protected(kind: str, value: str) -> list[str]:
@@ -136,15 +213,18 @@ def _protected(kind: str, value: str) -> list[str]:
     elif kind == "ip":
         numbers = [n.lstrip("0") or "0" for n in value.split(".")]
         parts = [".".join(numbers), ".".join(numbers[:3])]
+    elif kind == "secret":
+        parts = [value]
     else:
         digits = _OTHER.sub("", value)
         parts = [digits, f"{digits[:6]}-" if kind == "card" else f"{digits[:-4]}-"]
     return [f"{kind}:{part}" for part in parts]
 
 
-def _entities(text: str, spans: list[tuple[str, int, int]], terms: np.ndarray, starts: np.ndarray, window: int) -> list[dict]:
-    """The entities of a text, each with a hash of the terms around it, by which copies are told."""
+def _entities(text: str, spans: list[tuple[str, int, int]], terms: np.ndarray, starts: np.ndarray, stops: np.ndarray, window: int) -> list[dict]:
+    """The entities of a text: each with a hash of the terms around it, by which copies are told, and those terms with all their places in the text."""
     found: dict[int, int] = {}
+    beside: dict[int, set] = {}
     for kind, a, b in spans:
         left, right = np.searchsorted(starts, a), np.searchsorted(starts, b)
         near = terms[max(0, left - window) : right + window]
@@ -152,39 +232,53 @@ def _entities(text: str, spans: list[tuple[str, int, int]], terms: np.ndarray, s
         context -= (1 << 64) if context >> 63 else 0
         for entity in map(_key, _protected(kind, text[a:b])):
             found[entity] = min(found.get(entity, context), context)
-    return [{"entity": e, "context": c} for e, c in found.items()]
+            beside.setdefault(entity, set()).update(near.tolist())
+    every = np.array(sorted(set().union(*beside.values())), np.uint64)
+    at = np.flatnonzero(np.isin(terms, every))
+    places: dict[int, list] = {}
+    for term, start, stop in zip(terms[at].tolist(), starts[at].tolist(), stops[at].tolist(), strict=True):
+        places.setdefault(term, []).append({"start": start, "stop": stop})
+    signed = lambda t: t - (1 << 64) if t >> 63 else t
+    return [{"entity": e, "context": c, "near": [{"term": signed(t), "places": places[t]} for t in sorted(beside[e])]} for e, c in found.items()]
 
 
-_ONE = "struct<entity:bigint,context:bigint>"
-_ONE_ARROW = pa.struct([(n, pa.int64()) for n in ("entity", "context")])
+_PLACES = "array<struct<start:bigint,stop:bigint>>"
+_PLACES_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+_ONE = f"struct<entity:bigint,context:bigint,near:array<struct<term:bigint,places:{_PLACES}>>>"
+_ONE_ARROW = pa.struct(
+    [("entity", pa.int64()), ("context", pa.int64()), ("near", pa.list_(pa.struct([("term", pa.int64()), ("places", _PLACES_ARROW)])))]
+)
 
 
-def base(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, n_email, n_ip, n_card, n_phone, base, entities, held): a row for each row of `docs`.
+def base(docs: DataFrame, bits: np.ndarray, window: int = WINDOW, least: float = BITS) -> DataFrame:
+    """(doc_id, text_key, n_email, n_ip, n_card, n_phone, base, secrets, entities, held): a row for each row of `docs`.
 
-    `held` has the distinct terms of a text with base spans.
+    `held` has the distinct terms of a text with base spans or secrets.
     """
 
     def run(batches):
         for batch in batches:
-            texts, spans = batch["text"], _spans_of(batch["text"])
+            texts, spans = batch["text"], _spans_of(batch["text"], bits, least)
             counts = {k: [sum(s[0] == k for s in found) for found in spans] for k in KINDS}
-            written = [",".join(f"{k}:{a}:{b}" for k, a, b in found) for found in spans]
+            written = [",".join(f"{k}:{a}:{b}" for k, a, b in found if k != "secret") for found in spans]
+            secrets = [[{"start": a, "stop": b} for k, a, b in found if k == "secret"] for found in spans]
             entities, held = [[] for _ in spans], [None] * len(spans)
             rows = np.flatnonzero([bool(found) for found in spans])
-            for owner, terms, starts, _ in _terms(texts.take(pa.array(rows)), [spans[i] for i in rows]):
+            for owner, terms, starts, stops in _terms(texts.take(pa.array(rows)), [spans[i] for i in rows]):
                 for i in np.unique(owner).tolist():
                     own = slice(*np.searchsorted(owner, [i, i + 1]))
                     held[rows[i]] = np.unique(terms[own]).view(np.int64)
-                    entities[rows[i]] = _entities(texts[int(rows[i])].as_py(), spans[rows[i]], terms[own], starts[own], window)
+                    entities[rows[i]] = _entities(texts[int(rows[i])].as_py(), spans[rows[i]], terms[own], starts[own], stops[own], window)
             keys = [_key(t or "") for t in values(texts)]
             arrays = [batch["doc_id"], pa.array(keys, pa.int64()), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(written, pa.string())]
-            arrays += [pa.array(entities, pa.list_(_ONE_ARROW)), pa.array(held, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base", "entities", "held"])
+            arrays += [pa.array(secrets, _PLACES_ARROW), pa.array(entities, pa.list_(_ONE_ARROW)), pa.array(held, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base", "secrets", "entities", "held"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_key bigint, {counts}, base string, entities array<{_ONE}>, held array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, text_key bigint, {counts}, base string, secrets {_PLACES}, entities array<{_ONE}>, held array<bigint>"
+    )
 
 
 def _map(wanted: DataFrame) -> np.ndarray:
@@ -201,14 +295,14 @@ def _in_map(bits: np.ndarray, terms: np.ndarray) -> np.ndarray:
     return (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _term_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _term_documents(docs: DataFrame, wanted: DataFrame, known: np.ndarray, least: float) -> DataFrame:
     """(term, n_t): the number of documents that hold each wanted term."""
     bits = _map(wanted)
 
     def run(batches):
         for batch in batches:
             seen = []
-            for owner, terms, _, _ in _terms(batch["text"], _spans_of(batch["text"])):
+            for owner, terms, _, _ in _terms(batch["text"], _spans_of(batch["text"], known, least)):
                 hit = _in_map(bits, terms)
                 terms, owner = terms[hit], owner[hit]
                 order = np.lexsort((owner, terms))
@@ -223,37 +317,45 @@ def _term_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return counted.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(entity, term, disclosure) of the terms that disclose an entity; `found` comes from `base`.
+def disclosing(docs: DataFrame, found: DataFrame, bits: np.ndarray, threshold: float = THRESHOLD, least: float = BITS) -> DataFrame:
+    """(entity, term, beside, disclosure) of the terms that disclose an entity; `found` comes from `base`.
 
-    A pair in a single context discloses nothing (see above), so only pairs with more are counted on.
+    With `beside` it is by p', in documents where the term stands beside the entity; else by p, everywhere. By p a
+    pair in a single context discloses nothing (see above), so only pairs with more are counted on.
     """
     n_docs = found.count()
-    each = found.select("held", F.explode("entities").alias("e")).select("held", "e.*")
-    holders = staged(each.groupBy("entity").agg(F.count_distinct("context").alias("n_e")).where("n_e > 1"))
-    by_doc = each.join(holders, "entity", "left_semi").select("entity", "context", F.explode("held").alias("term"))
-    pairs = by_doc.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("rows"), F.count("*").alias("n_te"))
-    least = found.select(F.explode("held").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    each = found.select("held", F.explode("entities").alias("e")).select("held", "e.entity", "e.context", "e.near.term")
+    holders = staged(each.groupBy("entity").agg(F.count_distinct("context").alias("n_e")))
+    many = holders.where("n_e > 1").select("entity")
+
+    def counted(pairs: DataFrame, beside: bool) -> DataFrame:
+        pairs = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
+        return pairs.groupBy("entity", "term").agg(F.sum("n").alias("rows"), F.count("*").alias("n_te")).withColumn("beside", F.lit(beside))
+
+    anywhere = counted(each.join(many, "entity", "left_semi").select("entity", "context", F.explode("held").alias("term")), False).where("n_te > 1")
+    pairs = anywhere.unionByName(counted(each.select("entity", "context", F.explode("term").alias("term")), True))
+    fewest = found.select(F.explode("held").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     before = F.col("n_e") / F.lit(float(n_docs))
-    after = (F.col("n_te") - 1 + before) / (F.col("n_t") - F.col("rows") + F.col("n_te"))
+    texts = F.col("n_t") - F.col("rows") + F.col("n_te")
+    after = F.when(F.col("beside"), (F.col("n_te") + before) / (texts + 1)).otherwise((F.col("n_te") - 1 + before) / texts)
     score = F.when(before < 1, F.log(after / before) / -F.log(before))
-    # Disclosure falls with n(t), so pairs that fail with the documents that have base spans fail with all.
-    pairs = pairs.where("n_te > 1").join(least, "term").join(holders, "entity")
+    # Disclosure falls with n(t), so pairs that fail with the documents that have spans fail with all.
+    pairs = pairs.join(fewest, "term").join(holders, "entity")
     pairs = staged(pairs.where(score >= threshold).drop("n_t"))
     if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(None).cast("double").alias("disclosure"))
-    known = pairs.join(_term_documents(docs, staged(pairs.select("term").distinct())), "term")
-    return known.withColumn("disclosure", score).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+        return pairs.select("entity", "term", "beside", F.lit(None).cast("double").alias("disclosure"))
+    known = pairs.join(_term_documents(docs, staged(pairs.select("term").distinct()), bits, least), "term")
+    return known.withColumn("disclosure", score).where(F.col("disclosure") >= threshold).select("entity", "term", "beside", "disclosure")
 
 
-def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, text_key, terms): where wanted terms stand, in documents that hold any."""
+def _places(docs: DataFrame, wanted: DataFrame, known: np.ndarray, least: float) -> DataFrame:
+    """(doc_id, text_key, start, stop): where wanted terms stand."""
     bits = _map(wanted)
 
     def run(batches):
         for batch in batches:
             texts = batch["text"]
-            for owner, terms, starts, stops in _terms(texts, _spans_of(texts)):
+            for owner, terms, starts, stops in _terms(texts, _spans_of(texts, known, least)):
                 hit = np.flatnonzero(_in_map(bits, terms))
                 rows, where = np.unique(owner[hit], return_inverse=True)
                 keys = np.array([_key(texts[i].as_py()) for i in rows.tolist()], np.int64)[where]
@@ -262,25 +364,32 @@ def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     seen = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_key bigint, term bigint, start bigint, stop bigint")
-    return seen.join(wanted, "term", "left_semi").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("terms"))
+    return seen.join(wanted, "term", "left_semi").drop("term")
 
 
-def spans(docs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
+def spans(docs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, least: float = BITS) -> DataFrame:
     """`base` with added spans: its columns but entities and held, and terms, an array of (start, stop) in order."""
-    found = staged(base(docs, window))
-    bad = staged(disclosing(docs, found, threshold).select("term").distinct())
-    out, none = found.drop("entities", "held"), F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    bits = information(docs)
+    found = staged(base(docs, bits, window, least))
+    bad = staged(disclosing(docs, found, bits, threshold, least))
+    out, none = found.drop("entities", "held"), F.array().cast(_PLACES)
     if bad.isEmpty():
         return out.withColumn("terms", none)
-    added = _places(docs, bad).select(F.col("doc_id").alias("added_id"), F.col("text_key").alias("added_key"), "terms")
+    here = found.select("doc_id", "text_key", F.explode("entities").alias("e")).select("doc_id", "text_key", "e.entity", F.explode("e.near").alias("t"))
+    here = here.select("doc_id", "text_key", "entity", "t.term", "t.places").join(bad.where("beside"), ["entity", "term"], "left_semi")
+    added = here.select("doc_id", "text_key", F.inline("places"))
+    everywhere = staged(bad.where("NOT beside").select("term").distinct())
+    if not everywhere.isEmpty():
+        added = added.unionByName(_places(docs, everywhere, bits, least))
+    added = added.groupBy(F.col("doc_id").alias("added_id"), F.col("text_key").alias("added_key")).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("terms"))
     out = out.join(added, F.col("doc_id").eqNullSafe(F.col("added_id")) & (F.col("text_key") == F.col("added_key")), "left")
     return out.drop("added_id", "added_key").withColumn("terms", F.coalesce("terms", none))
 
 
 def written() -> Column:
     """All spans of a row of `spans` as one string."""
-    terms = F.array_join(F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["stop"])), ",")
-    return F.concat_ws(",", *(F.when(c != "", c) for c in (F.col("base"), terms)))
+    added = lambda kind, c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["stop"])), ",")
+    return F.concat_ws(",", *(F.when(c != "", c) for c in (F.col("base"), added("secret", "secrets"), added("term", "terms"))))
 
 
 def sanitised(docs: DataFrame, **parameters) -> DataFrame:
