@@ -2,15 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def percentiles(df: DataFrame, value: Column, fractions: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, p): exact interpolated percentiles of non-null values, for groups of any size.
+
+    Equal values are counted first. A group's values are dealt by magnitude into slots whose order is that of the values;
+    counts per slot tell which slots hold the wanted ranks, and only those are put in order. No task holds a group.
+    """
+    keys = list(keys)
+    values = df.select(*keys, value.cast("double").alias("v")).where("v IS NOT NULL").groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    values = values.withColumn("slot", (F.signum("v") * F.floor(F.log2(F.abs("v") + 1) * 256)).cast("long"))
+    everything = Window.partitionBy(*keys, F.lit(0))
+    down = everything.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = values.groupBy(*keys, "slot").agg(F.sum("n").alias("m"))
+    slots = slots.select(*keys, "slot", F.coalesce(F.sum("m").over(down), F.lit(0)).alias("before"), "m", F.sum("m").over(everything).alias("total"))
+    at = [F.lit(float(f)) * (F.col("total") - 1) for f in fractions]
+    ranks = [F.floor(a) for a in at] + [F.ceil(a) for a in at]
+    holds = F.exists(F.array(*ranks), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("m")))
+    # Signs of slots join null keys as well, as a group of null is a group.
+    slots = slots.where(holds).select(*(F.col(k).alias(f"slot_{k}") for k in keys), F.col("slot").alias("slot_at"), "before", "total")
+    same = F.col("slot") == F.col("slot_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"slot_{k}"))
+    inside = Window.partitionBy(*keys, "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = values.join(slots, same).withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    holding = lambda r: F.max(F.when((r >= F.col("upto") - F.col("n")) & (r < F.col("upto")), F.col("v")))
+    n = len(fractions)
+    found = found.groupBy(*keys).agg(F.max("total").alias("total"), F.array(*(holding(r) for r in ranks)).alias("vs"))
+    mid = lambda i: F.col("vs")[i] + (at[i] - F.floor(at[i])) * (F.col("vs")[n + i] - F.col("vs")[i])
+    return found.select(*keys, F.array(*map(mid, range(n))).alias("p"))
+
+
+def medians(df: DataFrame, column: str, name: str, key: str = "repo_full") -> DataFrame:
+    """(key, name): the exact median by key, null where a key has no value; rows without key go."""
+    rows = df.dropna(subset=[key])
+    found = percentiles(rows, F.col(column), [0.5], [key]).select(key, F.col("p")[0].alias(name))
+    return rows.select(key).distinct().join(found, key, "left")
+
+
 def box(df: DataFrame, value: str, key: str = "repo_full") -> DataFrame:
     """Box-plot numbers: quartiles, whiskers (extreme values within 1.5 quartile ranges) and outliers."""
     rows = df.dropna(subset=[key, value]).select(key, F.col(value).cast("double").alias("v"))
-    cut = rows.groupBy(key).agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    cut = cut.select(key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"))
+    cut = percentiles(rows, F.col("v"), (0.25, 0.5, 0.75), [key])
+    cut = cut.select(key, F.col("p")[0].alias("q1"), F.col("p")[1].alias("med"), F.col("p")[2].alias("q3"))
     inside = F.col("v").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     return rows.join(cut, key).groupBy(key, "q1", "med", "q3").agg(
         F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"),

@@ -1,25 +1,37 @@
-"""All derived tables of one set of raw entities, and their files."""
+"""All derived tables of one set of raw entities, and their files: from landed nodes or CSV to metrics in one run."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadenza.functions import exprs
+from cadenza.operators import stats
 from cadenza.plans import enrich, metrics
-from cadenza.sources import files, schemas
+from cadenza.sources import files, landed, schemas
 
 
 def derive(prs: DataFrame, runs: DataFrame, releases: DataFrame) -> dict[str, DataFrame]:
     """The weekly and monthly tables by name, from raw entities. Nothing runs until a table is used."""
     prs, runs, releases = enrich.prs(prs), enrich.runs(runs, exprs.DELIVERY_BROAD), enrich.releases(releases)
-    ci = metrics.ci_weekly(runs)
+    ci, overhead, retries = metrics.ci_weekly(runs), metrics.review_overhead(prs), metrics.true_retry_weekly(runs)
     return {
-        "review_overhead_weekly": metrics.review_overhead(prs),
+        "review_overhead_weekly": overhead,
+        "pr_cycle_weekly": metrics.cycle_weekly(prs),
+        "ci_capped_weekly": metrics.ci_capped_weekly(runs),
+        "merge_frequency_smoothed": metrics.merge_smoothed(prs),
+        "review_duration_smoothed": metrics.review_duration_smoothed(overhead),
+        "review_latency_smoothed": metrics.review_latency_smoothed(overhead),
+        "ci_flakiness_smoothed": metrics.flakiness_smoothed(retries),
+        "review_latency_box": metrics.latency_box(prs),
+        "pr_churn_box": metrics.churn_box(prs),
+        "ci_retry_describe": metrics.retry_describe(runs),
+        "run_time_range": stats.time_range(runs, "run_started_dt"),
         "ci_weekly": ci,
         "ci_failure_volatility_weekly": metrics.weekly_volatility(ci),
         "ci_flakiness_weekly": metrics.runs_per_sha_weekly(runs),
         "ci_flakiness_retry_weekly": metrics.sha_retry_weekly(runs),
-        "ci_flakiness_true_retry_weekly": metrics.true_retry_weekly(runs),
+        "ci_flakiness_true_retry_weekly": retries,
         "merge_frequency_weekly": metrics.merge_frequency(prs),
         "release_frequency_monthly": metrics.release_frequency(releases),
         "cd_workflow_weekly": metrics.cd_weekly(runs),
@@ -39,10 +51,33 @@ def summaries(derived: dict[str, DataFrame], prs: DataFrame, snapshots: DataFram
     }
 
 
+def _write(raw: dict[str, DataFrame], out: str, snapshots: DataFrame | None = None) -> list[str]:
+    """Writes the derived and the summary tables; each with a folder for each repository, and whole as one table."""
+    derived = derive(raw["prs"], raw["workflow_runs"], raw["releases"])
+    tables = derived | summaries(derived, enrich.prs(raw["prs"]), snapshots)
+    for name, table in tables.items():
+        slug = exprs.slug(F.split_part("repo_full", F.lit("/"), F.lit(1)), F.split_part("repo_full", F.lit("/"), F.lit(2)))
+        files.write_csv(table.withColumn("slug", slug), f"{out}/{name}", single=not name.endswith("pr_level"), by="slug")
+    return list(tables)
+
+
 def collect(spark: SparkSession, raw: str, out: str) -> list[str]:
     """Reads prs.csv, workflow_runs.csv and releases.csv of folder `raw`, writes each derived table under `out`; their names."""
-    entities = [files.read_csv(spark, f"{raw}/{name}.csv", schema) for name, schema in (("prs", schemas.PRS), ("workflow_runs", schemas.RUNS), ("releases", schemas.RELEASES))]
-    derived = derive(*entities)
-    for name, table in derived.items():
-        files.write_csv(table, f"{out}/{name}", single=not name.endswith("pr_level"))
-    return list(derived)
+    found = (("prs", schemas.PRS), ("workflow_runs", schemas.RUNS), ("releases", schemas.RELEASES))
+    return _write({name: files.read_csv(spark, f"{raw}/{name}.csv", schema) for name, schema in found}, out)
+
+
+def entities(prs: DataFrame, runs: DataFrame, releases: DataFrame, since: str | None = None) -> dict[str, DataFrame]:
+    """Raw entities of all repositories from what the connectors return: (owner, repo, node)."""
+    return {
+        "prs": landed.prs(landed.parsed(prs, schemas.PR_NODE), since=since),
+        "workflow_runs": landed.runs(landed.parsed(runs, schemas.RUN_NODE), since=since),
+        "releases": landed.releases(landed.parsed(releases, schemas.RELEASE_NODE), since=since),
+    }
+
+
+def collect_nodes(prs: DataFrame, runs: DataFrame, releases: DataFrame, out: str, since: str | None = None) -> list[str]:
+    """From connector to metric: writes raw entities as CSV under `out`/raw, reads them again, and writes every derived table."""
+    for name, table in entities(prs, runs, releases, since).items():
+        files.write_csv(table, f"{out}/raw/{name}.csv")
+    return collect(prs.sparkSession, f"{out}/raw", out)

@@ -1,6 +1,7 @@
 """The metrics: each takes enriched entities and returns a lazy DataFrame.
 
-Rows with a null group key take part in no group. Percentiles are exact.
+Rows with a null group key take part in no group. Percentiles are exact: of a repository's week or month as aggregates, of
+whole repositories and tables by counted ranks (`stats.percentiles`).
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ def ci_capped_weekly(runs: DataFrame, most_minutes: float = 360) -> DataFrame:
 def ci_capped_p99(runs: DataFrame) -> DataFrame:
     """The other cap: durations up to the overall 99th percentile, by Tuesday week."""
     known = runs.dropna(subset=["ci_duration_min"])
-    cap = known.agg(F.percentile("ci_duration_min", F.lit(0.99)).alias("cap"))
+    cap = stats.percentiles(known, F.col("ci_duration_min"), [0.99]).select(F.col("p")[0].alias("cap"))
     return ci_capped_weekly(known.join(F.broadcast(cap), F.col("ci_duration_min") <= F.col("cap")), float("inf"))  # cap has one row
 
 
@@ -225,7 +226,9 @@ def snapshots_tidy(raw: DataFrame) -> DataFrame:
 
 
 def _by_repo(df: DataFrame, value: str, name: str, mean: bool = False) -> DataFrame:
-    return df.dropna(subset=[REPO]).groupBy(REPO).agg((F.avg if mean else F.median)(F.col(value).cast("double")).alias(name))
+    if not mean:
+        return stats.medians(df, value, name)
+    return df.dropna(subset=[REPO]).groupBy(REPO).agg(F.avg(F.col(value).cast("double")).alias(name))
 
 
 def repo_comparison(ci: DataFrame, cycle_weekly: DataFrame | None = None, overhead: DataFrame | None = None, prs: DataFrame | None = None) -> DataFrame:

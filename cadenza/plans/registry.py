@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadenza.functions import exprs
 from cadenza.operators import calendar, stats
 from cadenza.operators.asof import next_after
-from cadenza.plans import metrics, standins
+from cadenza.plans import enrich, metrics, standins
+from cadenza.sources import files, landed, schemas
 
 DIGITS = 6
 QUERIES: dict = {}
@@ -240,3 +245,84 @@ FROM (VALUES ('PR Cycle Time', ['Fast Feedback']), ('Review Latency', ['Fast Fee
 _add("capability_observability", lambda s, d: metrics.observability(s), """
 SELECT * FROM (VALUES ('Continuous Integration', 5), ('Trunk-based Development', 4), ('Fast Feedback', 5), ('Automated Testing', 4), ('Observability', 2),
                       ('Lean Management', 1), ('Culture', 0)) t(capability, score)""")
+
+_add("snapshot_calendar_monthly", lambda s, d: calendar.snapshot_dates(s, "2024-01-15", "2025-03-01", "monthly"), """
+SELECT CAST(d AS TIMESTAMP) AS snapshot_date FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2025-02-28', INTERVAL 1 MONTH) t(d)""")
+
+_add("first_entities", _of(lambda r: stats.entities(r, most=2), S.runs), "SELECT DISTINCT repo_full FROM runs ORDER BY repo_full LIMIT 2")
+
+# Nodes as connectors return them, and what becomes of them.
+
+_STAMP = "strftime({0}, '%Y-%m-%dT%H:%M:%SZ')"
+_PR_ROWS = f""",
+reviews AS (
+  SELECT l_orderkey, count(*) AS n, min(CASE WHEN l_linenumber % 3 > 0 THEN {_STAMP.format("l_shipdate")} END) AS first_at FROM lineitem GROUP BY l_orderkey),
+landed_prs AS (
+  SELECT 'o' || (o_custkey % 2) AS owner, 'r/' || (o_custkey % 3) AS repo, owner || '/' || repo AS repo_full, o_orderkey AS pr_number, {_STAMP.format("o_orderdate")} AS created_at,
+    CASE WHEN o_orderkey % 5 > 0 THEN 'u' || o_custkey END AS author, r.first_at AS first_review_at, coalesce(r.n, 0) AS review_count, o_orderkey % 7 AS commit_count
+  FROM orders LEFT JOIN reviews r ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '1995-01-01')"""
+
+_add("landed_prs", lambda s, d: _landed(s, d)["prs"].select("repo_full", "pr_number", "created_at", "author", "first_review_at", "review_count", "commit_count"), _PR_ROWS + """
+SELECT repo_full, pr_number, created_at, author, first_review_at, review_count, commit_count FROM landed_prs""")
+
+_add("landed_runs", lambda s, d: _landed(s, d)["workflow_runs"].select("repo_full", "run_id", "workflow_name", "created_at", F.array_join("pr_numbers", ",").alias("pr_numbers")), f"""
+SELECT 'o0/r' || (user_id % 3) AS repo_full, event_id AS run_id, event_type AS workflow_name, {_STAMP.format("ts")} AS created_at,
+  CASE WHEN event_id % 4 = 0 THEN '' WHEN user_id = 0 THEN CAST(event_id + 1 AS VARCHAR) ELSE user_id || ',' || (event_id + 1) END AS pr_numbers
+FROM events""")
+
+_add("landed_releases", lambda s, d: _landed(s, d)["releases"].select("repo_full", "release_id", "tag_name", "created_at", "published_at"), f"""
+SELECT 'o0/r' || (o_custkey % 3) AS repo_full, o_orderkey AS release_id, o_orderpriority AS tag_name, {_STAMP.format("o_orderdate")} AS created_at,
+  CASE WHEN o_orderkey % 4 > 0 THEN {_STAMP.format("o_orderdate")} END AS published_at
+FROM orders WHERE o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '1995-01-01'""")
+
+_add("landed_merge_frequency", lambda s, d: metrics.merge_frequency(enrich.prs(_landed(s, d)["prs"])), f""",
+merged AS (SELECT 'o' || (o_custkey % 2) || '/r/' || (o_custkey % 3) AS repo_full, o_orderkey AS pr_number, date_trunc('second', o_orderdate) AS merged_at_dt
+           FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1995-01-01')
+SELECT repo_full, {MERGED} AS week, count(pr_number) AS merge_frequency FROM merged GROUP BY ALL""")
+
+_add("slugs", lambda s, d: _landed(s, d)["prs"].select(exprs.slug(F.col("owner"), F.col("repo")).alias("slug")).groupBy("slug").agg(F.count("*").alias("n")), _PR_ROWS + """
+SELECT replace(owner || '__' || repo, '/', '__') AS slug, count(*) AS n FROM landed_prs GROUP BY ALL""")
+
+_add("combined_tables", lambda s, d: files.combined([S.runs(s, d).select("repo_full", F.col("run_id").cast("string")), S.releases(s, d).select("repo_full", F.col("release_id").cast("string"))]), """
+SELECT repo_full, CAST(run_id AS VARCHAR) AS run_id, CAST(NULL AS VARCHAR) AS release_id FROM runs UNION ALL SELECT repo_full, NULL, CAST(release_id AS VARCHAR) FROM releases""")
+
+_add("csv_round_trip", lambda s, d: _through_csv(s, d), """
+SELECT n_nationkey, n_name, n_nationkey || ',' || n_regionkey AS numbers FROM nation""")
+
+
+def _landed(spark, sf_dir):
+    """Raw entities by way of nodes in JSON, made from the test tables; some runs come twice, as from two windows."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reviewed = F.struct(F.when(F.col("l_linenumber") % 3 > 0, stamp("l_shipdate")).when(F.col("l_linenumber") == 3, F.lit("")).alias("createdAt"))
+    reviews = read("lineitem").groupBy("l_orderkey").agg(F.collect_list(reviewed).alias("nodes"))
+    n, customer = F.col("o_orderkey"), F.col("o_custkey")
+    node = F.to_json(F.struct(
+        n.alias("number"), stamp("o_orderdate").alias("createdAt"), F.when(F.col("o_orderstatus") == "F", stamp("o_orderdate")).alias("mergedAt"),
+        F.when(F.col("o_orderstatus") == "F", "MERGED").otherwise("OPEN").alias("state"), F.struct((n % 7).alias("totalCount")).alias("commits"),
+        F.when(n % 5 > 0, F.struct(F.concat(F.lit("u"), customer).alias("login"))).alias("author"), F.when(F.col("nodes").isNotNull(), F.struct("nodes")).alias("reviews"),
+    ))
+    prs = read("orders").join(reviews, n == F.col("l_orderkey"), "left").select(
+        F.concat(F.lit("o"), customer % 2).alias("owner"), F.concat(F.lit("r/"), customer % 3).alias("repo"), node.alias("node"))
+    numbers = F.array(F.struct(F.col("user_id").alias("number")), F.struct(F.lit(None).cast("long").alias("number")), F.struct((F.col("event_id") + 1).alias("number")))
+    runs = read("events").select(F.lit("o0").alias("owner"), F.concat(F.lit("r"), F.col("user_id") % 3).alias("repo"), "event_id", F.to_json(F.struct(
+        F.col("event_id").alias("id"), F.col("event_type").alias("name"), stamp("ts").alias("created_at"), F.when(F.col("event_id") % 4 > 0, numbers).alias("pull_requests"))).alias("node"))
+    runs = runs.unionByName(runs.where("event_id % 10 = 0")).drop("event_id")
+    releases = read("orders").where("o_orderstatus = 'P'").select(F.lit("o0").alias("owner"), F.concat(F.lit("r"), customer % 3).alias("repo"), F.to_json(F.struct(
+        n.alias("id"), F.col("o_orderpriority").alias("tag_name"), stamp("o_orderdate").alias("created_at"), F.when(n % 4 > 0, stamp("o_orderdate")).alias("published_at"))).alias("node"))
+    return {
+        "prs": landed.prs(landed.parsed(prs, schemas.PR_NODE), since="1995-01-01T00:00:00Z"),
+        "workflow_runs": landed.runs(landed.parsed(runs, schemas.RUN_NODE)),
+        "releases": landed.releases(landed.parsed(releases, schemas.RELEASE_NODE), since="1995-01-01T00:00:00Z"),
+    }
+
+
+def _through_csv(spark, sf_dir):
+    """Written to the shared folder as CSV, and read again as the first of two options that is there."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", F.array("n_nationkey", "n_regionkey").alias("numbers"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-cadenza-csv-")
+    path = f"{folder.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    files.write_csv(nations, path)
+    read = lambda p: files.read_csv(spark, p, nations.schema)
+    found = files.first_available(spark, [(f"{path}-none", read), (path, read)])
+    return found.select("n_nationkey", "n_name", F.array_join("numbers", ",").alias("numbers"))

@@ -1,4 +1,4 @@
-"""Session defaults shared by tests, the bench and ad-hoc use."""
+"""How the tests and the bench start Spark."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import SparkSession
 
 
 def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSession:
-    """A UTC session with adaptive execution; `conf` overrides any setting."""
-    defaults = {
+    """Times are UTC. What `conf` says comes before what is set here."""
+    settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.shuffle.partitions": str(partitions),
@@ -15,4 +15,4 @@ def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spark
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
-    return SparkSession.builder.master(master).config(map=defaults | conf).getOrCreate()
+    return SparkSession.builder.master(master).config(map=settings | conf).getOrCreate()

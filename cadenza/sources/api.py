@@ -119,7 +119,7 @@ class _RunReader(_Reader):
         return found
 
     def nodes(self, p: _Work) -> Iterator[dict]:
-        """Neighbouring windows share a day, so a run may come twice; landed.runs can drop the second."""
+        """Neighbouring windows share a day, so a run may come twice; landed.runs drops the second."""
         page = 1
         while True:
             found = self.fetch(f"{self.base}/repos/{p.owner}/{p.repo}/actions/runs?per_page={PAGE_ROWS}&page={page}&created={p.since}..{p.until}")["workflow_runs"]
@@ -138,6 +138,7 @@ class _PagedRunReader(_Reader):
             yield from recent
             if not recent:
                 return
+        raise RuntimeError(f"{p.owner}/{p.repo}: max_pages ended the scan before the runs did; raise it or narrow `since`")
 
 
 class _ReleaseReader(_Reader):
@@ -151,6 +152,7 @@ class _ReleaseReader(_Reader):
                 yield node
             if len(found) < PAGE_ROWS:
                 return
+        raise RuntimeError(f"{p.owner}/{p.repo}: max_pages ended the scan before the releases did; raise it or narrow `since`")
 
 
 class _Source(DataSource):

@@ -17,12 +17,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, lines_in_text: bool = True) -> DataFrame:
     """A headered CSV as `schema`, by column name; text may hold quotes and line ends.
 
-    Columns that the file lacks are null, so an empty file is an empty table. Arrays are read as JSON text.
+    Columns that the file lacks are null, so an empty file is an empty table. Arrays are read as JSON text. A file whose
+    text holds line ends is one task; without `lines_in_text` large files are split.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("multiLine", lines_in_text).option("quote", '"').option("escape", '"').csv(path)
     columns = []
     for f in schema:
         if f.name not in raw.columns:
@@ -36,11 +37,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return known.select(*columns)
 
 
-def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """Overwrites `path` with headered CSV; arrays and structs as JSON text. `single` writes one part, for small tables."""
+def write_csv(df: DataFrame, path: str, single: bool = False, by: str | None = None) -> None:
+    """Overwrites `path` with headered CSV; arrays and structs as JSON text. `single` writes one part, for small tables.
+
+    With `by` the rows of each value of that column go to a folder of their own, `by`=value; the whole is still one table.
+    """
     nested = {f.name: F.to_json(f.name) for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))}
     df = df.withColumns(nested) if nested else df
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    writer = (df.coalesce(1) if single else df).write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def first_available(spark: SparkSession, options: Sequence[tuple[str, Callable[[str], DataFrame]]], what: str = "input") -> DataFrame:

@@ -3,6 +3,7 @@ from datetime import datetime
 import pandas as pd
 import pytest
 
+from cadenza.operators import stats
 from cadenza.plans import catalog, enrich, metrics
 from cadenza.sources import files, schemas
 
@@ -105,6 +106,43 @@ def test_collect_writes_all_tables(spark, tmp_path):
     releases = files.read_csv(spark, f"{FIXTURES}/releases.csv", schemas.RELEASES)
     files.write_csv(releases, str(tmp_path / "raw/releases.csv"), single=True)
     names = catalog.collect(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
-    assert len(names) == 13
+    assert len(names) == 25 and {"repo_comparison", "debt_overview", "review_latency_box", "merge_frequency_smoothed"} <= {*names}
     found = spark.read.option("header", True).csv(str(tmp_path / "out/release_frequency_monthly"))
-    assert found.count() == 25 and found.columns == ["repo_full", "month", "release_frequency"]
+    assert found.count() == 25 and found.columns == ["repo_full", "month", "release_frequency", "slug"]
+    one = found.first()
+    own = spark.read.option("header", True).csv(str(tmp_path / f"out/release_frequency_monthly/slug={one.slug}"))
+    assert one.slug == one.repo_full.replace("/", "__") and own.count() == found.where(found.repo_full == one.repo_full).count()
+
+
+def test_from_connector_nodes_to_metrics(spark, tmp_path):
+    """Nodes of two repositories, with a run that two windows returned, end as metrics of both."""
+    json = __import__("json").dumps
+    pr = lambda n, day: json({"number": n, "createdAt": f"2024-01-{day:02d}T00:00:00Z", "mergedAt": f"2024-01-{day + 1:02d}T00:00:00Z", "state": "MERGED", "additions": 3})
+    run = lambda i: json({"id": i, "name": "ci", "event": "push", "conclusion": "success", "created_at": "2024-01-03T00:00:00Z", "run_started_at": "2024-01-03T00:00:00Z", "updated_at": "2024-01-03T00:05:00Z", "head_sha": "s"})
+    frame = lambda rows: spark.createDataFrame(rows, "owner string, repo string, node string")
+    prs = frame([("a", "x", pr(1, 2)), ("a", "x", pr(2, 3)), ("b", "y", pr(1, 4)), ("b", "y", json({"number": 9, "createdAt": "2020-01-01T00:00:00Z"}))])
+    runs = frame([("a", "x", run(1)), ("a", "x", run(1)), ("a", "x", run(2))])
+    releases = frame([("a", "x", json({"id": 5, "published_at": "2024-01-09T00:00:00Z", "created_at": "2024-01-08T00:00:00Z"}))])
+    names = catalog.collect_nodes(prs, runs, releases, str(tmp_path / "out"), since="2023-01-01T00:00:00Z")
+    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / name))
+    assert {(r.repo_full, r.merge_frequency) for r in read("merge_frequency_weekly").collect()} == {("a/x", 2), ("b/y", 1)}
+    assert {(r.repo_full, r.ci_runs) for r in read("ci_weekly").collect()} == {("a/x", 2)}
+    assert {r.repo_full for r in read("time_to_release_monthly").collect()} == {"a/x"} and "repo_comparison" in names
+
+
+def test_percentiles_by_counted_ranks(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(k, v) for k, n in (("a", 1), ("b", 2), ("c", 997), (None, 50)) for v in (rng.choice([rng.gauss(0, 1e4), float(rng.randint(-3, 3)), rng.random() * 1e-3]) for _ in range(n))]
+    df = spark.createDataFrame([*rows, ("a", None), ("d", None)], "k string, v double")
+    fractions = (0.0, 0.25, 0.5, 0.95, 0.99, 1.0)
+    found = {r.k: r.p for r in stats.percentiles(df, df.v, fractions, ["k"]).collect()}
+    assert {*found} == {"a", "b", "c", None}
+    for k, p in found.items():
+        assert p == pytest.approx(np.quantile([v for key, v in rows if key == k], fractions), rel=1e-12, abs=1e-12)
+    assert stats.percentiles(df, df.v, [0.5]).first().p == pytest.approx([np.median([v for _, v in rows])])
+    assert {r.k: r.m for r in stats.medians(df, "v", "m", "k").collect()}["d"] is None
+    assert stats.percentiles(df.limit(0), df.v, [0.5], ["k"]).collect() == []
