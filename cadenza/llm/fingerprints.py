@@ -1,20 +1,23 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame operations only.
 
-A document's paragraphs are its distinct non-empty lines; each has a 64-bit digest. A sketch of m cells
+A document's paragraphs are its distinct non-empty lines, cut further after each sentence end, so a long line
+changes in part as well; each has a 64-bit digest. A sketch of m cells
 in three parts of m/3 adds every digest to one cell of each part; a cell holds a count, the XOR of its
 digests and the XOR of their checksums. Sketches are linear: the cells of one version less those of
 another hold only the paragraphs in which they differ. Peeling takes out digests from cells that hold
 a single one until nothing is left, which recovers the two sides of the difference; where it gets stuck
-(more differing paragraphs than about 0.8 m), both sketches are built GROWTH times larger and tried again.
+(more differing paragraphs than about 0.8 m), both sketches are built twice as large and tried again, until it
+succeeds. The first size comes from the two counts and from how far the SAMPLE least digests of both agree.
 A document's fingerprint is its sketch of CELLS cells. The likeness of two sketches is the Jaccard
 similarity of the two sets of paragraphs, from their sizes and the peeled difference.
 
 All of this is per row, on arrays. Only finding each document's successor in descending doc_id moves
 data: rows are dealt into ranges of doc_id by approximate quantiles (as many bounds as ranges, read
-by the driver), ordered inside each range, and the first row of every range is handed to the range
-before it. One shuffle moves the texts; no window spans more than a range.
+by the driver), ordered inside each range, and the first row of every range is joined to the range
+before it. An id that makes a range of its own, and null, are split further by the hash of the text, which also orders
+their rows. One shuffle moves the texts; only the ranges' numbers meet in one window.
 
-Defined results: null text is empty. Documents without paragraphs are alike (1.0), and unlike any
+Defined results: doc_id is a number; another type is refused. Null text is empty. A document's paragraphs must fit a row. Documents without paragraphs are alike (1.0), and unlike any
 other (0.0). Ties of doc_id are ordered by their texts; a null doc_id comes last. A single document is
 its own successor. Repeated rows are separate documents. An empty table gives an empty result. Columns
 beside doc_id and text don't take part.
@@ -25,13 +28,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from cadenza.llm.common import partitions, table
 
 CELLS = 12
-GROWTH = 4
-ATTEMPTS = 7
-ROUNDS = 20
-SPAN = 64
+SAMPLE = 16
+#: Peeling takes a number of rounds that grows with the logarithm of the logarithm of a size it can do at all.
+ROUNDS = 24
+#: Paragraphs end at line ends and at white space after one of these marks, or right after a full-width one.
+PARAGRAPH = r"\n|(?<=[.!?;:。！？])[ \t]+|(?<=[。！？])"
 #: Ranges of doc_id for each shuffle partition, so that partitions get about equally much.
 RANGES = 4
 
@@ -46,8 +52,8 @@ def _let(value: Column, body) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """The digests of the distinct non-empty lines."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), lambda p: F.xxhash64(p)))
+    """The digests of the distinct paragraphs."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, PARAGRAPH), lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
 def _check(digest: Column) -> Column:
@@ -69,16 +75,20 @@ def _entries(digests: Column, n: Column) -> Column:
 def _built(entries: Column, width: Column) -> Column:
     """The sketch of signed digests (n, k) with three parts of `width` cells.
 
-    Each part is built by spans of SPAN cells, so the work is entries times (spans + SPAN), not entries times cells.
+    Each part is built by about as many spans as a span has cells, so the work is entries times the root of the width.
     """
     full = F.transform(entries, lambda e: F.struct(e.n.alias("n"), e.k.alias("k"), _check(e.k).alias("c"), *(_place(e.k, p, width).alias(f"p{p}") for p in range(3))))
 
+    bits = F.floor(F.log2(width.cast("double")) / 2).cast("int")  # of a span
+
     def part(found: Column, p: int) -> Column:
+        shift = lambda x: F.call_function("shiftright", x, bits)
+        first = lambda g: F.call_function("shiftleft", g, bits)
         add = lambda at: lambda a, e: F.when(e[f"p{p}"] == at, _cell(a.n + e.n, a.k.bitwiseXOR(e.k), a.c.bitwiseXOR(e.c))).otherwise(a)
         one = lambda near: lambda at: F.aggregate(near, _cell(_long(0), _long(0), _long(0)), add(at))
-        within = lambda g: F.sequence(g * SPAN, F.least((g + 1) * SPAN, width) - 1)
-        span = lambda g: _let(F.filter(found, lambda e: F.shiftright(e[f"p{p}"], SPAN.bit_length() - 1) == g), lambda near: F.transform(within(g), one(near)))
-        return F.flatten(F.transform(F.sequence(_long(0), F.shiftright(width - 1, SPAN.bit_length() - 1)), span))
+        within = lambda g: F.sequence(first(g), F.least(first(g + 1), width) - 1)
+        span = lambda g: _let(F.filter(found, lambda e: shift(e[f"p{p}"]) == g), lambda near: F.transform(within(g), one(near)))
+        return F.flatten(F.transform(F.sequence(_long(0), shift(width - 1)), span))
 
     return _let(full, lambda found: F.concat(*(part(found, p) for p in range(3))))
 
@@ -119,17 +129,30 @@ def _tried(a: Column, b: Column, width: Column) -> Column:
     return _let(found, lambda s: F.struct((~stuck(s)).alias("done"), s.only_a.alias("only_a"), s.only_b.alias("only_b")))
 
 
-def difference(a: Column, b: Column) -> Column:
-    """(only_a, only_b): the digests in which two lists differ, by sketches that grow until peeling succeeds.
+def _first_width(a: Column, b: Column) -> Column:
+    """The width that the difference needs by the counts and by the agreement of the least digests."""
+    least = lambda x: F.slice(F.array_sort(x), 1, SAMPLE)
+    count = lambda x: F.size(x).cast("double")
 
-    After ATTEMPTS sizes, far beyond any chance failure, the lists are compared directly.
-    """
+    def needed(s: Column) -> Column:
+        union = F.slice(F.array_sort(F.array_union(s.a, s.b)), 1, SAMPLE)
+        alike = F.size(F.array_intersect(F.array_intersect(s.a, s.b), union)) / F.greatest(F.size(union), F.lit(1))
+        differ = F.greatest(F.abs(count(a) - count(b)), (count(a) + count(b)) * (1 - alike) / (1 + alike))
+        return F.greatest(_long(CELLS // 3), F.ceil(differ * 1.4 / 3) + 2)
+
+    return F.get(F.transform(F.array(F.struct(least(a).alias("a"), least(b).alias("b"))), needed), F.lit(0)).cast("long")
+
+
+def difference(a: Column, b: Column) -> Column:
+    """(only_a, only_b): the digests in which two lists differ, by sketches that double until peeling succeeds."""
     none = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(False).alias("done"), none.alias("only_a"), none.alias("only_b"))
-    widths = F.array(*(_long(CELLS // 3 * GROWTH**i) for i in range(ATTEMPTS)))
-    found = F.aggregate(widths, start, lambda s, width: F.when(s.done, s).otherwise(_tried(a, b, width)))
-    direct = F.struct(F.lit(True).alias("done"), F.array_except(a, b).alias("only_a"), F.array_except(b, a).alias("only_b"))
-    return _let(found, lambda s: F.when(s.done, s).otherwise(direct))
+
+    def search(first: Column) -> Column:
+        start = F.struct(F.lit(False).alias("done"), none.alias("only_a"), none.alias("only_b"))
+        sizes = F.sequence(F.lit(0), F.lit(40))  # an array can't hold what more doublings would need
+        return F.aggregate(sizes, start, lambda s, i: F.when(s.done, s).otherwise(_tried(a, b, F.call_function("shiftleft", first, i))))
+
+    return _let(_first_width(a, b), search)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -147,21 +170,28 @@ def fingerprint(digests: Column) -> Column:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, digests, next_text, next_digests): each document and the next in descending doc_id, the first after the last."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.NumericType):
+        raise TypeError("doc_id must be a number")
     ranges = partitions(docs.sparkSession) * RANGES
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     shares = [i / ranges for i in range(1, ranges)]
     bounds = (docs.agg(F.percentile_approx("doc_id", shares, 100 * ranges)).first()[0] if shares else None) or []
-    low = F.array(*map(_long, sorted({*bounds}))) if bounds else F.array().cast("array<bigint>")
-    place = F.coalesce(F.size(F.filter(low, lambda b: b < F.col("doc_id"))), F.lit(-1))
+    listed = lambda xs: F.array(*(F.lit(x) for x in xs)) if xs else F.array().cast("array<bigint>")
+    hot = listed(sorted({b for b in bounds if bounds.count(b) > 1}))
+    at = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(listed(sorted({*bounds})), lambda b: b < F.col("doc_id"))))
+    split = F.when(F.col("doc_id").isNull() | F.array_contains(hot, F.col("doc_id")), F.shiftright(F.col("h"), 56) + 129).otherwise(F.lit(0))
     kept = F.struct("text", paragraphs(F.col("text")).alias("digests"))
-    rows = docs.select(place.alias("place"), F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64("text").alias("h"), kept.alias("doc"))
+    rows = docs.withColumn("h", F.xxhash64("text")).select(
+        (at.cast("long") * 1024 + split).alias("place"), F.col("doc_id").isNotNull().alias("known"), "doc_id", "h", kept.alias("doc")
+    )
     order = ["known", "doc_id", "h", "doc.text"]
     down = Window.partitionBy("place").orderBy(*(F.desc(c) for c in order))
-    firsts = rows.groupBy("place").agg(F.max_by("doc", F.struct("known", "doc_id", "h", "doc.text")).alias("first"))
+    firsts = rows.groupBy("place").agg(F.max_by("doc", F.struct(*order)).alias("handed"))
+    # One number for each range, of which there are a few for each shuffle partition.
     across = Window.orderBy(F.desc("place"))
-    # One row for each range, of which there are as many as shuffle partitions.
-    top = F.first("first").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    handed = firsts.select("place", F.coalesce(F.lead("first").over(across), top).alias("handed"))
+    top = F.first("place").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    follows = rows.select("place").distinct().select(F.col("place").alias("here"), F.coalesce(F.lead("place").over(across), top).alias("place"))
+    handed = follows.join(firsts, "place").select(F.col("here").alias("place"), "handed")
     found = rows.withColumn("next", F.lead("doc").over(down)).join(handed, "place")
     after = F.coalesce("next", "handed")
     return found.select("doc_id", "doc.text", "doc.digests", after["text"].alias("next_text"), after["digests"].alias("next_digests"))

@@ -1,5 +1,7 @@
 import hashlib
+import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def lines(text):
-    return {p for p in text.split("\n") if p}
+    return {p for p in re.split("\n|(?<=[.!?;:。！？])[ \t]+|(?<=[。！？])", text) if p}
 
 
 def jaccard(a, b):
@@ -62,6 +64,24 @@ def test_very_long_texts(spark, tmp_path):
     assert run(query_over(spark, [(*r, "x", 1) for r in rows], tmp_path)) == brute(rows)
 
 
+def test_half_equal_texts_are_nearer_than_the_next(spark):
+    found = [r for r in fingerprints.query(spark, "/root/testdata/sf0.01").select("n_chars", "near_edited", "near_next").collect() if r.n_chars]
+    assert sum(r.near_edited > r.near_next for r in found) >= 0.95 * len(found)
+
+
+def test_many_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, f"null {i}. and {i % 7}.") for i in range(3000)] + [(7, f"seven {i}. of") for i in range(2000)] + [(i, f"one {i}") for i in range(500)]
+    df = query_over(spark, [(*r, "x", 1) for r in rows], tmp_path)
+    assert run(df) == brute(rows)
+    places = fingerprints.with_next(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert places.count() == len(rows)
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    with pytest.raises(TypeError):
+        fingerprints.with_next(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_single_and_empty_tables(spark, tmp_path):
     assert run(query_over(spark, [(1, "a\nbc", "x", 1)], tmp_path / "one")) == brute([(1, "a\nbc")])
     assert query_over(spark, [], tmp_path / "none").collect() == []
