@@ -13,17 +13,20 @@ words, of the whole sequence. Documents are linked when the Jaccard similarity o
 3. Short lists give all their pairs. A longer list gives pairs with its pivot only: the member with the
    fewest unshared values, which in a group of edited copies is close to the text they all come from.
 4. Pairs pass by size, then by the similarity estimated from the union of both sketches (with the same
-   margin), then the full sets are intersected.
+   margin); only of pairs that pass the full sets are built, moved and intersected.
 5. What the pivots leave: among the members of a pivot's lists, pairs that are not yet in one component
    are tested on full sets, in blocks of BLOCK by BLOCK members. Members already joined to the
    pivot aren't tested with each other, so a group of copies costs one row a copy; and no block holds
-   more than BLOCK sets of a side, however many documents share a list. Nothing is capped or dropped.
+   more than BLOCK sets of a side, however many documents share a list. Before that, members of whose full
+   set more than a quarter is in no other member's are left out, as no link can hold them: documents that share a
+   passage and differ in the rest cost one row a value. A block gives a tree for each component, not all
+   its links. Nothing is capped or dropped.
 6. Components by alternating stars (graph.py).
 
 Defined results: doc_id is an integer. Null, empty and blank texts have empty sets and are linked with nothing. Rows with a
 null doc_id are linked with nothing, have a null component_id and are kept. Repeated rows fall into
 one component; of rows with one doc_id all share `kept`. A doc_id that stands for several
-different texts joins their groups. An empty table gives an empty result.
+different texts joins their groups. Texts of any length count whole; a text's set must fit a row. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -108,9 +111,10 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
 
 def _postings(sets: DataFrame, k: int) -> DataFrame:
     """(rep, n, lone, v): the lists that each set enters; lone counts its retained values that no other set retains."""
-    values = sets.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+    _key = ["rep", *_SET]
+    values = sets.select(*_key, F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    by_set = values.join(shared, "v").groupBy("rep", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    by_set = values.join(shared, "v").groupBy(*_key, "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     sure = F.ceil(F.col("n") * 3 / 4)
     least = F.when(F.col("n") * 4 < 3 * k, sure).otherwise(F.least(sure, F.lit(max(1, int(0.75 * k - _margin(k))))))
     lone = F.col("m") - F.size("vs")
@@ -133,18 +137,20 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "rep bigint, values array<bigint>")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) that are links: by the union-sketch estimate, then on the full sets. A sketch is the start of a set."""
+def _likely(pairs: DataFrame, retained: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) that may be links by the union-sketch estimate. Only sketches move."""
+    side = lambda r, s, m: retained.select(F.col("rep").alias(r), F.col("sketch").alias(s), F.col("n").alias(m))
+    low = F.slice(F.array_sort(F.array_union("av", "bv")), 1, k)
+    shared = F.size(F.array_intersect(F.array_intersect("av", "bv"), low))
+    likely = shared >= F.when((F.col("an") <= k) & (F.col("bn") <= k), F.lit(0)).otherwise(F.lit(0.75) * F.size(low) - F.lit(_margin(k)))
+    return pairs.join(side("a", "av", "an"), "a").join(side("b", "bv", "bn"), "b").where(likely).select("a", "b").distinct()
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links, on the full sets."""
     left, right = sets.select(F.col("rep").alias("a"), F.col("values").alias("av")), sets.select(F.col("rep").alias("b"), F.col("values").alias("bv"))
-    sketched = lambda c: F.slice(c, 1, k)
-    low = F.slice(F.array_sort(F.array_union(sketched("av"), sketched("bv"))), 1, k)
-    shared = F.size(F.array_intersect(F.array_intersect(sketched("av"), sketched("bv")), low))
-    whole = (F.size("av") <= k) & (F.size("bv") <= k)
-    likely = whole | (shared >= F.lit(0.75) * F.size(low) - F.lit(_margin(k)))
     common = F.size(F.array_intersect("av", "bv"))
-    linked = 4 * common >= 3 * (F.size("av") + F.size("bv") - common)
-    # A conditional, so the sets of unlikely pairs are not intersected.
-    return pairs.join(left, "a").join(right, "b").where(F.when(likely, linked).otherwise(F.lit(False))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(4 * common >= 3 * (F.size("av") + F.size("bv") - common)).select("a", "b")
 
 
 def _close_sizes(a: str, b: str):
@@ -152,7 +158,7 @@ def _close_sizes(a: str, b: str):
 
 
 def _block_links(one: pa.Table) -> pa.Table:
-    """Links between the left and the right members of a block that no component joins yet."""
+    """Edges that join what links join between the left and the right members of a block; members of one component aren't compared."""
     left, right = (one.filter(pc.equal(one["side"], s)) for s in (0, 1))
     sides = []
     for side in (left, right):
@@ -179,14 +185,35 @@ def _block_links(one: pa.Table) -> pa.Table:
             dense.append(m)
         common += dense[0] @ dense[1].T
     linked = (4 * common >= 3 * (na[:, None] + nb[None, :] - common)) & (la[:, None] != lb[None, :])
-    i, j = np.nonzero(linked)
-    return pa.table({"a": pa.array(xa[i]), "b": pa.array(xb[j])})
+    ends: list[np.ndarray] = [np.zeros(0, np.int64)]
+    starts: list[np.ndarray] = [np.zeros(0, np.int64)]
+    rows, cols = ~linked.any(1), np.zeros(len(xb), bool)  # those done
+    for root in range(len(xa)):  # a tree for each component, not all its links
+        reached = np.array([root])
+        while len(reached) and not rows[reached].all():
+            rows[reached] = True
+            new = linked[reached].any(0) & ~cols
+            cols |= new
+            more = np.flatnonzero(linked[:, new].any(1) & ~rows)
+            found = np.concatenate([xb[new], xa[more]])
+            ends.append(found)
+            starts.append(np.full(len(found), xa[root]))
+            reached = more
+    return pa.table({"a": pa.array(np.concatenate(starts)), "b": pa.array(np.concatenate(ends))})
+
+
+def _unlinked(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members x that can't be linked with another: more than a quarter of the full set is in no other member's."""
+    rows = members.select("x").distinct().join(sets.select(F.col("rep").alias("x"), "values"), "x")
+    alone = rows.select("x", F.size("values").alias("n"), F.explode("values").alias("v")).groupBy("v").agg(F.count("*").alias("df"), F.min(F.struct("x", "n")).alias("o"))
+    lone = alone.where("df = 1").groupBy("o.x").agg(F.count("*").alias("lone"), F.max("o.n").alias("n"))
+    return lone.where(F.col("lone") > F.col("n") - F.ceil(F.col("n") * 3 / 4)).select("x")
 
 
 def _dense_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among the members (p, x) of each pivot p's lists that the components so far don't join.
 
-    Left are the members outside the pivot's component, right all members.
+    Left are the members outside the pivot's component, right all members; those that can't be linked are left out before.
     """
     named = members.join(labels.select(F.col("vertex").alias("x"), F.col("component").alias("cx")), "x", "left").join(
         labels.select(F.col("vertex").alias("p"), F.col("component").alias("cp")), "p", "left"
@@ -194,6 +221,9 @@ def _dense_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
     named = staged(named.select("p", "x", F.coalesce("cx", "x").alias("label"), (F.coalesce("cx", "x") != F.coalesce("cp", "p")).alias("outside")))
     counts = named.groupBy("p").agg(F.count("*").alias("all"), F.count_if("outside").alias("out")).where("out > 0")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    named = named.join(counts.select("p"), "p", "left_semi")
+    named = staged(named.join(_unlinked(named, sets), "x", "left_anti"))
+    counts = named.groupBy("p").agg(F.count("*").alias("all"), F.count_if("outside").alias("out")).where("out > 0")
     named = named.join(staged(counts.select("p", blocks("all").alias("rights"), blocks("out").alias("lefts"))), "p")
     own = lambda n: F.pmod(F.xxhash64("x"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -209,10 +239,12 @@ def groups(docs: DataFrame, k: int = K) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = staged(sketches(docs, k))
     sets = staged(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*_SET).agg(F.min("doc_id").alias("rep")))
-    retained = rows.join(sets.withColumnRenamed("rep", "doc_id"), [*_SET, "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch").dropDuplicates(["rep", "n"])
+    held = rows.select("doc_id", *_SET).join(sets, _SET).select("doc_id", "rep").distinct()
+    several = held.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
+    shared_ids = staged(held.join(several, "doc_id").select("a", F.col("rep").alias("b")))  # an id with several texts joins their groups
+    retained = rows.join(sets.withColumnRenamed("rep", "doc_id"), [*_SET, "doc_id"]).select(F.col("doc_id").alias("rep"), *_SET, "sketch")
+    retained = staged(retained.dropDuplicates(["rep", *_SET]))
     posted = staged(_postings(retained, k))
-    wanted = posted.select("rep").distinct().join(sets, "rep")
-    full = staged(_full_sets(docs, staged(wanted)))
     lists = posted.groupBy("v").agg(F.count("*").alias("size"), F.min(F.struct("lone", "rep", "n")).alias("pivot")).where("size > 1")
     lists = staged(lists.select("v", "size", F.col("pivot.rep").alias("p"), F.col("pivot.n").alias("pn")))
     listed = posted.join(lists, "v")
@@ -221,7 +253,10 @@ def groups(docs: DataFrame, k: int = K) -> DataFrame:
     short = short.select(F.explode(F.flatten(later)).alias("ab")).select("ab.a", "ab.b")
     members = staged(listed.where(F.col("size") > SHORT).select("p", "pn", F.col("rep").alias("x"), "n").distinct())
     stars = members.where("p <> x").where(_close_sizes("pn", "n")).select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
-    links = staged(_links(short.unionByName(stars).distinct(), full, k))
+    likely = staged(_likely(short.unionByName(stars).distinct(), retained, k))
+    compared = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).unionByName(members.select(F.col("x").alias("rep"))).distinct()
+    full = staged(_full_sets(docs, staged(compared.join(sets, "rep"))))
+    links = staged(_links(likely, full).unionByName(shared_ids))
     found = staged(graph.components(links))
     more = staged(_dense_links(members.select("p", "x").distinct(), found, full))
     if not more.isEmpty():

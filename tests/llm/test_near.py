@@ -64,6 +64,36 @@ def test_a_large_group_of_edited_copies_and_a_shared_passage(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_several_blocks_for_one_pivot(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 16)
+    rng = random.Random(9)
+    word = lambda: "w%d" % rng.randrange(10**6)
+    core = [word() for _ in range(200)]
+    rows = []
+    for g in range(3):  # three groups of close copies that share most words, but too few for links between groups
+        own = [word() for _ in range(45)]
+        for i in range(60):
+            copy = [*core, *own]
+            copy[rng.randrange(len(copy))] = word()
+            rows.append((1000 * g + i, " ".join(copy)))
+    rows += [(9000 + i, " ".join(core + [word() for _ in range(200)])) for i in range(80)]  # the passage, unlinked
+    assert run(spark, rows) == brute(rows)
+
+
+def test_ids_with_several_texts_join_their_groups(spark):
+    words = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(5, words("a")), (5, words("b")), (3, words("a")), (7, words("b") + " x"), (9, words("c")), (9, words("d")), (8, words("d"))]
+    got = {(r.doc_id, r.component_id) for r in near.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 3), (3, 3), (7, 3), (9, 8), (8, 8)}
+
+
+def test_long_texts_and_an_empty_table(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    got = near.groups(spark.createDataFrame([(1, long), (2, long + " end"), (3, "short text")], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(1, 299_996, 1), (2, 299_997, 1), (3, 1, 3)}
+    assert near.deduplicate(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def test_edge_rows(spark):
     rows = [(5, None), (6, ""), (7, " \n\t"), (8, "One two"), (3, "one\ttwo"), (9, "one two three"), (2, "a b c d e"), (1, "A B C D E"), (4, "é b c d e"), (10, "É b c d e")]
     assert run(spark, rows) == brute(rows)
