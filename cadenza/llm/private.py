@@ -60,6 +60,8 @@ from cadenza.llm.common import MAP_BITS, staged, table, values
 WINDOW = 10
 THRESHOLD = 0.8
 BITS = 100.0
+#: Numbers of texts by which common terms are told before they are paired with entities.
+LEVELS = tuple(4**i for i in range(1, 9))
 KINDS = ("email", "ip", "card", "phone")
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "term": "[TERM]"}
 
@@ -317,31 +319,80 @@ def _term_documents(docs: DataFrame, wanted: DataFrame, known: np.ndarray, least
     return counted.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
+def _level_maps(fewest: DataFrame) -> list[np.ndarray]:
+    """A bitmap as in `_map` of the terms of at most 4, 16, 64... texts, for each of LEVELS, and one of the terms of two texts or more."""
+    spot = F.pmod("term", F.lit(MAP_BITS))
+    bit = F.expr("shiftleft(1L, cast(spot & 63 as int))")
+    wanted = [F.col("texts") <= level for level in LEVELS] + [F.col("texts") > 1]
+    words = fewest.select(spot.alias("spot"), "texts").groupBy(F.shiftright("spot", 6).alias("word")).agg(
+        *(F.bit_or(F.when(w, bit)).alias(f"m{i}") for i, w in enumerate(wanted))
+    ).toArrow()
+    maps = []
+    for i in range(len(wanted)):
+        bits = np.zeros(MAP_BITS >> 6, np.int64)
+        bits[words["word"].to_numpy()] = words[f"m{i}"].fill_null(0).to_numpy()
+        maps.append(bits.view(np.uint64))
+    return maps
+
+
+def _paired(texts: DataFrame, fewest: DataFrame, n_docs: int, threshold: float) -> DataFrame:
+    """(entity, n_e, context, copies, held, near): a row for each entity of each text, with the terms that may disclose it.
+
+    With n_e contexts and at most `of` texts of e, a term in more than (n_e + 1) / p(e)^(1 - threshold) + `of` texts can't
+    reach the threshold, as n(t) less the texts with e is too large. So terms are dropped by bitmaps of fixed size before anything is paired.
+    """
+    maps = _level_maps(fewest)
+    each = texts.select("text_key", F.inline("entities"))
+    holders = each.groupBy("entity").agg(F.count_distinct("context").alias("n_e"), F.count("*").alias("of"))
+    known = each.join(holders, "entity").groupBy("text_key").agg(F.collect_list(F.struct("entity", "n_e", "of", "context", "near")).alias("es"))
+    rows = texts.select("text_key", "copies", "held").join(known, "text_key").select("copies", "held", "es")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for copies, held, entities in zip(*(values(batch[c], 100) for c in ("copies", "held", "es")), strict=True):
+                terms = np.array(held, np.int64).view(np.uint64)
+                terms = terms[_in_map(maps[-1], terms)]
+                for e in entities:
+                    most = (e["n_e"] + 1) / (e["n_e"] / n_docs) ** (1 - threshold) + e["of"]
+                    level = next((m for m, top in zip(maps, LEVELS, strict=False) if top >= most), None)
+                    near, own = np.array(e["near"], np.int64).view(np.uint64), terms if e["n_e"] > 1 else terms[:0]
+                    if level is not None:
+                        near, own = near[_in_map(level, near)], own[_in_map(level, own)]
+                    out.append((e["entity"], e["n_e"], e["context"], copies, own.view(np.int64), near.view(np.int64)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(c, pa.list_(pa.int64())) for c in columns[4:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["entity", "n_e", "context", "copies", "held", "near"])
+
+    return rows.mapInArrow(run, "entity bigint, n_e bigint, context bigint, copies bigint, held array<bigint>, near array<bigint>")
+
+
 def disclosing(docs: DataFrame, found: DataFrame, bits: np.ndarray, threshold: float = THRESHOLD, least: float = BITS) -> DataFrame:
     """(entity, term, beside, disclosure) of the terms that disclose an entity; `found` comes from `base`.
 
     With `beside` it is by p', in documents where the term stands beside the entity; else by p, everywhere. By p a
-    pair in a single context discloses nothing (see above), so only pairs with more are counted on.
+    pair in a single context discloses nothing (see above), so only terms of two texts or more are paired, and
+    only pairs of more are counted on. Equal texts are taken together before anything is paired.
     """
     n_docs = found.count()
-    each = found.select("held", F.explode("entities").alias("e")).select("held", "e.entity", "e.context", "e.near.term")
-    holders = staged(each.groupBy("entity").agg(F.count_distinct("context").alias("n_e")))
-    many = holders.where("n_e > 1").select("entity")
+    slim = F.transform("entities", lambda e: F.struct(e.entity.alias("entity"), e.context.alias("context"), F.transform(e.near, lambda t: t.term).alias("near")))
+    texts = found.where(F.size("entities") > 0).select("text_key", "held", slim.alias("entities")).groupBy("text_key")
+    texts = staged(texts.agg(F.count("*").alias("copies"), F.first("held").alias("held"), F.first("entities").alias("entities")))
+    fewest = staged(texts.select("copies", F.explode("held").alias("term")).groupBy("term").agg(F.sum("copies").alias("n_t"), F.count("*").alias("texts")))
+    each = staged(_paired(texts, fewest, n_docs, threshold))
 
     def counted(pairs: DataFrame, beside: bool) -> DataFrame:
-        pairs = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-        return pairs.groupBy("entity", "term").agg(F.sum("n").alias("rows"), F.count("*").alias("n_te")).withColumn("beside", F.lit(beside))
+        pairs = pairs.groupBy("entity", "n_e", "term", "context").agg(F.sum("copies").alias("n"))
+        return pairs.groupBy("entity", "n_e", "term").agg(F.sum("n").alias("rows"), F.count("*").alias("n_te")).withColumn("beside", F.lit(beside))
 
-    anywhere = counted(each.join(many, "entity", "left_semi").select("entity", "context", F.explode("held").alias("term")), False).where("n_te > 1")
-    pairs = anywhere.unionByName(counted(each.select("entity", "context", F.explode("term").alias("term")), True))
-    fewest = found.select(F.explode("held").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    exploded = lambda rows, c: rows.select("entity", "n_e", "context", "copies", F.explode(c).alias("term"))
+    pairs = counted(exploded(each, "held"), False).where("n_te > 1").unionByName(counted(exploded(each, "near"), True))
     before = F.col("n_e") / F.lit(float(n_docs))
-    texts = F.col("n_t") - F.col("rows") + F.col("n_te")
-    after = F.when(F.col("beside"), (F.col("n_te") + before) / (texts + 1)).otherwise((F.col("n_te") - 1 + before) / texts)
+    of = F.col("n_t") - F.col("rows") + F.col("n_te")
+    after = F.when(F.col("beside"), (F.col("n_te") + before) / (of + 1)).otherwise((F.col("n_te") - 1 + before) / of)
     score = F.when(before < 1, F.log(after / before) / -F.log(before))
     # Disclosure falls with n(t), so pairs that fail with the documents that have spans fail with all.
-    pairs = pairs.join(fewest, "term").join(holders, "entity")
-    pairs = staged(pairs.where(score >= threshold).drop("n_t"))
+    pairs = staged(pairs.join(fewest.drop("texts"), "term").where(score >= threshold).drop("n_t"))
     if pairs.isEmpty():
         return pairs.select("entity", "term", "beside", F.lit(None).cast("double").alias("disclosure"))
     known = pairs.join(_term_documents(docs, staged(pairs.select("term").distinct()), bits, least), "term")
