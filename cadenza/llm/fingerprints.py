@@ -13,7 +13,7 @@ similarity of the two sets of paragraphs, from their sizes and the peeled differ
 
 All of this is per row, on arrays. Only finding each document's successor in descending doc_id moves
 data: rows are dealt into ranges of doc_id by approximate quantiles (as many bounds as ranges, read
-by the driver), ordered inside each range, and the first row of every range is joined to the range
+by the driver), ordered inside each range, and the first row of every range also closes the range
 before it. An id that makes a range of its own, and null, are split further by the hash of the text, which also orders
 their rows. One shuffle moves the texts; only the ranges' numbers meet in one window.
 
@@ -34,6 +34,8 @@ from cadenza.llm.common import partitions, table
 
 CELLS = 12
 SAMPLE = 16
+#: Cells for each digest that is expected to differ; peeling needs 1.23 at large sizes.
+SPACE = 1.7
 #: Peeling takes a number of rounds that grows with the logarithm of the logarithm of a size it can do at all.
 ROUNDS = 24
 #: Paragraphs end at line ends and at white space after one of these marks, or right after a full-width one.
@@ -131,14 +133,14 @@ def _tried(a: Column, b: Column, width: Column) -> Column:
 
 def _first_width(a: Column, b: Column) -> Column:
     """The width that the difference needs by the counts and by the agreement of the least digests."""
-    least = lambda x: F.slice(F.array_sort(x), 1, SAMPLE)
+    least = lambda x: F.slice(F.sort_array(x), 1, SAMPLE)
     count = lambda x: F.size(x).cast("double")
 
     def needed(s: Column) -> Column:
-        union = F.slice(F.array_sort(F.array_union(s.a, s.b)), 1, SAMPLE)
+        union = F.slice(F.sort_array(F.array_union(s.a, s.b)), 1, SAMPLE)
         alike = F.size(F.array_intersect(F.array_intersect(s.a, s.b), union)) / F.greatest(F.size(union), F.lit(1))
         differ = F.greatest(F.abs(count(a) - count(b)), (count(a) + count(b)) * (1 - alike) / (1 + alike))
-        return F.greatest(_long(CELLS // 3), F.ceil(differ * 1.4 / 3) + 2)
+        return F.greatest(_long(CELLS // 3), F.ceil(differ * SPACE / 3) + 2)
 
     return F.get(F.transform(F.array(F.struct(least(a).alias("a"), least(b).alias("b"))), needed), F.lit(0)).cast("long")
 
@@ -185,16 +187,20 @@ def with_next(docs: DataFrame) -> DataFrame:
         (at.cast("long") * 1024 + split).alias("place"), F.col("doc_id").isNotNull().alias("known"), "doc_id", "h", kept.alias("doc")
     )
     order = ["known", "doc_id", "h", "doc.text"]
-    down = Window.partitionBy("place").orderBy(*(F.desc(c) for c in order))
-    firsts = rows.groupBy("place").agg(F.max_by("doc", F.struct(*order)).alias("handed"))
+    firsts = rows.groupBy("place").agg(F.max_by("doc.text", F.struct(*order)).alias("text"))
     # One number for each range, of which there are a few for each shuffle partition.
     across = Window.orderBy(F.desc("place"))
     top = F.first("place").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     follows = rows.select("place").distinct().select(F.col("place").alias("here"), F.coalesce(F.lead("place").over(across), top).alias("place"))
-    handed = follows.join(firsts, "place").select(F.col("here").alias("place"), "handed")
-    found = rows.withColumn("next", F.lead("doc").over(down)).join(handed, "place")
-    after = F.coalesce("next", "handed")
-    return found.select("doc_id", "doc.text", "doc.digests", after["text"].alias("next_text"), after["digests"].alias("next_digests"))
+    # The first row of the range that follows closes each range.
+    handed = follows.join(firsts, "place").select(
+        F.col("here").alias("place"), F.lit(False).alias("own"), F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.lit(False).alias("known"), _long(0).alias("h"), kept.alias("doc")
+    )
+    down = Window.partitionBy("place").orderBy(*(F.desc(c) for c in ["own", *order]))
+    # A stated number of partitions isn't merged by its bytes: the sketches that follow cost more than the bytes tell.
+    together = rows.withColumn("own", F.lit(True)).unionByName(handed).repartition(partitions(docs.sparkSession), "place")
+    found = together.withColumn("next", F.lead("doc").over(down)).where("own")
+    return found.select("doc_id", "doc.text", "doc.digests", F.col("next.text").alias("next_text"), F.col("next.digests").alias("next_digests"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
