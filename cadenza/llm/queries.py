@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.llm import chat, exact, fingerprints, html_text, mixing, near, packing, private, quality, url_filter
+from cadenza.llm import chat, exact, fingerprints, html_text, infill, mixing, near, packing, private, quality, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality.query,
     "op9_document_fingerprints": fingerprints.query,
     "op10_preference_format": chat.query,
+    "op11_fill_in_middle": infill.query,
 }
 #: DuckDB SQL where SQL can express the operator.
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op2_url_filter": url_filter.SQL,
     "op5_exact_dedup": exact.SQL,
     "op10_preference_format": chat.SQL,
+    "op11_fill_in_middle": infill.SQL,
 }
