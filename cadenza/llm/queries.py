@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.llm import chat, exact, fingerprints, html_text, infill, mixing, near, packing, private, quality, url_filter
+from cadenza.llm import chat, decontam, exact, fingerprints, html_text, infill, mixing, near, packing, private, quality, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_document_fingerprints": fingerprints.query,
     "op10_preference_format": chat.query,
     "op11_fill_in_middle": infill.query,
+    "op12_decontamination": decontam.query,
 }
 #: DuckDB SQL where SQL can express the operator.
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op5_exact_dedup": exact.SQL,
     "op10_preference_format": chat.SQL,
     "op11_fill_in_middle": infill.SQL,
+    "op12_decontamination": decontam.SQL,
 }
