@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import staged, table
 
 WINDOW = 10
-#: Bytes of patterns in one automaton, which takes some 60 times as much memory at most.
-PATTERN_BYTES = 4 << 20
+#: Bytes of patterns in one automaton, which takes some 90 times as much memory.
+PATTERN_BYTES = 2 << 20
 #: Bytes of normalised text that the automaton reads at once.
 PIECE = 1 << 20
 
