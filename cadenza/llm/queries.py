@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.llm import chat, decontam, exact, fingerprints, html_text, infill, mixing, near, packing, private, quality, url_filter
+from cadenza.llm import chat, decontam, exact, fingerprints, html_text, infill, mixing, near, packing, private, quality, url_filter, whitening
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_preference_format": chat.query,
     "op11_fill_in_middle": infill.query,
     "op12_decontamination": decontam.query,
+    "op13_embedding_whitening": whitening.query,
 }
 #: DuckDB SQL where SQL can express the operator.
 ORACLES = {
