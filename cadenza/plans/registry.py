@@ -154,7 +154,7 @@ SELECT repo_full, pr_number, merged_at_dt, release_time, round(d, 6) AS time_to_
 def _events_asof(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     clicks = events.where("event_type = 'click'").select("event_id", "user_id", "ts")
-    return next_after(clicks, events.where("event_type = 'error'").select("user_id", "ts"), "user_id", "ts", "ts", "next_error", 7)
+    return next_after(clicks, events.where("event_type = 'error'").select("user_id", "ts"), "user_id", "ts", "ts", "next_error")
 
 
 _add("asof_next_event", _events_asof, """,

@@ -1,36 +1,90 @@
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from cadenza.operators.asof import next_after
+from cadenza.operators import asof
+from cadenza.operators.asof import last_before, next_after
 
 START = datetime(2024, 1, 1)
 
 
-def brute(left, right):
+def brute(left, right, backward=False):
+    """(key, t, n, time, value): of equal times the least value."""
     out = []
     for key, t, n in left:
-        later = [r for k, r in right if k == key and k is not None and r is not None and t is not None and r >= t]
-        if later:
-            out.append((key, t, n, min(later)))
+        fits = [(r, v) for k, r, v in right if k == key and None not in (k, r, t) and (r <= t if backward else r >= t)]
+        if fits:
+            best = max(r for r, _ in fits) if backward else min(r for r, _ in fits)
+            out.append((key, t, n, best, min(v for r, v in fits if r == best)))
     return sorted(out)
 
 
-@pytest.mark.parametrize("slot", [1, 7, 400])
-def test_against_brute_force(spark, slot):
-    rng = random.Random(slot)
+def sides(seed, n=300, m=60):
+    rng = random.Random(seed)
     at = lambda: START + timedelta(hours=rng.randrange(0, 24 * 60, 6))  # noqa: E731  many ties
-    left = [(rng.choice("abcd"), at(), i) for i in range(300)] + [(None, at(), 900), ("a", None, 901)]
-    right = [(rng.choice("abce"), at()) for _ in range(60)] + [(None, at()), ("a", None)]
-    a = spark.createDataFrame(left, "k string, t timestamp_ntz, row int")
-    b = spark.createDataFrame(right, "k string, r timestamp_ntz")
-    got = sorted(tuple(r) for r in next_after(a, b, "k", "t", "r", "found", slot).collect())
-    assert got == brute(left, right)
+    left = [(rng.choice("abcd"), at(), i) for i in range(n)] + [(None, at(), 900), ("a", None, 901)]
+    return left, [(rng.choice("abce"), at(), rng.randrange(99)) for _ in range(m)] + [(None, at(), 1), ("a", None, 2)]
+
+
+def frames(spark, left, right):
+    return spark.createDataFrame(left, "k string, t timestamp_ntz, row int"), spark.createDataFrame(right, "k string, r timestamp_ntz, v int")
+
+
+@pytest.mark.parametrize("backward", [False, True])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_brute_force(spark, seed, backward):
+    left, right = sides(seed)
+    a, b = frames(spark, left, right)
+    got = asof.asof(a, b, "k", "t", "r", {"found": "r", "value": "v"}, backward)
+    assert got.columns == ["k", "t", "row", "found", "value"]
+    assert sorted(map(tuple, got.collect())) == brute(left, right, backward)
+
+
+def test_unmatched_rows_are_kept_on_demand(spark):
+    left, right = sides(3, 40, 5)
+    a, b = frames(spark, left + left[:3], right)
+    got = last_before(a, b, "k", "t", "r", {"value": "v"}, keep_all=True).collect()
+    assert Counter(r.row for r in got) == Counter(n for _, _, n in left + left[:3])
+    known = {n: v for _, _, n, _, v in brute(left, right, True)}
+    assert all(r.value == known.get(r.row) for r in got)
 
 
 def test_empty_sides(spark):
-    a = spark.createDataFrame([("a", START, 1)], "k string, t timestamp_ntz, n int")
-    b = spark.createDataFrame([], "k string, r timestamp_ntz")
+    a, b = frames(spark, [("a", START, 1)], [])
     assert next_after(a, b, "k", "t", "r", "found").collect() == []
     assert next_after(a.limit(0), b, "k", "t", "r", "found").collect() == []
+    assert [r.v for r in last_before(a, b, "k", "t", "r", {"v": "v"}, keep_all=True).collect()] == [None]
+
+
+def test_one_key_in_one_day_is_spread(spark, tmp_path):
+    """All rows of one key lie in one day, most left rows between two right ones; no task gets a large share, and the left side is read once."""
+    left = spark.range(40_000).select(F.lit("hot").alias("k"), F.timestamp_add("MILLISECOND", F.when(F.col("id") % 3 == 0, F.lit(43_200_500)).otherwise(F.col("id") * 2000), F.lit(START).cast("timestamp_ntz")).alias("t"), "id")
+    left.write.parquet(str(tmp_path / "left"))
+    left = spark.read.parquet(str(tmp_path / "left"))
+    right = spark.range(20_000).select(F.lit("hot").alias("k"), F.timestamp_add("MILLISECOND", F.col("id") * 4000, F.lit(START).cast("timestamp_ntz")).alias("r"))
+    found = next_after(left, right, "k", "t", "r", "found")
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    kinds = tuple(right.schema[c].dataType for c in ("k", "r"))
+    micros = lambda df, c: df.select("k", asof._position(F.col("k"), F.col(c), kinds)[1].alias("t"))
+    bounds = asof._bounds(asof._sampled(micros(right, "r"), asof.SAMPLED * asof.RANGES * 4), asof.RANGES * 4)
+    assert len(bounds) == asof.RANGES * 4 - 1
+    placed = micros(left, "t").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(asof.SALTS)))
+    placed = placed.groupBy(asof._range_of(bounds, kinds[0]).alias("g"), "salt").count().collect()
+    assert max(r["count"] for r in placed) < 0.15 * 40_000
+    con = duckdb.connect()
+    a, b = left.toPandas(), right.toPandas()  # noqa: F841  read by DuckDB
+    known = con.sql("SELECT a.id, b.r AS found FROM a ASOF JOIN b ON a.k = b.k AND b.r >= a.t").df().sort_values("id").reset_index(drop=True)
+    got = found.select("id", "found").toPandas().sort_values("id").reset_index(drop=True)
+    assert len(got) == len(known) and (got.found.astype("datetime64[us]").to_numpy() == known.found.astype("datetime64[us]").to_numpy()).all()
+
+
+def test_keys_and_times_of_other_types(spark):
+    for kind, keys in (("long", [1, 2]), ("double", [1.5, -2.0]), ("string", ["a\"\\", "é\n"])):
+        a = spark.createDataFrame([(k, START, i) for i, k in enumerate(keys)], f"k {kind}, t timestamp, row int")
+        b = spark.createDataFrame([(k, START + timedelta(microseconds=i), i) for i, k in enumerate(keys)] + [(keys[0], START - timedelta(1), 9)], f"k {kind}, r timestamp, v int")
+        got = asof.asof(a, b, "k", "t", "r", {"v": "v"})
+        assert sorted((r.k, r.v) for r in got.collect()) == sorted((k, i) for i, k in enumerate(keys))
