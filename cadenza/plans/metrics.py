@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import exprs, time
-from cadenza.operators import stats
+from cadenza.operators import calendar, stats
 from cadenza.operators.asof import next_after
 from cadenza.operators.columns import pick_column, require_columns, select_present
 from cadenza.operators.rolling import rolling, smoothed
@@ -215,6 +215,11 @@ def time_to_release_series(monthly: DataFrame) -> DataFrame:
 SNAPSHOT_COLUMNS = ("repo_full", "snapshot_date", "commit", "code_smells", "sqale_debt_ratio", "complexity", "duplicated_lines_density", "sqale_rating", "sqale_index")
 
 
+def snapshot_calendar(rows: DataFrame, time: str, frequency: str = "monthly") -> DataFrame:
+    """Each repository's snapshot dates, as far as its rows reach."""
+    return calendar.dates_by_entity(rows, time, frequency, REPO)
+
+
 def snapshots_tidy(raw: DataFrame) -> DataFrame:
     """The known columns, with a parsed date and numbers where they can be read."""
     df = select_present(raw, SNAPSHOT_COLUMNS)

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.functions import exprs
 from cadenza.operators import calendar, stats
-from cadenza.operators.asof import next_after
-from cadenza.plans import enrich, metrics, standins
-from cadenza.sources import files, landed, schemas
+from cadenza.operators.asof import last_before, next_after
+from cadenza.plans import connected, enrich, figures, metrics, standins
+from cadenza.sources import files, landed, named, schemas
+from cadenza.sources.shared import new_path
 
 DIGITS = 6
 QUERIES: dict = {}
@@ -291,38 +289,107 @@ SELECT n_nationkey, n_name, n_nationkey || ',' || n_regionkey AS numbers FROM na
 
 
 def _landed(spark, sf_dir):
-    """Raw entities by way of nodes in JSON, made from the test tables; some runs come twice, as from two windows."""
-    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    reviewed = F.struct(F.when(F.col("l_linenumber") % 3 > 0, stamp("l_shipdate")).when(F.col("l_linenumber") == 3, F.lit("")).alias("createdAt"))
-    reviews = read("lineitem").groupBy("l_orderkey").agg(F.collect_list(reviewed).alias("nodes"))
-    n, customer = F.col("o_orderkey"), F.col("o_custkey")
-    node = F.to_json(F.struct(
-        n.alias("number"), stamp("o_orderdate").alias("createdAt"), F.when(F.col("o_orderstatus") == "F", stamp("o_orderdate")).alias("mergedAt"),
-        F.when(F.col("o_orderstatus") == "F", "MERGED").otherwise("OPEN").alias("state"), F.struct((n % 7).alias("totalCount")).alias("commits"),
-        F.when(n % 5 > 0, F.struct(F.concat(F.lit("u"), customer).alias("login"))).alias("author"), F.when(F.col("nodes").isNotNull(), F.struct("nodes")).alias("reviews"),
-    ))
-    prs = read("orders").join(reviews, n == F.col("l_orderkey"), "left").select(
-        F.concat(F.lit("o"), customer % 2).alias("owner"), F.concat(F.lit("r/"), customer % 3).alias("repo"), node.alias("node"))
-    numbers = F.array(F.struct(F.col("user_id").alias("number")), F.struct(F.lit(None).cast("long").alias("number")), F.struct((F.col("event_id") + 1).alias("number")))
-    runs = read("events").select(F.lit("o0").alias("owner"), F.concat(F.lit("r"), F.col("user_id") % 3).alias("repo"), "event_id", F.to_json(F.struct(
-        F.col("event_id").alias("id"), F.col("event_type").alias("name"), stamp("ts").alias("created_at"), F.when(F.col("event_id") % 4 > 0, numbers).alias("pull_requests"))).alias("node"))
-    runs = runs.unionByName(runs.where("event_id % 10 = 0")).drop("event_id")
-    releases = read("orders").where("o_orderstatus = 'P'").select(F.lit("o0").alias("owner"), F.concat(F.lit("r"), customer % 3).alias("repo"), F.to_json(F.struct(
-        n.alias("id"), F.col("o_orderpriority").alias("tag_name"), stamp("o_orderdate").alias("created_at"), F.when(n % 4 > 0, stamp("o_orderdate")).alias("published_at"))).alias("node"))
+    """Raw entities by way of nodes in JSON; some runs come twice, as from two windows."""
+    found = standins.nodes(spark, sf_dir)
+    runs = found["workflow_runs"].unionByName(found["workflow_runs"].where("id % 10 = 0"))
     return {
-        "prs": landed.prs(landed.parsed(prs, schemas.PR_NODE), since="1995-01-01T00:00:00Z"),
+        "prs": landed.prs(landed.parsed(found["prs"], schemas.PR_NODE), since="1995-01-01T00:00:00Z"),
         "workflow_runs": landed.runs(landed.parsed(runs, schemas.RUN_NODE)),
-        "releases": landed.releases(landed.parsed(releases, schemas.RELEASE_NODE), since="1995-01-01T00:00:00Z"),
+        "releases": landed.releases(landed.parsed(found["releases"], schemas.RELEASE_NODE), since="1995-01-01T00:00:00Z"),
     }
 
 
 def _through_csv(spark, sf_dir):
     """Written to the shared folder as CSV, and read again as the first of two options that is there."""
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", F.array("n_nationkey", "n_regionkey").alias("numbers"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-cadenza-csv-")
-    path = f"{folder.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = new_path(spark, "csv-")
     files.write_csv(nations, path)
     read = lambda p: files.read_csv(spark, p, nations.schema)
     found = files.first_available(spark, [(f"{path}-none", read), (path, read)])
     return found.select("n_nationkey", "n_name", F.array_join("numbers", ",").alias("numbers"))
+
+
+def _through_named(spark, sf_dir):
+    """Weekly runs as one file for each repository and one of all, read back by file."""
+    weekly = metrics.failure_volatility(S.long_runs(spark, sf_dir))
+    path = new_path(spark, "named-")
+    named.write_named(weekly, path, F.col("repo_full"), order=("week",))
+    named.write_single(weekly, path, "all", order=("repo_full", "week"))
+    schema = T.StructType([f for f in weekly.schema if f.name != "failure_volatility_8w"])
+    found = files.read_csv(spark, path, schema, with_file=True)
+    name = F.regexp_extract("file", "([^/]*)[.]csv$", 1)
+    return found.select(F.url_decode(name).alias("file"), "repo_full", "week", "failure_rate", "n")
+
+
+def _drawn(spark, sf_dir):
+    """Charts of the weekly failure rates, one SVG file for each repository, and the values read back from the files."""
+    path = new_path(spark, "svg-")
+    charts = figures.line_charts(metrics.failure_volatility(S.long_runs(spark, sf_dir)), "week", ["failure_rate", "failure_volatility_8w"], "CI failures", most=1.0)
+    figures.write_charts(charts, path)
+    read = spark.read.text(path, wholetext=True, pathGlobFilter="*.svg").select(F.regexp_extract("value", "<title>CI failures: ([^<]*)<", 1).alias("repo_full"), F.explode(figures.drawn_values(F.col("value"))).alias("d"))
+    return read.select("repo_full", "d.measure", F.col("d.at").alias("week"), "d.value")
+
+
+_LONG = f""",
+rates AS (SELECT repo_full, {STARTED} AS wk, avg(is_failure::INT) AS failure_rate, count(run_id) AS n FROM long_runs GROUP BY ALL)"""
+
+_add("named_files", _through_named, _LONG + """
+SELECT f AS file, repo_full, wk AS week, round(failure_rate, 6) AS failure_rate, n FROM rates, (VALUES (1), (2)) v(i), LATERAL (SELECT CASE WHEN i = 1 THEN repo_full ELSE 'all' END AS f)""")
+
+_add("failure_charts", _drawn, _LONG + f""",
+smooth AS (SELECT *, {_trailing("stddev_samp", "failure_rate", 8, 4)} AS failure_volatility_8w FROM rates)
+SELECT repo_full, 'failure_rate' AS measure, wk AS week, round(failure_rate, 6) AS value FROM smooth
+UNION ALL SELECT repo_full, 'failure_volatility_8w', wk, failure_volatility_8w FROM smooth WHERE failure_volatility_8w IS NOT NULL""")
+
+# Connectors over recorded pages.
+
+_add("connector_prs", lambda s, d: connected.parsed(connected.prs(s, d), "prs").select("repo_full", "pr_number", "created_at", "author", "first_review_at", "review_count", "commit_count"), _PR_ROWS + f"""
+SELECT repo_full, pr_number, created_at, author, first_review_at, review_count, commit_count FROM landed_prs WHERE created_at >= '{connected.SINCE_PRS}'""")
+
+_add("connector_pr_details", lambda s, d: connected.parsed(connected.prs(s, d), "details").withColumn("reviewers", F.array_join("reviewers", ",")), f"""
+SELECT 'o' || (o_custkey % 2) || '/r/' || (o_custkey % 3) AS repo_full, o_orderkey AS pr_number, o_orderpriority AS title, 'main' AS base_ref, 'topic/' || o_orderkey AS head_ref,
+       coalesce((SELECT string_agg(DISTINCT 's' || (l_suppkey % 5), ',' ORDER BY 's' || (l_suppkey % 5)) FROM lineitem WHERE l_orderkey = o_orderkey), '') AS reviewers
+FROM orders WHERE {_STAMP.format("o_orderdate")} >= '{connected.SINCE_PRS}'""")
+
+_RUN_ROWS = f"SELECT 'o0/r' || (user_id % 3) AS repo_full, event_id AS run_id, event_type AS workflow_name, {_STAMP.format('ts')} AS created_at FROM events WHERE "
+_RUN_COLUMNS = ("repo_full", "run_id", "workflow_name", "created_at")
+_add("connector_runs_windowed", lambda s, d: connected.parsed(connected.windowed_runs(s, d), "runs").select(*_RUN_COLUMNS), f"""
+{_RUN_ROWS} {_STAMP.format("ts")}[1:10] BETWEEN '{connected.SINCE_RUNS}' AND '{connected.UNTIL_RUNS}'""")
+
+_add("connector_runs_paged", lambda s, d: connected.parsed(connected.paged_runs(s, d), "runs").select(*_RUN_COLUMNS), f"""
+{_RUN_ROWS} {_STAMP.format("ts")} >= '{connected.SINCE_PAGED}'""")
+
+_add("connector_releases", lambda s, d: connected.parsed(connected.releases(s, d), "releases").select("repo_full", "release_id", "tag_name", "created_at", "published_at"), f"""
+SELECT 'o0/r' || (o_custkey % 3) AS repo_full, o_orderkey AS release_id, o_orderpriority AS tag_name, {_STAMP.format("o_orderdate")} AS created_at,
+  CASE WHEN o_orderkey % 4 > 0 THEN {_STAMP.format("o_orderdate")} END AS published_at
+FROM orders WHERE o_orderstatus = 'P' AND {_STAMP.format("o_orderdate")} >= '{connected.SINCE_RELEASES}'""")
+
+
+def _calendar(months: int) -> str:
+    return f""",
+spans AS (SELECT o_orderpriority AS repo_full, date_trunc('month', min(o_orderdate))::TIMESTAMP AS a, date_trunc('day', max(o_orderdate))::TIMESTAMP AS b FROM orders GROUP BY ALL),
+days AS (SELECT repo_full, unnest(generate_series(a, b, INTERVAL {months} MONTH)) AS snapshot_date FROM spans),
+commits AS (SELECT o_orderpriority AS repo_full, o_orderdate AS at, min((CAST(o_orderkey AS VARCHAR), CAST(o_custkey % 1000 AS VARCHAR))) AS c FROM orders GROUP BY ALL)"""
+
+
+_add("snapshot_dates_by_repo", lambda s, d: metrics.snapshot_calendar(connected.commits(s, d), "committed_at", "monthly"), _calendar(1) + """
+SELECT repo_full, snapshot_date FROM days""")
+
+_add("snapshot_commits", connected.snapshot_commits, _calendar(1) + """
+SELECT d.repo_full, d.snapshot_date, c.c[1] AS "commit", c.c[2] AS smells FROM days d ASOF LEFT JOIN commits c ON d.repo_full = c.repo_full AND d.snapshot_date >= c.at""")
+
+_add("connector_snapshots", lambda s, d: connected.measured_snapshots(s, d).select("repo_full", F.date_format("snapshot_date", "yyyy-MM-dd").alias("day"), "commit", "code_smells", "complexity"), _calendar(3) + """,
+asked AS (SELECT s.repo_full, t.d AS snapshot_date FROM spans s, (SELECT unnest(generate_series(min(a), max(b), INTERVAL 3 MONTH)) AS d FROM spans) t)
+SELECT d.repo_full, strftime(d.snapshot_date, '%Y-%m-%d') AS day, c.c[1] AS "commit", CAST(c.c[2] AS DOUBLE) AS code_smells, CAST(NULL AS DOUBLE) AS complexity
+FROM asked d ASOF JOIN commits c ON d.repo_full = c.repo_full AND d.snapshot_date >= c.at""")
+
+_add("last_event_before", lambda s, d: _events_before(s, d), """,
+e AS (SELECT user_id, ts, min(event_id) AS error_id FROM events WHERE event_type = 'error' GROUP BY ALL)
+SELECT c.event_id, c.user_id, c.ts, e.error_id FROM (SELECT * FROM events WHERE event_type = 'purchase') c ASOF JOIN e ON c.user_id = e.user_id AND e.ts <= c.ts""")
+
+
+def _events_before(spark, sf_dir):
+    """The error that each purchase came after."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return last_before(bought, events.where("event_type = 'error'").select("event_id", "user_id", "ts"), "user_id", "ts", "ts", {"error_id": "event_id"})

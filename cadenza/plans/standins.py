@@ -67,6 +67,28 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nodes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """(owner, repo, id, created, node): change requests, runs and releases as nodes in JSON, as a web interface returns them."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reviewed = F.struct(F.struct(F.concat(F.lit("s"), F.col("l_suppkey") % 5).alias("login")).alias("author"), F.when(F.col("l_linenumber") % 3 > 0, stamp("l_shipdate")).when(F.col("l_linenumber") == 3, F.lit("")).alias("createdAt"))
+    reviews = read("lineitem").groupBy("l_orderkey").agg(F.collect_list(reviewed).alias("nodes"))
+    n, customer = F.col("o_orderkey"), F.col("o_custkey")
+    node = F.to_json(F.struct(
+        n.alias("number"), F.col("o_orderpriority").alias("title"), F.lit("main").alias("baseRefName"), F.concat(F.lit("topic/"), n).alias("headRefName"), stamp("o_orderdate").alias("createdAt"), F.when(F.col("o_orderstatus") == "F", stamp("o_orderdate")).alias("mergedAt"),
+        F.when(F.col("o_orderstatus") == "F", "MERGED").otherwise("OPEN").alias("state"), F.struct((n % 7).alias("totalCount")).alias("commits"),
+        F.when(n % 5 > 0, F.struct(F.concat(F.lit("u"), customer).alias("login"))).alias("author"), F.when(F.col("nodes").isNotNull(), F.struct("nodes")).alias("reviews"),
+    ))
+    prs = read("orders").join(reviews, n == F.col("l_orderkey"), "left").select(
+        F.concat(F.lit("o"), customer % 2).alias("owner"), F.concat(F.lit("r/"), customer % 3).alias("repo"), n.alias("id"), stamp("o_orderdate").alias("created"), node.alias("node"))
+    numbers = F.array(F.struct(F.col("user_id").alias("number")), F.struct(F.lit(None).cast("long").alias("number")), F.struct((F.col("event_id") + 1).alias("number")))
+    runs = read("events").select(F.lit("o0").alias("owner"), F.concat(F.lit("r"), F.col("user_id") % 3).alias("repo"), F.col("event_id").alias("id"), stamp("ts").alias("created"), F.to_json(F.struct(
+        F.col("event_id").alias("id"), F.col("event_type").alias("name"), stamp("ts").alias("created_at"), F.when(F.col("event_id") % 4 > 0, numbers).alias("pull_requests"))).alias("node"))
+    releases = read("orders").where("o_orderstatus = 'P'").select(F.lit("o0").alias("owner"), F.concat(F.lit("r"), customer % 3).alias("repo"), n.alias("id"), F.coalesce(F.when(n % 4 > 0, stamp("o_orderdate")), stamp("o_orderdate")).alias("created"), F.to_json(F.struct(
+        n.alias("id"), F.col("o_orderpriority").alias("tag_name"), stamp("o_orderdate").alias("created_at"), F.when(n % 4 > 0, stamp("o_orderdate")).alias("published_at"))).alias("node"))
+    return {"prs": prs, "workflow_runs": runs, "releases": releases}
+
+
 #: The same entities for DuckDB; durations are fractional from microseconds.
 SQL = r"""
 lines AS (

@@ -6,7 +6,10 @@ turns parsed nodes into entities. How a page is fetched is a parameter ("transpo
 `module:function`), so nothing here needs a network to be tested.
 
     spark.dataSource.register(RunSource)
-    spark.read.format("paged_runs").options(repos="a/b,c/d", since="2024-01-01", until="2024-03-01", transport="pkg.mod:fetch").load()
+    spark.read.format("windowed_runs").options(repos="a/b,c/d", since="2024-01-01", until="2024-03-01", transport="pkg.mod:fetch").load()
+
+As streams the same sources fetch what is new: an offset is the end of a window of days, so a query that starts again from its
+checkpoint asks for later windows only. A window [a, b) gives each node once.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 WINDOW_DAYS, PAGE_ROWS, QUERY_ROWS, ATTEMPTS, TIMEOUT = 14, 100, 50, 5, 30
 
@@ -83,16 +86,50 @@ class _Reader(DataSourceReader):
     def windows(self) -> list[tuple[str, str]]:
         return [(self.options.get("since", ""), self.options.get("until", ""))]
 
+    def repos(self) -> list[list[str]]:
+        return [r.strip().split("/", 1) for r in self.options["repos"].split(",") if r.strip()]
+
     def partitions(self) -> list[_Work]:
-        repos = [r.strip().split("/", 1) for r in self.options["repos"].split(",") if r.strip()]
-        return [_Work(owner, repo, a, b) for owner, repo in repos for a, b in self.windows()]
+        return [_Work(owner, repo, a, b) for owner, repo in self.repos() for a, b in self.windows()]
 
     def read(self, partition: _Work) -> Iterator[tuple]:
         for node in self.nodes(partition):
             yield partition.owner, partition.repo, json.dumps(node)
 
 
+class _Stream(DataSourceStreamReader):
+    """Whole windows of days from `since` on, up to `until` or today; those between two offsets are one batch."""
+
+    def __init__(self, reader: _Reader):
+        self.reader = reader
+        self.step = timedelta(days=int(reader.options.get("window_days", WINDOW_DAYS)))
+
+    def initialOffset(self) -> dict:
+        return {"end": date.fromisoformat(self.reader.options["since"][:10]).isoformat()}
+
+    def latestOffset(self) -> dict:
+        first = date.fromisoformat(self.initialOffset()["end"])
+        until = self.reader.options.get("until")
+        last = date.fromisoformat(until[:10]) if until else date.today()
+        return {"end": (first + max(0, (last - first) // self.step) * self.step).isoformat()}
+
+    def partitions(self, start: dict, end: dict) -> list[_Work]:
+        at, last, found = date.fromisoformat(start["end"]), date.fromisoformat(end["end"]), []
+        while at < last:
+            found += [_Work(owner, repo, at.isoformat(), (at + self.step).isoformat()) for owner, repo in self.reader.repos()]
+            at += self.step
+        return found
+
+    def read(self, partition: _Work) -> Iterator[tuple]:
+        for node in self.reader.nodes(partition):
+            if partition.since <= self.reader.created(node)[:10] < partition.until:
+                yield partition.owner, partition.repo, json.dumps(node)
+
+
 class _PrReader(_Reader):
+    def created(self, node: dict) -> str:
+        return node["createdAt"]
+
     def nodes(self, p: _Work) -> Iterator[dict]:
         """Newest first, up to the first that is older than `since`."""
         cursor = None
@@ -109,6 +146,9 @@ class _PrReader(_Reader):
 
 
 class _RunReader(_Reader):
+    def created(self, node: dict) -> str:
+        return node["created_at"]
+
     def windows(self) -> list[tuple[str, str]]:
         start, end = date.fromisoformat(self.options["since"][:10]), date.fromisoformat(self.options["until"][:10])
         step = timedelta(days=int(self.options.get("window_days", WINDOW_DAYS)))
@@ -130,6 +170,9 @@ class _RunReader(_Reader):
 
 
 class _PagedRunReader(_Reader):
+    def created(self, node: dict) -> str:
+        return node["created_at"]
+
     def nodes(self, p: _Work) -> Iterator[dict]:
         """The older form: page by page until a page holds nothing recent, or `max_pages`."""
         for page in range(1, int(self.options.get("max_pages", 20)) + 1):
@@ -142,12 +185,15 @@ class _PagedRunReader(_Reader):
 
 
 class _ReleaseReader(_Reader):
+    def created(self, node: dict) -> str:
+        return node.get("published_at") or node.get("created_at") or ""
+
     def nodes(self, p: _Work) -> Iterator[dict]:
         """The first release that is too old ends the scan."""
         for page in range(1, int(self.options.get("max_pages", 20)) + 1):
             found = self.fetch(f"{self.base}/repos/{p.owner}/{p.repo}/releases?per_page={PAGE_ROWS}&page={page}")
             for node in found:
-                if (node.get("published_at") or node.get("created_at") or "") < p.since:
+                if self.created(node) < p.since:
                     return
                 yield node
             if len(found) < PAGE_ROWS:
@@ -164,6 +210,9 @@ class _Source(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return self.reading(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Stream(self.reading(dict(self.options)))
+
 
 class PrSource(_Source):
     reading = _PrReader

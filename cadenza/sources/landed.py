@@ -53,3 +53,12 @@ def releases(nodes: DataFrame, owner: str | None = None, repo: str | None = None
     return nodes.where(_since(F.coalesce("published_at", "created_at"), since)).select(
         *_named(owner, repo), F.col("id").alias("release_id"), "tag_name", "name", "draft", "prerelease", "created_at", "published_at"
     )
+
+
+def pr_details(nodes: DataFrame, owner: str | None = None, repo: str | None = None) -> DataFrame:
+    """What the wider query tells beside `prs`: title, branches, and who reviewed, each once and in order."""
+    reviewers = F.filter(F.transform("reviews.nodes", lambda r: r.author.login), lambda login: login.isNotNull())
+    return nodes.select(
+        *_named(owner, repo)[2:], F.col("number").alias("pr_number"), "title", F.col("baseRefName").alias("base_ref"), F.col("headRefName").alias("head_ref"),
+        F.array_sort(F.array_distinct(F.coalesce(reviewers, F.array().cast("array<string>")))).alias("reviewers"),
+    )

@@ -122,3 +122,91 @@ def test_retries():
         api.retried(lambda: (_ for _ in ()).throw(TimeoutError), attempts=2, sleep=slept.append)
     with pytest.raises(ValueError):
         api.retried(lambda: (_ for _ in ()).throw(ValueError), sleep=slept.append)
+
+
+COUNTING = '''
+import json, os
+
+def fetch(url, body, token):
+    with open(token, "a") as log:
+        log.write(url + "\\n")
+    if "/releases" in url:
+        return [{"id": d, "published_at": f"2024-01-{d:02d}T10:00:00Z"} for d in range(28, 0, -1)] if "page=1" in url else []
+    a, b = url.rsplit("created=", 1)[1].split("..")
+    return {"workflow_runs": [{"id": int(d), "created_at": f"2024-01-{d:02d}T00:00:00Z"} for d in range(1, 29) if a <= f"2024-01-{d:02d}" <= b]}
+
+def measured(repo, day, options):
+    return None if day < "2024-02" else ("c-" + repo, {"code_smells": day[5:7], "complexity": "7"})
+'''
+
+
+@pytest.fixture
+def counting(spark, tmp_path):
+    """A module that executors' Python workers can import too."""
+    (tmp_path / "counting_transport.py").write_text(COUNTING)
+    spark.sparkContext.addPyFile(str(tmp_path / "counting_transport.py"))
+    log = tmp_path / "requests.log"
+    log.touch()
+    return log
+
+
+@pytest.mark.parametrize(("source", "path"), [(api.RunSource, "actions/runs"), (api.ReleaseSource, "releases")])
+def test_streams_fetch_new_windows_only(spark, tmp_path, counting, source, path):
+    spark.dataSource.register(source)
+
+    def rerun(until):
+        before = len(counting.read_text().splitlines())
+        stream = spark.readStream.format(source.name()).options(transport="counting_transport:fetch", base="http://x", token=str(counting), repos="o/a,o/b", since="2024-01-01", until=until, window_days=7).load()
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return [line for line in counting.read_text().splitlines()[before:] if path in line]
+
+    found = lambda: sorted((r.repo, json.loads(r.node)["id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert len(rerun("2024-01-15")) == 4  # two windows of two repositories
+    assert found() == sorted((r, d) for r in "ab" for d in range(1, 15))
+    assert rerun("2024-01-15") == []  # nothing new, nothing asked
+    assert len(rerun("2024-01-25")) == 2  # one more whole window
+    assert found() == sorted((r, d) for r in "ab" for d in range(1, 22))
+
+
+def test_snapshots_by_repository_and_date(spark, counting):
+    from cadenza.sources import snapshots
+
+    spark.dataSource.register(snapshots.SnapshotSource)
+    options = {"repos": "o/a, o/b", "start": "2024-01-15", "end": "2024-04-01", "frequency": "monthly"}
+    df = spark.read.format("snapshots").options(runner="counting_transport:measured", **options).load()
+    assert sorted((r.repo_full, r.snapshot_date, r.commit, r.code_smells, r.complexity, r.sqale_index) for r in df.collect()) == [
+        (r, f"2024-{m}-01", f"c-{r}", m, "7", None) for r in ("o/a", "o/b") for m in ("02", "03")
+    ]
+    assert df.rdd.getNumPartitions() == 6
+    assert spark.read.format("snapshots").options(**options).load().collect() == []  # neither a runner nor a server
+    with pytest.raises(ValueError):
+        snapshots.dates("2024-01-01", "2024-02-01", "weekly")
+
+
+def test_the_default_runner_checks_out_by_date(tmp_path, monkeypatch):
+    from cadenza.sources import snapshots
+
+    commands = []
+
+    def run(*command, cwd=None):
+        commands.append(command)
+        return "abc" if command[1] == "rev-list" else ""
+
+    monkeypatch.setattr(snapshots, "run", run)
+    monkeypatch.setattr(api, "http", lambda url, body, token: {"component": {"measures": [{"metric": "complexity", "value": "3"}, {"metric": "code_smells"}]}})
+    assert snapshots.scan("o/a", "2024-02-01", {"server": "http://s"}) == ("abc", {"complexity": "3"})
+    assert [c[:2] for c in commands[:3]] == [("git", "clone"), ("git", "rev-list"), ("git", "checkout")] and "--before=2024-02-01 23:59:59" in commands[1]
+    monkeypatch.setattr(snapshots, "run", lambda *c, cwd=None: "")
+    assert snapshots.scan("o/a", "2000-01-01", {"server": "http://s"}) is None
+    with pytest.raises(RuntimeError):
+        snapshots.__dict__["subprocess"] and __import__("importlib").reload(snapshots).run("git", "no-such-command")
+
+
+def test_replays_refuse_what_was_not_recorded(spark, tmp_path):
+    from cadenza.sources import replay
+
+    replay.record(spark.createDataFrame([("/repos/o/a/releases?per_page=100&page=1", "[1]")], "request string, body string"), str(tmp_path / "p"))
+    assert replay.fetch(f"{tmp_path}/p/repos/o/a/releases?per_page=100&page=1", None, "") == [1]
+    with pytest.raises(FileNotFoundError):
+        replay.fetch(f"{tmp_path}/p/repos/o/a/releases?per_page=100&page=2", None, "")
