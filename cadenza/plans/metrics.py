@@ -1,7 +1,8 @@
 """The metrics: each takes enriched entities and returns a lazy DataFrame.
 
-Rows with a null group key take part in no group. Percentiles are exact: of a repository's week or month as aggregates, of
-whole repositories and tables by counted ranks (`stats.percentiles`).
+Rows with a null group key take part in no group. Percentiles are exact: of whole repositories and tables by counted ranks
+(`stats.percentiles_of`), of a repository's week or month as aggregates, which keep a map of the group's distinct values
+in a task. Where weeks are too large for that, `by_ranks` has these counted too, all of a table's measures in one pass.
 """
 
 from __future__ import annotations
@@ -22,6 +23,15 @@ def _bucketed(df: DataFrame, at: str, bucket: str, name: str = "week") -> DataFr
     return df.withColumn(name, time.BUCKETS[bucket](F.col(at))).dropna(subset=[REPO, name])
 
 
+def _medians(df: DataFrame, keys: list[str], medians: dict[str, str], others: list[Column], by_ranks: bool) -> DataFrame:
+    """(keys, medians (new name: column), other aggregates) in this order."""
+    if not by_ranks:
+        return df.groupBy(*keys).agg(*(F.median(stats.known(F.col(c))).alias(name) for name, c in medians.items()), *others)
+    counted = df.groupBy(*keys).agg(*others)
+    found = counted.join(stats.grouped_medians(df, medians, keys), keys, "left")
+    return found.select(*keys, *medians, *(c for c in counted.columns if c not in keys))
+
+
 def _p95(value: Column) -> Column:
     return F.percentile(value, F.lit(0.95))
 
@@ -34,12 +44,13 @@ def merge_frequency(prs: DataFrame, bucket: str = "monday", name: str = "merge_f
     return merged.groupBy(REPO, "week").agg(F.count("pr_number").alias(name))
 
 
-def review_overhead(prs: DataFrame) -> DataFrame:
-    return _bucketed(prs, "created_at_dt", "monday").groupBy(REPO, "week").agg(
-        F.median("pr_cycle_hours").alias("pr_cycle_med_h"), F.median("review_latency_hours").alias("review_latency_med_h"),
-        F.median("review_duration_hours").alias("review_duration_med_h"), F.median("review_count").alias("review_count_med"),
-        F.median("pr_churn").alias("pr_churn_med"), F.count_if("is_merged").alias("merged_prs"), F.count("pr_number").alias("prs_total"),
-    )
+def review_overhead(prs: DataFrame, by_ranks: bool = False) -> DataFrame:
+    medians = {
+        "pr_cycle_med_h": "pr_cycle_hours", "review_latency_med_h": "review_latency_hours", "review_duration_med_h": "review_duration_hours",
+        "review_count_med": "review_count", "pr_churn_med": "pr_churn",
+    }
+    counts = [F.count_if("is_merged").alias("merged_prs"), F.count("pr_number").alias("prs_total")]
+    return _medians(_bucketed(prs, "created_at_dt", "monday"), [REPO, "week"], medians, counts, by_ranks)
 
 
 def review_overhead_short(prs: DataFrame) -> DataFrame:
@@ -56,9 +67,9 @@ def review_duration_by_pr(prs: DataFrame) -> DataFrame:
     return prs.select(REPO, "pr_number", "created_at_dt", "first_review_dt", "done_at_dt", "review_duration_hours")
 
 
-def cycle_weekly(prs: DataFrame) -> DataFrame:
+def cycle_weekly(prs: DataFrame, by_ranks: bool = False) -> DataFrame:
     """Median cycle hours by Tuesday week of creation, and their trailing median over four rows."""
-    weekly = _bucketed(prs.dropna(subset=["pr_cycle_hours"]), "created_at_dt", "tuesday").groupBy(REPO, "week").agg(F.median("pr_cycle_hours").alias("pr_cycle_hours"))
+    weekly = _medians(_bucketed(prs.dropna(subset=["pr_cycle_hours"]), "created_at_dt", "tuesday"), [REPO, "week"], {"pr_cycle_hours": "pr_cycle_hours"}, [F.count("*").alias("rows")], by_ranks).drop("rows")
     return smoothed(weekly, "pr_cycle_hours", "pr_cycle_smooth", "median")
 
 
@@ -84,22 +95,26 @@ def churn_box(prs: DataFrame) -> DataFrame:
     return stats.box(prs.where("pr_churn > 0"), "pr_churn")
 
 
+def churn_outliers(prs: DataFrame) -> DataFrame:
+    """The single points that the box plot of churn draws beyond its whiskers."""
+    return stats.outliers(prs.where("pr_churn > 0"), "pr_churn")
+
+
 # Workflow runs
 
 
-def ci_weekly(runs: DataFrame) -> DataFrame:
+def ci_weekly(runs: DataFrame, by_ranks: bool = False) -> DataFrame:
     """All durations, however long; runs without one are left out."""
-    return _bucketed(runs.dropna(subset=["ci_duration_min"]), "run_started_dt", "monday").groupBy(REPO, "week").agg(
-        F.median("ci_duration_min").alias("ci_duration_med_min"), exprs.rate(F.col("is_failure")).alias("ci_failure_rate"), F.count("run_id").alias("ci_runs")
-    )
+    rows = _bucketed(runs.dropna(subset=["ci_duration_min"]), "run_started_dt", "monday")
+    others = [exprs.rate(F.col("is_failure")).alias("ci_failure_rate"), F.count("run_id").alias("ci_runs")]
+    return _medians(rows, [REPO, "week"], {"ci_duration_med_min": "ci_duration_min"}, others, by_ranks)
 
 
-def ci_capped_weekly(runs: DataFrame, most_minutes: float = 360) -> DataFrame:
+def ci_capped_weekly(runs: DataFrame, most_minutes: float = 360, by_ranks: bool = False) -> DataFrame:
     """Runs of 0 to `most_minutes` minutes, by Tuesday week."""
-    kept = runs.where(F.col("ci_duration_min").between(0, most_minutes))
-    return _bucketed(kept, "run_started_dt", "tuesday").groupBy(REPO, "week").agg(
-        F.median("ci_duration_min").alias("ci_duration_med"), exprs.rate(exprs.as_flag(F.col("is_failure"), True)).alias("failure_rate"), F.count("*").alias("n")
-    )
+    rows = _bucketed(runs.where(F.col("ci_duration_min").between(0, most_minutes)), "run_started_dt", "tuesday")
+    others = [exprs.rate(exprs.as_flag(F.col("is_failure"), True)).alias("failure_rate"), F.count("*").alias("n")]
+    return _medians(rows, [REPO, "week"], {"ci_duration_med": "ci_duration_min"}, others, by_ranks)
 
 
 def ci_capped_p99(runs: DataFrame) -> DataFrame:
@@ -199,9 +214,9 @@ def time_to_release(prs: DataFrame, releases: DataFrame) -> DataFrame:
     return found.withColumn("time_to_release_days", time.elapsed(F.col("merged_at_dt"), F.col("release_time"), "days"))
 
 
-def time_to_release_monthly(prs: DataFrame, releases: DataFrame) -> DataFrame:
+def time_to_release_monthly(prs: DataFrame, releases: DataFrame, by_ranks: bool = False) -> DataFrame:
     found = _bucketed(time_to_release(prs, releases), "merged_at_dt", "month", "month")
-    return found.groupBy(REPO, "month").agg(F.median("time_to_release_days").alias("time_to_release_med_days"), F.count("time_to_release_days").alias("n"))
+    return _medians(found, [REPO, "month"], {"time_to_release_med_days": "time_to_release_days"}, [F.count("time_to_release_days").alias("n")], by_ranks)
 
 
 def time_to_release_series(monthly: DataFrame) -> DataFrame:

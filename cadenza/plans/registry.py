@@ -185,6 +185,8 @@ for _name, _metric, _column, _smooth in (
 SELECT repo_full, wk AS week, round({_column}, 6) AS {_column}, {_trailing("median", _column)} AS {_smooth} FROM (SELECT * FROM overhead WHERE {_column} IS NOT NULL)""")
 
 _add("latency_box", _of(metrics.latency_box, S.prs), _box("prs", "review_latency_hours"))
+_add("churn_outliers", _of(metrics.churn_outliers, S.prs), _box("prs", "pr_churn", "pr_churn > 0").split("SELECT repo_full, round(q1")[0] + """
+SELECT repo_full, v, count(*) AS n FROM marked WHERE NOT inside GROUP BY ALL""")
 _add("churn_box", _of(metrics.churn_box, S.prs), _box("prs", "pr_churn", "pr_churn > 0"))
 
 _add("retry_describe", _of(metrics.retry_describe, S.runs), _KEYS + """
@@ -341,6 +343,13 @@ smooth AS (SELECT *, {_trailing("stddev_samp", "failure_rate", 8, 4)} AS failure
 SELECT repo_full, 'failure_rate' AS measure, wk AS week, round(failure_rate, 6) AS value FROM smooth
 UNION ALL SELECT repo_full, 'failure_volatility_8w', wk, failure_volatility_8w FROM smooth WHERE failure_volatility_8w IS NOT NULL""")
 
+# The weekly medians by counted ranks.
+
+_add("review_overhead_by_ranks", _of(lambda p: metrics.review_overhead(p, by_ranks=True), S.prs), ORACLES["review_overhead_weekly"].removeprefix(f"WITH {standins.SQL}"))
+_add("ci_by_ranks", _of(lambda r: metrics.ci_weekly(r, by_ranks=True), S.runs), ORACLES["ci_weekly"].removeprefix(f"WITH {standins.SQL}"))
+_add("cycle_by_ranks", _of(lambda p: metrics.cycle_weekly(p, by_ranks=True), S.prs), ORACLES["cycle_smoothed"].removeprefix(f"WITH {standins.SQL}"))
+_add("time_to_release_by_ranks", lambda s, d: metrics.time_to_release_monthly(S.prs(s, d), S.releases(s, d), by_ranks=True), ORACLES["time_to_release_monthly"].removeprefix(f"WITH {standins.SQL}"))
+
 # Connectors over recorded pages.
 
 _add("connector_prs", lambda s, d: connected.parsed(connected.prs(s, d), "prs").select("repo_full", "pr_number", "created_at", "author", "first_review_at", "review_count", "commit_count"), _PR_ROWS + f"""

@@ -20,7 +20,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, lines_in_text: bool = True, with_file: bool = False) -> DataFrame:
     """A headered CSV as `schema`, by column name; text may hold quotes and line ends.
 
-    Columns that the file lacks are null, so an empty file is an empty table. Arrays are read as JSON text. A file whose
+    Columns that the file lacks are null, so an empty file is an empty table. "NaN" is a missing number. Arrays are read as JSON text. A file whose
     text holds line ends is one task; without `lines_in_text` large files are split. `with_file` adds each row's file.
     """
     raw = spark.read.option("header", True).option("multiLine", lines_in_text).option("quote", '"').option("escape", '"').csv(path)
@@ -32,6 +32,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, lines_in_text
             column = F.from_json(F.col(f.name), f.dataType)
         else:
             column = F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})")
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+                column = F.when(~F.isnan(column), column)
         columns.append(column.alias(f.name))
     known = raw if {f.name for f in schema} & {*raw.columns} else raw.limit(0)
     return known.select(*columns, *([F.col("_metadata.file_path").alias("file")] if with_file else []))

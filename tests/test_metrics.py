@@ -2,6 +2,7 @@ from datetime import datetime
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.operators import stats
 from cadenza.plans import catalog, enrich, metrics
@@ -146,3 +147,41 @@ def test_percentiles_by_counted_ranks(spark):
     assert stats.percentiles(df, df.v, [0.5]).first().p == pytest.approx([np.median([v for _, v in rows])])
     assert {r.k: r.m for r in stats.medians(df, "v", "m", "k").collect()}["d"] is None
     assert stats.percentiles(df.limit(0), df.v, [0.5], ["k"]).collect() == []
+
+
+def test_percentiles_of_odd_values(spark):
+    """NaN is missing; infinities, both zeros, subnormal and huge numbers keep their order."""
+    import itertools
+    import math
+
+    import numpy as np
+
+    odd = [math.nan, math.inf, -math.inf, 0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1e300, 1.0, math.nextafter(1.0, 0), math.nextafter(1.0, 2), 2.0, math.nextafter(2.0, 0), 1e-5, 1023.9999999999999, 1024.0]
+    rows = [("a", v) for v in odd] + [("n", math.nan), ("n", None), ("b", 1.0), ("b", math.nan), ("b", 3.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    found = {r.k: r.p for r in stats.percentiles(df, df.v, [i / 16 for i in range(17)], ["k"]).collect()}
+    assert {*found} == {"a", "b"}
+    assert found["a"] == sorted(v for v in odd if not math.isnan(v)) and (found["b"][0], found["b"][8], found["b"][16]) == (1.0, 2.0, 3.0)
+    places = [r.p for r in spark.createDataFrame([(v,) for v in sorted(v for v in odd if not math.isnan(v))], "v double").select(stats._place(F.col("v")).alias("p")).collect()]
+    assert places == sorted(places)
+    rng = np.random.default_rng(2)
+    values = np.sort(np.concatenate([rng.normal(size=300), 2.0 ** rng.integers(-1000, 1000, 300), np.nextafter(2.0 ** rng.integers(-1000, 1000, 300), 0)]))
+    places = [r.p for r in spark.createDataFrame([(float(v),) for v in values], "v double").select(stats._place(F.col("v")).alias("p")).collect()]
+    assert all(a <= b for a, b in itertools.pairwise(places))
+    box = {r.repo_full: r for r in stats.box(df.withColumnRenamed("k", "repo_full"), "v").collect()}
+    assert {*box} == {"a", "b"} and (box["b"].n, box["b"].n_outliers, box["b"].med) == (2, 0, 2.0)
+
+
+def test_values_of_a_narrow_band_are_dealt_finely(spark):
+    """A million distinct values within a thousandth of each other: no fine slot holds more than some of them."""
+    df = spark.range(1_000_000).select((1000 + F.col("id") / 1e6).alias("v"))
+    fullest = df.groupBy(F.shiftright(stats._place(F.col("v")), stats.SLOT_BITS[-1]).alias("slot")).count().agg(F.max("count")).first()[0]
+    assert fullest < 2000
+    assert stats.percentiles(df, F.col("v"), [0.5, 0.999]).first().p == pytest.approx([1000.4999995, 1000.998999001], abs=1e-9)
+
+
+def test_several_measures_at_once(spark):
+    rows = [("a", 1, 1.0, None), ("a", 1, 3.0, 7.0), ("a", 2, None, None), ("b", 1, 2.0, float("nan"))]
+    df = spark.createDataFrame(rows, "k string, w int, x double, y double")
+    found = sorted(map(tuple, stats.grouped_medians(df, {"x_med": "x", "y_med": "y"}, ["k", "w"]).collect()))
+    assert found == [("a", 1, 2.0, 7.0), ("b", 1, 2.0, None)]
