@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Bits of a place that slots leave out, coarse to fine: 256 slots to an octave, then 4,096 within each.
-SLOT_BITS = (43, 31)
+#: Bits of a place that slots leave out: 65,536 slots to an octave. Further, lesser numbers would deal each slot found again.
+SLOT_BITS = (35,)
 #: Places of an octave, and the octave of the least number there is.
 _OCTAVE, _LEAST = 1 << 51, -1074
 
@@ -37,8 +37,8 @@ def percentiles_of(df: DataFrame, values: dict[str, Column], fractions: Sequence
 
     Nulls and NaN don't count; an array is null where a measure has no value, and groups without any value are left out. Equal
     values are counted first. A group's values are dealt by place into slots whose order is that of the values; counts by
-    slot tell which slots hold the wanted ranks; only these are dealt again, finer, and only the slots found
-    then are put in order. So no task holds a group, and values crowd in a task only if they agree to seven digits.
+    slot tell which slots hold the wanted ranks, and only those are put in order. So no task holds a group: it holds a
+    group's slots, whose number has a bound, or values that agree to nearly five digits.
     """
     keys = list(keys)
     by = [*keys, "measure"]
@@ -57,8 +57,8 @@ def percentiles_of(df: DataFrame, values: dict[str, Column], fractions: Sequence
         held = slots.where(F.exists(F.array(*ranks), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("m"))))
         # Null keys join as well, as a group of null is a group.
         held = held.select(*(F.col(k).alias(f"held_{k}") for k in by), F.col("slot").alias("held_slot"), F.col("before").alias("held_base"), F.col("total").alias("held_total"))
-        same = F.col("slot") == F.col("held_slot")
-        for k in by:
+        same = (F.col("slot") == F.col("held_slot")) & (F.col("measure") == F.col("held_measure"))
+        for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"held_{k}"))
         left = left.join(held, same).select(*by, "v", "n", "place", F.col("slot").alias("upper"), F.col("held_base").alias("base"), F.col("held_total").alias("total"))
     inside = Window.partitionBy(*by, "upper").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -176,7 +176,7 @@ def test_values_of_a_narrow_band_are_dealt_finely(spark):
     """A million distinct values within a thousandth of each other: no fine slot holds more than some of them."""
     df = spark.range(1_000_000).select((1000 + F.col("id") / 1e6).alias("v"))
     fullest = df.groupBy(F.shiftright(stats._place(F.col("v")), stats.SLOT_BITS[-1]).alias("slot")).count().agg(F.max("count")).first()[0]
-    assert fullest < 2000
+    assert fullest < 10_000
     assert stats.percentiles(df, F.col("v"), [0.5, 0.999]).first().p == pytest.approx([1000.4999995, 1000.998999001], abs=1e-9)
 
 
