@@ -1,19 +1,32 @@
-"""All derived tables of one set of raw entities, and their files: from landed nodes or CSV to metrics in one run."""
+"""All derived tables of one set of raw entities, and their files: from landed nodes or CSV to metrics in one run.
+
+Entities are enriched once and kept as Parquet, by repository and week; every table is derived from these files. A refresh
+brings whole weeks of some repositories and replaces those weeks only. CSV is what leaves: for each table a file for each repository
+and one of all.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cadenza.functions import exprs
+from cadenza.functions import exprs, time
 from cadenza.operators import stats
 from cadenza.plans import enrich, metrics
 from cadenza.sources import files, landed, schemas
+from cadenza.sources.named import write_named
+
+#: The time that tells an entity's week, and how it is enriched.
+ENTITIES = {
+    "prs": ("created_at_dt", enrich.prs, schemas.PRS),
+    "workflow_runs": ("run_started_dt", lambda raw: enrich.runs(raw, exprs.DELIVERY_BROAD), schemas.RUNS),
+    "releases": ("release_time_dt", enrich.releases, schemas.RELEASES),
+}
 
 
 def derive(prs: DataFrame, runs: DataFrame, releases: DataFrame) -> dict[str, DataFrame]:
-    """The weekly and monthly tables by name, from raw entities. Nothing runs until a table is used."""
-    prs, runs, releases = enrich.prs(prs), enrich.runs(runs, exprs.DELIVERY_BROAD), enrich.releases(releases)
+    """The weekly and monthly tables by name, from enriched entities. Nothing runs until a table is used."""
     ci, overhead, retries = metrics.ci_weekly(runs), metrics.review_overhead(prs), metrics.true_retry_weekly(runs)
     return {
         "review_overhead_weekly": overhead,
@@ -25,6 +38,7 @@ def derive(prs: DataFrame, runs: DataFrame, releases: DataFrame) -> dict[str, Da
         "ci_flakiness_smoothed": metrics.flakiness_smoothed(retries),
         "review_latency_box": metrics.latency_box(prs),
         "pr_churn_box": metrics.churn_box(prs),
+        "pr_churn_outliers": metrics.churn_outliers(prs),
         "ci_retry_describe": metrics.retry_describe(runs),
         "run_time_range": stats.time_range(runs, "run_started_dt"),
         "ci_weekly": ci,
@@ -51,20 +65,47 @@ def summaries(derived: dict[str, DataFrame], prs: DataFrame, snapshots: DataFram
     }
 
 
-def _write(raw: dict[str, DataFrame], out: str, snapshots: DataFrame | None = None) -> list[str]:
-    """Writes the derived and the summary tables; each with a folder for each repository, and whole as one table."""
-    derived = derive(raw["prs"], raw["workflow_runs"], raw["releases"])
-    tables = derived | summaries(derived, enrich.prs(raw["prs"]), snapshots)
-    for name, table in tables.items():
-        slug = exprs.slug(F.split_part("repo_full", F.lit("/"), F.lit(1)), F.split_part("repo_full", F.lit("/"), F.lit(2)))
-        files.write_csv(table.withColumn("slug", slug), f"{out}/{name}", single=not name.endswith("pr_level"), by="slug")
-    return list(tables)
+def store(raw: dict[str, DataFrame], path: str) -> None:
+    """Enriches raw entities, each read once, and puts them in `path` by repository and week.
+
+    A (repository, week) that has rows in `raw` is replaced by them whole; others stay. Rows without a repository or a time have a folder too.
+    """
+    for name, (at, enriched, _) in ENTITIES.items():
+        if name in raw:
+            found = enriched(raw[name]).withColumns({"slug": F.replace("repo_full", F.lit("/"), F.lit("__")), "week": F.date_format(time.week_monday(F.col(at)), "yyyy-MM-dd")})
+            dealt = found.repartition("slug", "week")
+            dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug", "week").parquet(f"{path}/{name}")
+
+
+def stored(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The enriched entities of `store`; one that was never stored is empty."""
+    found = {}
+    for name, (_, enriched, schema) in ENTITIES.items():
+        columns = enriched(spark.createDataFrame([], schema)).schema
+        whole = T.StructType([*columns, T.StructField("slug", T.StringType()), T.StructField("week", T.StringType())])
+        there = files.exists(spark, f"{path}/{name}")
+        found[name] = (spark.read.schema(whole).parquet(f"{path}/{name}") if there else spark.createDataFrame([], whole)).select(*columns.names)
+    return found
+
+
+def tables(entities: dict[str, DataFrame], snapshots: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every derived and summary table of enriched entities."""
+    derived = derive(entities["prs"], entities["workflow_runs"], entities["releases"])
+    return derived | summaries(derived, entities["prs"], snapshots)
+
+
+def write(found: dict[str, DataFrame], out: str) -> list[str]:
+    """Writes each table as `out`/table/owner__repo.csv for each repository, and all of it as `out`/table/all.csv."""
+    for name, table in found.items():
+        order = tuple(c for c in ("repo_full", "week", "month", "pr_number") if c in table.columns)
+        write_named(table, f"{out}/{name}", F.col("repo_full"), order=order, combined="all")
+    return list(found)
 
 
 def collect(spark: SparkSession, raw: str, out: str) -> list[str]:
-    """Reads prs.csv, workflow_runs.csv and releases.csv of folder `raw`, writes each derived table under `out`; their names."""
-    found = (("prs", schemas.PRS), ("workflow_runs", schemas.RUNS), ("releases", schemas.RELEASES))
-    return _write({name: files.read_csv(spark, f"{raw}/{name}.csv", schema) for name, schema in found}, out)
+    """Reads prs.csv, workflow_runs.csv and releases.csv of folder `raw`, refreshes `out`/entities, writes each derived table under `out`; their names."""
+    store({name: files.read_csv(spark, f"{raw}/{name}.csv", schema) for name, (_, _, schema) in ENTITIES.items()}, f"{out}/entities")
+    return write(tables(stored(spark, f"{out}/entities")), out)
 
 
 def entities(prs: DataFrame, runs: DataFrame, releases: DataFrame, since: str | None = None) -> dict[str, DataFrame]:
@@ -77,7 +118,6 @@ def entities(prs: DataFrame, runs: DataFrame, releases: DataFrame, since: str |
 
 
 def collect_nodes(prs: DataFrame, runs: DataFrame, releases: DataFrame, out: str, since: str | None = None) -> list[str]:
-    """From connector to metric: writes raw entities as CSV under `out`/raw, reads them again, and writes every derived table."""
-    for name, table in entities(prs, runs, releases, since).items():
-        files.write_csv(table, f"{out}/raw/{name}.csv")
-    return collect(prs.sparkSession, f"{out}/raw", out)
+    """From connector to metric: refreshes `out`/entities with what was fetched, and writes every derived table of all that is stored."""
+    store(entities(prs, runs, releases, since), f"{out}/entities")
+    return write(tables(stored(prs.sparkSession, f"{out}/entities")), out)

@@ -40,13 +40,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, lines_in_text
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False, by: str | None = None) -> None:
-    """Overwrites `path` with headered CSV; arrays and structs as JSON text. `single` writes one part, for small tables.
+    """Overwrites `path` with headered CSV; arrays and structs as JSON text. `single` writes one part, after a shuffle: what makes the rows keeps its tasks.
 
     With `by` the rows of each value of that column go to a folder of their own, `by`=value; the whole is still one table.
     """
     nested = {f.name: F.to_json(f.name) for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))}
     df = df.withColumns(nested) if nested else df
-    writer = (df.coalesce(1) if single else df).write.mode("overwrite")
+    writer = (df.repartition(1) if single else df).write.mode("overwrite")
     (writer.partitionBy(by) if by else writer).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 

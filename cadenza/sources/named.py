@@ -105,13 +105,15 @@ def texts(df: DataFrame) -> DataFrame:
     return df.select(*((F.to_json(f.name) if isinstance(f.dataType, nested) else F.col(f.name).cast("string")).alias(f.name) for f in df.schema))
 
 
-def write_named(df: DataFrame, path: str, name: Column, extension: str = "csv", kind: str = "csv", order: tuple[str, ...] = ()) -> None:
+def write_named(df: DataFrame, path: str, name: Column, extension: str = "csv", kind: str = "csv", order: tuple[str, ...] = (), combined: str | None = None) -> None:
     """Writes the rows of each value of `name` to `path`/value.extension, in `order`; files of the same name are replaced, others stay.
 
-    Rows without a name go to ".extension" of an empty one. With kind "text" the first column is a file's whole body.
+    Rows without a name go to ".extension" of an empty one. With `combined` all rows go to the file of that name too, in the same
+    job. With kind "text" the first column is a file's whole body.
     """
     df.sparkSession.dataSource.register(NamedFiles)
-    named = df.withColumn(NAME, F.concat(F.coalesce(F.replace(name, F.lit("/"), F.lit("__")), F.lit("")), F.lit(f".{extension}")))
+    own = F.concat(F.coalesce(F.replace(name, F.lit("/"), F.lit("__")), F.lit("")), F.lit(f".{extension}"))
+    named = df.withColumn(NAME, own if combined is None else F.explode(F.array(own, F.lit(f"{combined}.{extension}"))))
     dealt = named.repartition(NAME).sortWithinPartitions(NAME, *order)
     texts(dealt).write.format("named_files").mode("append").option("kind", kind).save(path)
 

@@ -107,12 +107,38 @@ def test_collect_writes_all_tables(spark, tmp_path):
     releases = files.read_csv(spark, f"{FIXTURES}/releases.csv", schemas.RELEASES)
     files.write_csv(releases, str(tmp_path / "raw/releases.csv"), single=True)
     names = catalog.collect(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
-    assert len(names) == 25 and {"repo_comparison", "debt_overview", "review_latency_box", "merge_frequency_smoothed"} <= {*names}
-    found = spark.read.option("header", True).csv(str(tmp_path / "out/release_frequency_monthly"))
-    assert found.count() == 25 and found.columns == ["repo_full", "month", "release_frequency", "slug"]
+    assert len(names) == 26 and {"repo_comparison", "debt_overview", "review_latency_box", "merge_frequency_smoothed"} <= {*names}
+    read = lambda f: spark.read.option("header", True).csv(str(tmp_path / f"out/release_frequency_monthly/{f}"))
+    found = read("all.csv")
+    assert found.count() == 25 and found.columns == ["repo_full", "month", "release_frequency"]
     one = found.first()
-    own = spark.read.option("header", True).csv(str(tmp_path / f"out/release_frequency_monthly/slug={one.slug}"))
-    assert one.slug == one.repo_full.replace("/", "__") and own.count() == found.where(found.repo_full == one.repo_full).count()
+    own = read(one.repo_full.replace("/", "__") + ".csv")
+    assert own.count() == found.where(found.repo_full == one.repo_full).count() > 0
+    plan = stats.describe(catalog.stored(spark, str(tmp_path / "out/entities"))["workflow_runs"], "ci_duration_min")._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and plan.count("FileScan parquet") == 1
+
+
+def test_a_refresh_replaces_its_weeks_only(spark, tmp_path):
+    import os
+    import shutil
+
+    run = lambda repo, i, day, ok=True: (repo, i, "ci", "push", "s", f"2024-01-{day:02d}T00:00:00Z", f"2024-01-{day:02d}T00:10:00Z", "success" if ok else "failure")
+    raw = lambda rows: {"workflow_runs": spark.createDataFrame(rows, RUN)}
+    first = [run("a/x", 1, 2), run("a/x", 2, 9), run("b/y", 3, 9)]
+    again = [run("a/x", 2, 9, False), run("a/x", 4, 10), run("a/x", 5, 16)]
+    parts = lambda out: {os.path.relpath(os.path.join(d, f), out): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(out) for f in fs if f.startswith("part")}
+    out = str(tmp_path / "out")
+    catalog.store(raw(first), out)
+    before = parts(out)
+    catalog.store(raw(again), out)
+    after = parts(out)
+    kept = {f for f in before if after.get(f) == before[f]}
+    assert {f.split("/part")[0] for f in kept} == {"workflow_runs/slug=a__x/week=2024-01-01", "workflow_runs/slug=b__y/week=2024-01-08"}
+    catalog.store(raw([first[0], first[2], *again]), str(tmp_path / "full"))
+    rows = lambda path: sorted(map(str, metrics.ci_weekly(catalog.stored(spark, path)["workflow_runs"]).collect()))
+    assert rows(out) == rows(str(tmp_path / "full")) and len(rows(out)) == 4
+    shutil.rmtree(out)
+    assert catalog.stored(spark, out)["prs"].collect() == []
 
 
 def test_from_connector_nodes_to_metrics(spark, tmp_path):
@@ -125,7 +151,7 @@ def test_from_connector_nodes_to_metrics(spark, tmp_path):
     runs = frame([("a", "x", run(1)), ("a", "x", run(1)), ("a", "x", run(2))])
     releases = frame([("a", "x", json({"id": 5, "published_at": "2024-01-09T00:00:00Z", "created_at": "2024-01-08T00:00:00Z"}))])
     names = catalog.collect_nodes(prs, runs, releases, str(tmp_path / "out"), since="2023-01-01T00:00:00Z")
-    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / name))
+    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / name / "all.csv"))
     assert {(r.repo_full, r.merge_frequency) for r in read("merge_frequency_weekly").collect()} == {("a/x", 2), ("b/y", 1)}
     assert {(r.repo_full, r.ci_runs) for r in read("ci_weekly").collect()} == {("a/x", 2)}
     assert {r.repo_full for r in read("time_to_release_monthly").collect()} == {"a/x"} and "repo_comparison" in names
