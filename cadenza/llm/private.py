@@ -320,57 +320,73 @@ def _term_documents(docs: DataFrame, wanted: DataFrame, known: np.ndarray, least
 
 
 def _level_maps(fewest: DataFrame) -> list[np.ndarray]:
-    """A bitmap as in `_map` of the terms of at most 4, 16, 64... texts, for each of LEVELS, and one of the terms of two texts or more."""
+    """A bitmap as in `_map` of the terms of at most 4, 16, 64... texts, for each of LEVELS."""
     spot = F.pmod("term", F.lit(MAP_BITS))
     bit = F.expr("shiftleft(1L, cast(spot & 63 as int))")
-    wanted = [F.col("texts") <= level for level in LEVELS] + [F.col("texts") > 1]
     words = fewest.select(spot.alias("spot"), "texts").groupBy(F.shiftright("spot", 6).alias("word")).agg(
-        *(F.bit_or(F.when(w, bit)).alias(f"m{i}") for i, w in enumerate(wanted))
+        *(F.bit_or(F.when(F.col("texts") <= level, bit)).alias(f"m{i}") for i, level in enumerate(LEVELS))
     ).toArrow()
     maps = []
-    for i in range(len(wanted)):
+    for i in range(len(LEVELS)):
         bits = np.zeros(MAP_BITS >> 6, np.int64)
         bits[words["word"].to_numpy()] = words[f"m{i}"].fill_null(0).to_numpy()
         maps.append(bits.view(np.uint64))
     return maps
 
 
-def _paired(texts: DataFrame, fewest: DataFrame, n_docs: int, threshold: float) -> DataFrame:
-    """(entity, n_e, context, copies, held, near): a row for each entity of each text, with the terms that may disclose it.
+def _beside_pairs(each: DataFrame, fewest: DataFrame, n_docs: int, threshold: float) -> DataFrame:
+    """(entity, n_e, context, copies, term): each entity of each text with the terms beside it that may disclose it.
 
     With n_e contexts and at most `of` texts of e, a term in more than (n_e + 1) / p(e)^(1 - threshold) + `of` texts can't
-    reach the threshold, as n(t) less the texts with e is too large. So terms are dropped by bitmaps of fixed size before anything is paired.
+    reach the threshold, as n(t) less the texts with e is too large. So terms are dropped by bitmaps of fixed size first.
     """
     maps = _level_maps(fewest)
-    each = texts.select("text_key", F.inline("entities"))
     holders = each.groupBy("entity").agg(F.count_distinct("context").alias("n_e"), F.count("*").alias("of"))
-    known = each.join(holders, "entity").groupBy("text_key").agg(F.collect_list(F.struct("entity", "n_e", "of", "context", "near")).alias("es"))
-    rows = texts.select("text_key", "copies", "held").join(known, "text_key").select("copies", "held", "es")
+    rows = each.join(holders, "entity").select("entity", "n_e", "of", "context", "copies", "near")
 
     def run(batches):
         for batch in batches:
-            out = []
-            for copies, held, entities in zip(*(values(batch[c], 100) for c in ("copies", "held", "es")), strict=True):
-                terms = np.array(held, np.int64).view(np.uint64)
-                terms = terms[_in_map(maps[-1], terms)]
-                for e in entities:
-                    most = (e["n_e"] + 1) / (e["n_e"] / n_docs) ** (1 - threshold) + e["of"]
-                    level = next((m for m, top in zip(maps, LEVELS, strict=False) if top >= most), None)
-                    near, own = np.array(e["near"], np.int64).view(np.uint64), terms if e["n_e"] > 1 else terms[:0]
-                    if level is not None:
-                        near, own = near[_in_map(level, near)], own[_in_map(level, own)]
-                    out.append((e["entity"], e["n_e"], e["context"], copies, own.view(np.int64), near.view(np.int64)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(c, pa.list_(pa.int64())) for c in columns[4:]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["entity", "n_e", "context", "copies", "held", "near"])
-
-    return rows.mapInArrow(run, "entity bigint, n_e bigint, context bigint, copies bigint, held array<bigint>, near array<bigint>")
+            kept = []
+            for n_e, of, terms in zip(batch["n_e"].to_pylist(), batch["of"].to_pylist(), values(batch["near"], 100), strict=True):
+                most = (n_e + 1) / (n_e / n_docs) ** (1 - threshold) + of
+                level = next((m for m, top in zip(maps, LEVELS, strict=True) if top >= most), None)
+                near = np.array(terms, np.int64).view(np.uint64)
+                kept.append((near if level is None else near[_in_map(level, near)]).view(np.int64))
+            columns = [batch[c] for c in ("entity", "n_e", "context", "copies")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.list_(pa.int64()))], names=["entity", "n_e", "context", "copies", "near"])
+
+    found = rows.mapInArrow(run, "entity bigint, n_e bigint, context bigint, copies bigint, near array<bigint>")
+    return found.select("entity", "n_e", "context", "copies", F.explode("near").alias("term"))
+
+
+def _held_pairs(each: DataFrame, texts: DataFrame, fewest: DataFrame, n_docs: int, threshold: float, score: Column) -> DataFrame:
+    """(entity, n_e, term, rows, n_te): entities and terms that share two contexts or more and may disclose by p.
+
+    Entities of the same texts, parted into contexts alike, can't be told apart by what terms disclose them, nor can terms of the
+    same texts. So classes meet instead: of entities by their texts and contexts, of terms by their texts, each told by its
+    least member and by two hashes of its texts. Two texts that share 800 addresses and 4,000 words make one pair. A pair's entity stands for its class.
+    """
+    reps = each.groupBy("entity", "context").agg(F.min("text_key").alias("rep"))
+    held_by = each.select("text_key", "copies", "entity", "context").join(reps, ["entity", "context"])
+    mark = lambda salt: F.bit_xor(F.xxhash64("text_key", "rep", F.lit(salt)))
+    kinds = held_by.groupBy("entity").agg(F.count_distinct("rep").alias("n_e"), F.count("*").alias("of"), mark(1).alias("e1"), mark(2).alias("e2")).where("n_e > 1")
+    entities = held_by.join(kinds, "entity").groupBy("text_key", "copies", "rep", "n_e", "of", "e1", "e2").agg(F.min("entity").alias("entity"))
+    entities = staged(entities.drop("e1", "e2"))
+    holding = texts.join(entities.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.explode("held").alias("term"))
+    terms = holding.join(fewest.where("texts > 1"), "term").groupBy("text_key", "t1", "t2", "texts", "n_t").agg(F.min("term").alias("first"))
+    most = (F.col("n_e") + 1) / F.pow(F.col("n_e") / F.lit(float(n_docs)), F.lit(1 - threshold)) + F.col("of")
+    met = entities.join(terms, "text_key").where(F.col("texts") <= most)
+    met = met.groupBy("entity", "n_e", "first", "t1", "t2", "n_t", "rep").agg(F.sum("copies").alias("n"))
+    met = met.groupBy("entity", "n_e", "first", "t1", "t2", "n_t").agg(F.sum("n").alias("rows"), F.count("*").alias("n_te")).where("n_te > 1")
+    met = met.withColumn("beside", F.lit(False)).where(score >= threshold).drop("first", "n_t", "beside")
+    return met.join(fewest.select("term", "t1", "t2"), ["t1", "t2"]).drop("t1", "t2")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, bits: np.ndarray, threshold: float = THRESHOLD, least: float = BITS) -> DataFrame:
     """(entity, term, beside, disclosure) of the terms that disclose an entity; `found` comes from `base`.
 
-    With `beside` it is by p', in documents where the term stands beside the entity; else by p, everywhere. By p a
+    With `beside` it is by p', in documents where the term stands beside the entity; else by p, everywhere, and
+    the entity is the least of those that can't be told apart by terms. By p a
     pair in a single context discloses nothing (see above), so only terms of two texts or more are paired, and
     only pairs of more are counted on. Equal texts are taken together before anything is paired.
     """
@@ -378,21 +394,20 @@ def disclosing(docs: DataFrame, found: DataFrame, bits: np.ndarray, threshold: f
     slim = F.transform("entities", lambda e: F.struct(e.entity.alias("entity"), e.context.alias("context"), F.transform(e.near, lambda t: t.term).alias("near")))
     texts = found.where(F.size("entities") > 0).select("text_key", "held", slim.alias("entities")).groupBy("text_key")
     texts = staged(texts.agg(F.count("*").alias("copies"), F.first("held").alias("held"), F.first("entities").alias("entities")))
-    fewest = staged(texts.select("copies", F.explode("held").alias("term")).groupBy("term").agg(F.sum("copies").alias("n_t"), F.count("*").alias("texts")))
-    each = staged(_paired(texts, fewest, n_docs, threshold))
-
-    def counted(pairs: DataFrame, beside: bool) -> DataFrame:
-        pairs = pairs.groupBy("entity", "n_e", "term", "context").agg(F.sum("copies").alias("n"))
-        return pairs.groupBy("entity", "n_e", "term").agg(F.sum("n").alias("rows"), F.count("*").alias("n_te")).withColumn("beside", F.lit(beside))
-
-    exploded = lambda rows, c: rows.select("entity", "n_e", "context", "copies", F.explode(c).alias("term"))
-    pairs = counted(exploded(each, "held"), False).where("n_te > 1").unionByName(counted(exploded(each, "near"), True))
+    mark = lambda salt: F.bit_xor(F.xxhash64("text_key", F.lit(salt)))
+    fewest = texts.select("text_key", "copies", F.explode("held").alias("term")).groupBy("term")
+    fewest = staged(fewest.agg(F.sum("copies").alias("n_t"), F.count("*").alias("texts"), mark(1).alias("t1"), mark(2).alias("t2")))
+    each = texts.select("text_key", "copies", F.inline("entities"))
     before = F.col("n_e") / F.lit(float(n_docs))
     of = F.col("n_t") - F.col("rows") + F.col("n_te")
     after = F.when(F.col("beside"), (F.col("n_te") + before) / (of + 1)).otherwise((F.col("n_te") - 1 + before) / of)
     score = F.when(before < 1, F.log(after / before) / -F.log(before))
+    beside = _beside_pairs(each, fewest, n_docs, threshold).groupBy("entity", "n_e", "term", "context").agg(F.sum("copies").alias("n"))
+    beside = beside.groupBy("entity", "n_e", "term").agg(F.sum("n").alias("rows"), F.count("*").alias("n_te"))
+    held = _held_pairs(each, texts, fewest, n_docs, threshold, score)
+    pairs = held.withColumn("beside", F.lit(False)).unionByName(beside.withColumn("beside", F.lit(True)))
     # Disclosure falls with n(t), so pairs that fail with the documents that have spans fail with all.
-    pairs = staged(pairs.join(fewest.drop("texts"), "term").where(score >= threshold).drop("n_t"))
+    pairs = staged(pairs.join(fewest.select("term", "n_t"), "term").where(score >= threshold).drop("n_t"))
     if pairs.isEmpty():
         return pairs.select("entity", "term", "beside", F.lit(None).cast("double").alias("disclosure"))
     known = pairs.join(_term_documents(docs, staged(pairs.select("term").distinct()), bits, least), "term")

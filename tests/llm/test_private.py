@@ -213,3 +213,19 @@ def test_entities_in_one_or_two_documents(spark):
     for i, _, terms in found:
         assert {m.span() for m in re.finditer(r"\b(?:Ac|yo)\b", dict(rows)[i])} <= set(terms)
         assert i < 20 or not terms
+
+
+def test_long_lists_of_values_and_words_make_no_square(spark):
+    """Two documents that share 1,600 addresses and 8,000 words, among others: classes meet, not values and words."""
+    import time
+
+    shared = " ".join(f"user{i}@host{i}.example.org" for i in range(1600)) + " " + " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(8000))
+    rows = [(1, "alpha " + shared), (2, "beta " + shared), *((i, f"plain text number {chr(97 + i % 26)} of some words") for i in range(3, 400))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.perf_counter()
+    bits = private.information(df)
+    found = private.staged(private.base(df, bits))
+    bad = private.disclosing(df, found, bits)
+    everywhere = bad.where("NOT beside").select("term").distinct().count()
+    assert everywhere >= 7000 and bad.where("NOT beside").count() < 3 * everywhere
+    assert time.perf_counter() - began < 60
