@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm import hashing
-from cadenza.llm.common import SPACE, maybe_wanted, sifted, staged, table
+from cadenza.llm.common import SPACE, maybe_wanted, sifted, staged, table, tidied
 
 CHUNK = 1 << 16
 PRIME = (1 << 31) - 1
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, bases: tuple[int, int] = BASES, chunk: int = C
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, chunks {_CHUNKS}, sha string")
+    parts = docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n_bytes bigint, chunks {_CHUNKS}, sha string")
     long = lambda x: F.lit(x).cast("long")
     start = F.struct(long(0).alias("h1"), long(0).alias("h2"), long(1).alias("s1"), long(1).alias("s2"))
     fold = F.aggregate(
@@ -149,7 +149,7 @@ def _broken(docs: DataFrame, members: DataFrame, bases: tuple[int, int], chunk:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=[*_KEY, "nth", "part"])
 
     wanted = maybe_wanted(docs.select("doc_id", "text"), "doc_id", members)
-    chunks = wanted.select("text").mapInArrow(run, "n_bytes bigint, h1 bigint, h2 bigint, nth bigint, part binary")
+    chunks = wanted.select("text").mapInArrow(tidied(run), "n_bytes bigint, h1 bigint, h2 bigint, nth bigint, part binary")
     versions = chunks.groupBy(*_KEY, "nth").agg(F.min("part").alias("a"), F.max("part").alias("b"))
     return versions.where("a <> b").select(*_KEY).distinct()
 

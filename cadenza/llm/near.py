@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import graph, hashing
-from cadenza.llm.common import maybe_wanted, sifted, staged, table
+from cadenza.llm.common import maybe_wanted, sifted, staged, table, tidied
 
 WORDS = 5
 K = 64
@@ -106,7 +106,7 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *_SET, "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, f1 bigint, f2 bigint, sketch array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n bigint, f1 bigint, f2 bigint, sketch array<bigint>")
 
 
 def _postings(sets: DataFrame, k: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = pa.array([i for i, _ in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch["rep"].take(rows), _lists([s for _, s in found])], names=["rep", "values"])
 
-    return texts.mapInArrow(run, "rep bigint, values array<bigint>")
+    return texts.mapInArrow(tidied(run), "rep bigint, values array<bigint>")
 
 
 def _likely(pairs: DataFrame, retained: DataFrame, k: int) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import hashing
-from cadenza.llm.common import staged, table
+from cadenza.llm.common import staged, table, tidied
 
 LENGTH = 2048
 OPEN = 128
@@ -168,7 +168,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fa
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, nth bigint" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 def best_fit(lengths: list[int], capacity: int, most_open: int) -> tuple[list[int], list[int], int]:

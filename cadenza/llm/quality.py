@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.llm import hashing
-from cadenza.llm.common import table
+from cadenza.llm.common import table, tidied
 
 SAMPLE = 20_000
 FOLDS = 5
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             x = features(batch["text"])
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch["y"]], names=["x", "y"])
 
-    found = rows.mapInArrow(run, "x array<double>, y double").toArrow()
+    found = rows.mapInArrow(tidied(run), "x array<double>, y double").toArrow()
     x = np.array(found["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     y = found["y"].to_numpy()
     order = np.lexsort((*x.T, y))  # whatever order the rows came in
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: Additive, columns: list[str] | None = None) ->
 
     rows = docs.select(F.struct(*(columns or docs.columns)).alias("row"), "text")
     schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
