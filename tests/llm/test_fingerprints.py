@@ -3,7 +3,6 @@ import re
 
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from cadenza.llm import fingerprints
 
@@ -89,7 +88,17 @@ def test_single_and_empty_tables(spark, tmp_path):
 
 def test_peeling_recovers_both_sides(spark):
     a, b = [*range(100, 140)], [*range(110, 155)]
-    row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(fingerprints.difference(F.col("a"), F.col("b")).alias("d")).first().d
-    assert sorted(row.only_a) == [*range(100, 110)] and sorted(row.only_b) == [*range(140, 155)]
-    small = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(fingerprints._tried(F.col("a"), F.col("b"), fingerprints._long(4)).alias("d")).first().d
-    assert not small.done  # too small: it grows
+    pairs = spark.createDataFrame([(1, a, b), (2, [], [7]), (3, [5], [5]), (4, [], [])], "id long, a array<long>, b array<long>")
+    found = {r.id: (sorted(r.only_a), sorted(r.only_b)) for r in fingerprints.difference(pairs).collect()}
+    assert found == {1: ([*range(100, 110)], [*range(140, 155)]), 2: ([], [7])}  # equal lists have no row
+    counts = {r.id: (r.only_a, r.only_b) for r in fingerprints.difference(pairs, listed=False).collect()}
+    assert counts == {i: (len(x), len(y)) for i, (x, y) in found.items()}
+    tight = pairs.where("id = 1").selectExpr("id", "a", "b", "2L AS blocks", "3L AS width", "CAST(NULL AS array<bigint>) AS only")
+    small = fingerprints.tried(tight).first()
+    assert small.stuck  # too small: those blocks grow
+
+
+def test_likeness_of_lists_of_many_sizes(spark):
+    pairs = [(i, [*range(i % 7, i % 7 + 3 * i)], [*range(i % 11 * i, i % 11 * i + 2 * i)]) for i in range(300)]
+    found = fingerprints.likeness(spark.createDataFrame(pairs, "id long, a array<long>, b array<long>")).collect()
+    assert {r.id: round(r.likeness, 12) for r in found} == {i: round(jaccard({*a}, {*b}), 12) for i, a, b in pairs}
