@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import partitions, staged, table
+from cadenza.llm.common import maybe_wanted, partitions, staged, table
 
 CELLS = 12
 SAMPLE = 16
@@ -89,7 +89,7 @@ def peeled(left: Column, width: Column) -> Column:
 
     def without(cell: Column, pure: Column) -> Column:
         less = lambda a, e: F.struct(a["at"].alias("at"), (a.n - e.n).alias("n"), a.k.bitwiseXOR(e.k).alias("k"), a.c.bitwiseXOR(e.c).alias("c"))
-        hit = lambda a, e: (e.p0 == a["at"]) | (e.p1 == a["at"]) | (e.p2 == a["at"])
+        hit = lambda a, e: F.array_contains(e.places, a["at"])
         return F.aggregate(pure, cell, lambda a, e: F.when(hit(a, e), less(a, e)).otherwise(a))
 
     def taken(state: Column, pure: Column) -> Column:
@@ -99,7 +99,7 @@ def peeled(left: Column, width: Column) -> Column:
 
     def once(state: Column, _: Column) -> Column:
         single = F.filter(state.left, lambda c: (F.abs(c.n) == 1) & (_check(c.k) == c.c))
-        entry = lambda c: F.struct(c.n.alias("n"), c.k.alias("k"), c.c.alias("c"), *(x.alias(f"p{i}") for i, x in enumerate(_places(c.k, width))))
+        entry = lambda c: F.struct(c.n.alias("n"), c.k.alias("k"), c.c.alias("c"), F.array(*_places(c.k, width)).alias("places"))
         return _let(F.array_distinct(F.transform(single, entry)), lambda pure: F.when(F.size(pure) == 0, state).otherwise(taken(state, pure)))
 
     none = F.array().cast("array<bigint>")
@@ -144,17 +144,17 @@ def difference(pairs: DataFrame, listed: bool = True) -> DataFrame:
 
     The ids are distinct; pairs that don't differ have no row.
     """
-    pairs = pairs.select("id", "a", "b")
-    size = first_size(F.col("a"), F.col("b"))
-    todo = pairs.withColumn("size", size).select("id", "a", "b", "size.*", F.lit(None).cast("array<bigint>").alias("only"))
-    out = None
+    pairs, only = pairs.select("id", "a", "b"), F.lit(None).cast("array<bigint>").alias("only")
+    sized = lambda df: df.select("*", first_size(F.col("a"), F.col("b")).alias("size")).select("id", "a", "b", "only", "size.*")
+    todo, out, growth = sized(pairs.select("*", only)), None, 1
     while True:
         found = staged(tried(todo, listed))
         out = found if out is None else out.unionByName(found)
         stuck = found.where(F.size("stuck") > 0).select("id", F.col("stuck").alias("only"))
         if stuck.isEmpty():
             break
-        todo = todo.drop("only").join(stuck, "id").withColumn("width", F.col("width") * GROWTH)
+        growth *= GROWTH
+        todo = sized(maybe_wanted(pairs, "id", stuck).join(stuck, "id")).withColumn("width", F.col("width") * growth)
     total = lambda side: F.flatten(F.collect_list(side)) if listed else F.sum(side)
     return out.groupBy("id").agg(*(total(side).alias(side) for side in ["only_a", "only_b"]))
 
