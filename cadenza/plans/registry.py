@@ -290,6 +290,21 @@ _add("csv_round_trip", lambda s, d: _through_csv(s, d), """
 SELECT n_nationkey, n_name, n_nationkey || ',' || n_regionkey AS numbers FROM nation""")
 
 
+def _noted(spark, sf_dir):
+    """Orders with a note of several lines, quotes and commas, written as CSV and read again in several tasks."""
+    lines = F.expr("repeat(concat('\"', o_orderpriority, '\", of:\n'), cast(o_orderkey % 7 as int))")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.concat(lines, F.col("o_orderkey").cast("string")).alias("note"), "o_totalprice")
+    path = new_path(spark, "csv-")
+    files.write_csv(orders, path, single=True)
+    found = files.read_csv(spark, path, orders.schema, split=True)
+    return found.select("o_orderkey", F.md5(F.encode("note", "utf-8")).alias("note_md5"), F.length("note").cast("long").alias("note_chars"), "o_totalprice")
+
+
+_add("csv_split_lines", _noted, """,
+noted AS (SELECT *, repeat('"' || o_orderpriority || '", of:' || chr(10), CAST(o_orderkey % 7 AS BIGINT)) || o_orderkey AS note FROM orders)
+SELECT o_orderkey, md5(note) AS note_md5, length(note) AS note_chars, round(o_totalprice, 6) AS o_totalprice FROM noted""")
+
+
 def _landed(spark, sf_dir):
     """Raw entities by way of nodes in JSON; some runs come twice, as from two windows."""
     found = standins.nodes(spark, sf_dir)

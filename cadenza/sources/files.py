@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadenza.sources import records
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether `path` is there, on whatever store Spark reads."""
@@ -17,13 +19,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, lines_in_text: bool = True, with_file: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, lines_in_text: bool = True, with_file: bool = False, split: bool = False) -> DataFrame:
     """A headered CSV as `schema`, by column name; text may hold quotes and line ends.
 
     Columns that the file lacks are null, so an empty file is an empty table. "NaN" is a missing number. Arrays are read as JSON text. A file whose
-    text holds line ends is one task; without `lines_in_text` large files are split. `with_file` adds each row's file.
+    text holds line ends is one task, or with `split` several (`records`, which reads it twice: for large files); without `lines_in_text` large files
+    are split as they are. `with_file` adds each row's file.
     """
-    raw = spark.read.option("header", True).option("multiLine", lines_in_text).option("quote", '"').option("escape", '"').csv(path)
+    if split:
+        raw = records.read_texts(spark, path)
+    else:
+        raw = spark.read.option("header", True).option("multiLine", lines_in_text).option("quote", '"').option("escape", '"').csv(path)
     columns = []
     for f in schema:
         if f.name not in raw.columns:
@@ -36,7 +42,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, lines_in_text
                 column = F.when(~F.isnan(column), column)
         columns.append(column.alias(f.name))
     known = raw if {f.name for f in schema} & {*raw.columns} else raw.limit(0)
-    return known.select(*columns, *([F.col("_metadata.file_path").alias("file")] if with_file else []))
+    return known.select(*columns, *([(F.col("file") if split else F.col("_metadata.file_path")).alias("file")] if with_file else []))
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False, by: str | None = None) -> None:
