@@ -12,6 +12,7 @@ from cadenza.operators.asof import last_before, next_after
 from cadenza.plans import connected, enrich, figures, metrics, standins
 from cadenza.sources import files, landed, named, schemas
 from cadenza.sources.shared import new_path
+from cadenza.streaming import trailing
 
 DIGITS = 6
 QUERIES: dict = {}
@@ -347,6 +348,19 @@ def _drawn(spark, sf_dir):
     return read.select("repo_full", "d.measure", F.col("d.at").alias("week"), "d.value")
 
 
+def _streamed(spark, sf_dir):
+    """Runs as a stream that is stopped halfway and goes on from its checkpoint: the weeks that closed."""
+    runs = S.long_runs(spark, sf_dir).select("repo_full", "run_id", "run_started_dt", "is_failure")
+    bounds = runs.agg(F.min("run_started_dt").alias("a"), F.max("run_started_dt").alias("b")).first()
+    source, out, checkpoint = (new_path(spark, f"stream-{name}-") for name in ("in", "out", "checkpoint"))
+    middle = bounds.a + (bounds.b - bounds.a) / 2 if bounds.a else None
+    later = F.col("run_started_dt") >= F.lit(middle).cast("timestamp_ntz")
+    for part in (runs.where(~later), runs.where(later)):
+        part.write.mode("append").parquet(source)
+        trailing.drained(trailing.failure_volatility(spark.readStream.schema(runs.schema).parquet(source)), checkpoint, out)
+    return spark.read.schema("repo_full string, week timestamp_ntz, failure_rate double, n bigint, failure_volatility_8w double").parquet(out)
+
+
 _LONG = f""",
 rates AS (SELECT repo_full, {STARTED} AS wk, avg(is_failure::INT) AS failure_rate, count(run_id) AS n FROM long_runs GROUP BY ALL)"""
 
@@ -358,6 +372,10 @@ smooth AS (SELECT *, {_trailing("stddev_samp", "failure_rate", 8, 4)} AS failure
 SELECT repo_full, 'failure_rate' AS measure, wk AS week, round(failure_rate, 6) AS value FROM smooth
 UNION ALL SELECT repo_full, 'failure_volatility_8w', wk, failure_volatility_8w FROM smooth WHERE failure_volatility_8w IS NOT NULL""")
 
+_add("failure_volatility_stream", _streamed, _LONG + f""",
+smooth AS (SELECT *, {_trailing("stddev_samp", "failure_rate", 8, 4)} AS failure_volatility_8w FROM rates)
+SELECT repo_full, wk AS week, round(failure_rate, 6) AS failure_rate, n, failure_volatility_8w FROM smooth WHERE wk + INTERVAL 14 DAY <= (SELECT max(run_started_dt) FROM long_runs)""")
+
 # The weekly medians by counted ranks.
 
 _add("review_overhead_by_ranks", _of(lambda p: metrics.review_overhead(p, by_ranks=True), S.prs), ORACLES["review_overhead_weekly"].removeprefix(f"WITH {standins.SQL}"))

@@ -1,7 +1,7 @@
 """The counting metrics as streams: weekly windows with a watermark.
 
 Monday weeks are seven-day windows offset by four days from the epoch (a Thursday), Tuesday weeks by five.
-Medians and rolling windows need all of a week or of a series and stay batch metrics.
+Trailing windows over such weeks are in `trailing`.
 """
 
 from __future__ import annotations
