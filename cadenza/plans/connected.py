@@ -8,21 +8,31 @@ from pyspark.sql import functions as F
 from cadenza.operators.asof import last_before
 from cadenza.plans import metrics, standins
 from cadenza.sources import api, landed, replay, schemas, snapshots
-from cadenza.sources.shared import new_path
+from cadenza.sources.shared import new_path, staged
 
 SINCE_PRS, SINCE_RUNS, UNTIL_RUNS, SINCE_RELEASES = "1998-01-01", "2024-01-05", "2024-01-27", "1999-01-01"
 SINCE_PAGED = "2024-01-20"
 
 
 def _pages(nodes: DataFrame, rows: int, keys: list[str]) -> DataFrame:
-    """(keys, page, nodes, last): newest first, `rows` to a page, and an empty page after the last."""
-    newest = Window.partitionBy(*keys).orderBy(F.desc("created"), "id")
-    placed = nodes.withColumn("place", F.row_number().over(newest)).withColumn("page", F.floor((F.col("place") - 1) / rows) + 1)
-    pages = placed.groupBy(*keys, "page").agg(F.sort_array(F.collect_list(F.struct("place", "node"))).alias("found"))
-    pages = pages.select(*keys, "page", F.array_join(F.transform("found", lambda x: x.node), ",").alias("nodes"))
-    after = pages.groupBy(*keys).agg((F.max("page") + 1).alias("page")).withColumn("nodes", F.lit(""))
-    most = F.max("page").over(Window.partitionBy(*keys)) - 1
-    return pages.unionByName(after).withColumn("last", F.col("page") >= most)
+    """(keys, page, nodes, last): newest first, `rows` to a page, and an empty page after the last.
+
+    Rows are dealt into ranges of (keys, time, id), so no task holds a group's rows: a row's place is its place in the range, and what earlier
+    ranges hold of its group comes from a count for each range and group.
+    """
+    order = [*keys, F.desc("created"), "id"]
+    # The ranges are written once, as dealing anew might part them elsewhere; a row's number grows along them.
+    dealt = staged(nodes.repartitionByRange(*order).sortWithinPartitions(*order).select(*keys, "node", F.monotonically_increasing_id().alias("at")))
+    dealt = dealt.withColumn("range", F.shiftright("at", 33))
+    counts = staged(dealt.groupBy(*keys, "range").agg(F.min("at").alias("first"), F.count("*").alias("n")))
+    earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "range", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    pages_of = counts.groupBy(*keys).agg(F.ceil(F.sum("n") / rows).alias("most"))
+    placed = dealt.join(F.broadcast(starts), [*keys, "range"]).withColumn("place", F.col("at") + F.col("shift"))
+    pages = placed.groupBy(*keys, F.floor(F.col("place") / rows).alias("page")).agg(F.sort_array(F.collect_list(F.struct("place", "node"))).alias("found"))
+    pages = pages.select(*keys, (F.col("page") + 1).alias("page"), F.array_join(F.transform("found", lambda x: x.node), ",").alias("nodes"))
+    after = pages_of.select(*keys, (F.col("most") + 1).alias("page"), F.lit("").alias("nodes"))
+    return pages.unionByName(after).join(F.broadcast(pages_of), keys).withColumn("last", F.col("page") >= F.col("most")).drop("most")
 
 
 def _text(*parts) -> Column:
