@@ -292,11 +292,11 @@ SELECT n_nationkey, n_name, n_nationkey || ',' || n_regionkey AS numbers FROM na
 
 
 def _noted(spark, sf_dir):
-    """Orders with a note of several lines, quotes and commas, written as CSV and read again in several tasks."""
+    """Orders with a note of several lines, quotes and commas, written as CSV by the tasks that make them and read again by splits of the files."""
     lines = F.expr("repeat(concat('\"', o_orderpriority, '\", of:\n'), cast(o_orderkey % 7 as int))")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.concat(lines, F.col("o_orderkey").cast("string")).alias("note"), "o_totalprice")
     path = new_path(spark, "csv-")
-    files.write_csv(orders, path, single=True)
+    files.write_csv(orders, path)
     found = files.read_csv(spark, path, orders.schema, split=True)
     return found.select("o_orderkey", F.md5(F.encode("note", "utf-8")).alias("note_md5"), F.length("note").cast("long").alias("note_chars"), "o_totalprice")
 

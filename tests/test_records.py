@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadenza.plans import registry
 from cadenza.sources import files, records
 
 TEXT = T.StructType([T.StructField("id", T.StringType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
@@ -101,3 +102,22 @@ def test_states_by_hand():
                 state = bool(i if state else o)
                 expected.append(state)
             assert records._after(out, inn, inside).tolist() == expected
+
+
+def test_the_query_writes_in_the_tasks_of_its_input(spark, tmp_path, monkeypatch):
+    """No task gets all rows to write; the files are longer than a split."""
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    orders.repartition(4).write.parquet(str(tmp_path / "orders.parquet"))
+    written, write = [], files.write_csv
+    monkeypatch.setattr(registry.files, "write_csv", lambda df, path, *a, **b: (write(df, path, *a, **b), written.append(path)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        found = registry.QUERIES["csv_split_lines"](spark, str(tmp_path)).collect()
+        parts = spark.read.text(written[0], wholetext=True).select(F.length("value")).collect()
+        splits = records._splits(records._lines(spark, written[0])).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(parts) >= 4 and max(n for n, in parts) < 0.5 * sum(n for n, in parts)
+    assert len(splits) > len(parts) and any(s.inside for s in splits)
+    note = F.expr("concat(repeat(concat('\"', o_orderpriority, '\", of:\n'), cast(o_orderkey % 7 as int)), o_orderkey)")
+    assert sorted(map(tuple, found)) == sorted(map(tuple, orders.select("o_orderkey", F.md5(note), F.length(note).cast("long"), "o_totalprice").collect()))
