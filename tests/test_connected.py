@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.plans import connected
+from cadenza.plans import connected, registry
+from cadenza.sources import replay
 
 
 @pytest.fixture
@@ -50,3 +51,17 @@ def test_a_repository_is_in_several_tasks(spark, own_tasks, times):
     assert max(shares) < 1200
     windows = [line for line in pages._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
     assert not any("row_number" in w for w in windows)
+
+
+def test_prs_of_one_repository(spark, own_tasks, tmp_path, monkeypatch):
+    """`connector_prs` returns all of them, and no task makes all their pages."""
+    many = spark.range(2000)
+    many.selectExpr("id AS o_orderkey", "6L AS o_custkey", "'F' AS o_orderstatus", "'1-URGENT' AS o_orderpriority", "timestamp_ntz'1998-06-01 00:00:00' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    many.selectExpr("id AS l_orderkey", "id AS l_suppkey", "1 AS l_linenumber", "timestamp_ntz'1998-06-02 00:00:00' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    many.selectExpr("id AS event_id", "id AS user_id", "'view' AS event_type", "timestamp_ntz'2024-01-01 00:00:00' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    made, record = [], replay.record
+    monkeypatch.setattr(replay, "record", lambda pages, path: (made.append(pages), record(pages, path)))
+    found = registry.QUERIES["connector_prs"](spark, str(tmp_path)).collect()
+    assert sorted(r.pr_number for r in found) == list(range(2000)) and {(r.repo_full, r.review_count) for r in found} == {("o0/r/0", 1)}
+    shares = [r["count"] for r in made[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 41 and max(shares) < 25
