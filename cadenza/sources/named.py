@@ -2,7 +2,8 @@
 
 A Spark data source with a task commit. Rows are dealt and ordered by file name, so a task writes whole files, each into
 a folder of its own attempt below the target; only when all tasks have succeeded are the files moved to their
-names, and a job that fails leaves nothing. Work upstream of the writer keeps its partitions.
+names, and a job that fails leaves nothing. Tasks tell the driver their folders, not their files, and it lists one folder
+at a time. Work upstream of the writer keeps its partitions.
 
     spark.dataSource.register(NamedFiles)
     write_named(df, "/shared/out", F.col("slug"))
@@ -35,7 +36,7 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class _Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    folder: str | None  # none where a task had no rows
 
 
 class _Writer(DataSourceArrowWriter):
@@ -62,23 +63,23 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, folder = opened(self.staging)
         at = TaskContext.get()
-        own = f"{folder}/{at.partitionId()}-{at.attemptNumber()}"
+        own = f"{folder}/{at.partitionId()}-{at.taskAttemptId()}"  # also apart from attempts of an earlier try of the stage
         rows = (row for batch in iterator for row in batch.to_pylist())
-        written = []
+        written = None
         for name, found in groupby(rows, lambda row: row[NAME]):
             store.create_dir(own, recursive=True)
             with store.open_output_stream(f"{own}/{name}") as out:
                 for part in self._body(found):
                     out.write(part)
-            written.append((f"{own}/{name}", name))
+            written = own
         return _Written(written)
 
     def commit(self, messages: list[_Written | None]) -> None:
         store, folder = opened(self.path)
         store.create_dir(folder, recursive=True)
         for message in messages:
-            for file, name in message.files if message else []:
-                store.move(file, f"{folder}/{name}")  # in place of what has that name
+            for file in store.get_file_info(fs.FileSelector(message.folder)) if message and message.folder else []:
+                store.move(file.path, f"{folder}/{file.base_name}")  # in place of what has that name
         self._clear()
 
     def abort(self, messages: list[_Written | None]) -> None:

@@ -1,7 +1,11 @@
 import os
+import pickle
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.plans import figures
 from cadenza.sources import files, named
@@ -64,3 +68,15 @@ def test_charts_hold_their_values(spark, tmp_path):
     dots = [(c.getAttribute("data-measure"), c.getAttribute("data-value"), c.getAttribute("cx"), c.getAttribute("cy")) for c in found["a__b <1>.svg"].getElementsByTagName("circle")]
     assert dots == [("x", "1.0", "48.0", "264.0"), ("x", "3.0", "912.0", "48.0"), ("y", "2.0", "912.0", "156.0")]
     assert found["c.svg"].getElementsByTagName("circle") == [] and "a/b <1>" in found["a__b <1>.svg"].getElementsByTagName("title")[0].firstChild.data
+
+
+def test_tasks_tell_the_driver_folders_not_files(tmp_path, monkeypatch):
+    """What a task sends is as small for many files; another attempt's folder is left out."""
+    writer = named._Writer({"path": str(tmp_path / "out"), "kind": "text"}, T.StructType().add("body", "string").add(named.NAME, "string"))
+    messages = []
+    for attempt, names in ((7, ["a.txt", "left.txt"]), (8, [f"{i:04d}.txt" for i in range(500)]), (9, [])):
+        monkeypatch.setattr(named.TaskContext, "get", lambda a=attempt: SimpleNamespace(partitionId=lambda: 3, attemptNumber=lambda: 0, taskAttemptId=lambda: a))
+        messages.append(writer.write(iter([pa.RecordBatch.from_pylist([{"body": n, named.NAME: n} for n in names])] if names else [])))
+    assert max(len(pickle.dumps(m)) for m in messages) < 1000
+    writer.commit([*messages[1:], None])
+    assert {f: open(tmp_path / "out" / f).read() for f in os.listdir(tmp_path / "out")} == {n: n for n in (f"{i:04d}.txt" for i in range(500))}
